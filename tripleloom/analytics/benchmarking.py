@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleloom.functions.scalar import geomean
+from tripleloom.functions.scalar import geomean, looked_up
 from tripleloom.operators.scans import medians, quantiles
 
 # Bands of the tallies.
@@ -184,9 +184,7 @@ def profile_compute_only(timed: DataFrame) -> DataFrame:
 
 def phase_group_means(durations: DataFrame) -> DataFrame:
     """``(tag, group, ms)``: mean over runs of the time per phase group; a run without the group counts as 0."""
-    group = F.lit(None)
-    for phase, name in PHASE_GROUPS.items():
-        group = F.when(F.col("phase") == phase, F.lit(name)).otherwise(group)
+    group = looked_up(F.col("phase"), PHASE_GROUPS)
     runs = durations.groupBy("tag").agg(F.count_distinct("run").alias("runs"))
     sums = (
         durations.withColumn("group", group)

@@ -103,7 +103,7 @@ def _trend(t):
 TREND = f"""WITH p AS (SELECT flop AS x, log10(flop) AS lx, log10(merge3_ms / hash_ms) AS lr
   FROM ({TIMINGS}) WHERE flop > 0 AND hash_ms > 0),
 e AS (SELECT quantile_cont(lx, [{", ".join(f"{q}::DOUBLE / 6" for q in range(1, 6))}]) AS e FROM p),
-b AS (SELECT p.*, len(list_filter(e.e, z -> z <= p.lx)) AS bin FROM p, e)
+b AS (SELECT p.*, {" + ".join(f"CAST(lx >= e[{n}] AS BIGINT)" for n in range(1, 6))} AS bin FROM p, e)
 SELECT bin, count(*) AS n, round(median(x), 6) AS x, round(10.0::DOUBLE ** avg(lr), 6) AS ratio
 FROM b GROUP BY 1 HAVING count(*) >= 2"""
 

@@ -80,7 +80,7 @@ f AS (SELECT c.class, c.id, c.density_pct, {TARGET} - coalesce(have, 0) AS need,
   FROM c LEFT JOIN h ON c.class = h.class WHERE (c.class, c.id) NOT IN (SELECT class, id FROM p)),
 s AS (SELECT DISTINCT class, m, need, unnest(range(0, CAST(need AS BIGINT))) AS pick FROM f WHERE need > 0),
 q AS (SELECT class, least(m - 1, greatest(0, CAST(round_even(
-    (0.05::DOUBLE + coalesce(0.9::DOUBLE / nullif(need - 1, 0), 0) * pick) * (m - 1), 0) AS BIGINT))) AS at FROM s)
+    (0.05::DOUBLE + coalesce((0.95::DOUBLE - 0.05::DOUBLE) / nullif(need - 1, 0), 0) * pick) * (m - 1), 0) AS BIGINT))) AS at FROM s)
 SELECT DISTINCT f.class AS class, f.id AS id FROM f JOIN q ON f.class = q.class AND f.at = q.at"""
 
 SUMMARY_COLUMNS = ("n", "nnz", "nnz_per_row", "sparsity_pct")

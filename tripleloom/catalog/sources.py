@@ -8,6 +8,7 @@ from tripleloom.analytics import benchmarking as be
 from tripleloom.catalog import Query
 from tripleloom.catalog import tables as sql
 from tripleloom.catalog.corpus import INDEX, index
+from tripleloom.functions.scalar import looked_up
 from tripleloom.sources import index_pages, results, run_logs
 from tripleloom.sources.matrix_market import Layout, formatted_lines, parse_entries
 
@@ -17,10 +18,7 @@ PROFILE_OF = {"click": "accumulate", "view": "binning", "purchase": "compact+sor
 
 
 def _named(names: dict[str, str]):
-    rule = None
-    for kind, name in names.items():
-        rule = (rule or F).when(F.col("event_type") == kind, F.lit(name))
-    return rule
+    return looked_up(F.col("event_type"), names)
 
 
 def _named_sql(names: dict[str, str]) -> str:
@@ -29,7 +27,7 @@ def _named_sql(names: dict[str, str]) -> str:
 
 def _events(t):
     """Events with their run (user), place in the log and milliseconds since the first day."""
-    millis = F.expr("unix_millis(ts)") - F.lit(1704067200000)
+    millis = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
     return t.read("events").select(
         F.col("user_id").cast("string").alias("run"),
         F.struct(F.floor(F.col("event_id") / 1000).alias("block"), F.col("event_id").alias("line")).alias("at"),

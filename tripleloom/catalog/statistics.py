@@ -207,10 +207,10 @@ SELECT i, nnz, products, CASE WHEN nnz = 1 THEN 'direct' WHEN bound >= 1024 OR b
     ),
     "lorenz_share": Query(
         _top_share,
-        f"""WITH {COUNTED}, r AS (SELECT products, row_number() OVER (ORDER BY products DESC) AS at,
+        f"""WITH {COUNTED}, r AS (SELECT products, row_number() OVER (ORDER BY products DESC) AS place,
     count(*) OVER () AS m FROM f),
 k AS (SELECT greatest(1, CAST(round_even(0.2 * max(m), 0) AS BIGINT)) AS k FROM r)
-SELECT k AS rows_taken, round(sum(products) FILTER (WHERE at <= k) * 100.0::DOUBLE / sum(products), 9) AS share_pct
+SELECT k AS rows_taken, round(sum(products) FILTER (WHERE place <= k) * 100.0::DOUBLE / sum(products), 9) AS share_pct
 FROM r, k GROUP BY 1""",
     ),
     "matrix_features": Query(

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleloom.functions.scalar import looked_up
 from tripleloom.matrix import Matrix
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -115,10 +116,7 @@ class Tables:
 
 
 def event_code() -> Column:
-    code = None
-    for n, name in enumerate(EVENT_TYPES):
-        code = (code or F).when(F.col("event_type") == name, F.lit(n))
-    return code.cast("long")
+    return looked_up(F.col("event_type"), {name: n for n, name in enumerate(EVENT_TYPES)}).cast("long")
 
 
 EVENT_CODE_SQL = "CASE event_type " + " ".join(f"WHEN '{t}' THEN {n}" for n, t in enumerate(EVENT_TYPES)) + " END"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # MurmurHash3 (x86, 32 bit) constants and the seed in use.
@@ -39,14 +39,28 @@ def xorshift(x: Column, r: int) -> Column:
     return x.bitwiseXOR(F.shiftrightunsigned(x, r))
 
 
-def murmur3(key: Column) -> Column:
-    """MurmurHash3 of one 4-byte key, as an unsigned value in a BIGINT."""
-    k = mul32(rotl32(mul32(u32(key.cast("long")), MURMUR_C1), 15), MURMUR_C2)
-    h = rotl32(k.bitwiseXOR(F.lit(MURMUR_SEED)), 13)
-    h = u32(h * F.lit(5) + F.lit(MURMUR_ADD)).bitwiseXOR(F.lit(4))
-    h = mul32(xorshift(h, 16), MURMUR_MIX1)
-    h = mul32(xorshift(h, 13), MURMUR_MIX2)
-    return xorshift(h, 16)
+def with_murmur3(df: DataFrame, key: str, name: str = "h") -> DataFrame:
+    """``df`` with MurmurHash3 of one 4-byte key, as an unsigned value in a BIGINT.
+
+    One projection per step: each step uses the one before twice, and a single
+    expression would double in size every time.
+    """
+    steps = (
+        lambda h: mul32(u32(h.cast("long")), MURMUR_C1),
+        lambda h: rotl32(h, 15),
+        lambda h: mul32(h, MURMUR_C2).bitwiseXOR(F.lit(MURMUR_SEED)),
+        lambda h: rotl32(h, 13),
+        lambda h: u32(h * F.lit(5) + F.lit(MURMUR_ADD)).bitwiseXOR(F.lit(4)),
+        lambda h: xorshift(h, 16),
+        lambda h: mul32(h, MURMUR_MIX1),
+        lambda h: xorshift(h, 13),
+        lambda h: mul32(h, MURMUR_MIX2),
+        lambda h: xorshift(h, 16),
+    )
+    hashed = df.withColumn(name, F.col(key))
+    for step in steps:
+        hashed = hashed.withColumn(name, step(F.col(name)))
+    return hashed
 
 
 def bit_length32(x: Column) -> Column:

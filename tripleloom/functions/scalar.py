@@ -69,12 +69,17 @@ def density_class(density_pct: Column) -> Column:
     return rule.otherwise(F.lit(DENSITY_CLASSES[-1][0]))
 
 
+def looked_up(key: Column, names: dict, otherwise=None) -> Column:
+    """The value of a short fixed mapping; ``otherwise`` for other keys."""
+    found = F.lit(otherwise)
+    for name, value in names.items():
+        found = F.when(key == name, F.lit(value)).otherwise(found)
+    return found
+
+
 def class_rank(name: Column) -> Column:
     """Position of a class in reports; unknown names come last."""
-    rule = None
-    for position, (label, _) in enumerate(DENSITY_CLASSES):
-        rule = (rule or F).when(name == label, F.lit(position))
-    return rule.otherwise(F.lit(99))
+    return looked_up(name, {label: n for n, (label, _) in enumerate(DENSITY_CLASSES)}, 99)
 
 
 def number_or_null(text: Column) -> Column:

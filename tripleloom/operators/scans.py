@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import whole
+from tripleloom.plans.sizing import BROADCAST_ROWS, has_at_most
 
 
 def block_edge(extent: int) -> int:
@@ -62,7 +63,7 @@ def magnitude_block(x: Column, per_octave: int) -> Column:
 def value_levels(value: str) -> list[Column]:
     """Ordering levels for a numeric column: coarse blocks, fine blocks, the value."""
     x = F.col(value).cast("double")
-    return [magnitude_block(x, 64), magnitude_block(x, 65536), x]
+    return [magnitude_block(x, 1 << 10), magnitude_block(x, 1 << 20), x]
 
 
 def id_levels(key: str, extent: int) -> list[Column]:
@@ -84,7 +85,9 @@ def at_ranks(
     keys = list(groups)
     names = [f"__level{n}" for n in range(len(levels))]
     rows = df.select(*keys, *keep, *(c.alias(n) for c, n in zip(levels, names)))
-    found = targets.select(*keys, "pick", F.col("rank").alias("__rest"))
+    # Every level keeps at most one row per target, so their number bounds them all.
+    hinted = F.broadcast if has_at_most(targets, BROADCAST_ROWS) else (lambda df: df)
+    found = hinted(targets.select(*keys, "pick", F.col("rank").alias("__rest")))
     for depth, name in enumerate(names):
         fixed = names[:depth]
         if fixed:
@@ -98,8 +101,10 @@ def at_ranks(
         if not fixed:
             counts = counts.join(found, keys)
         inside = (F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__n"))
-        found = counts.where(inside).select(
-            *keys, "pick", *fixed, name, (F.col("__rest") - F.col("__before")).alias("__rest")
+        found = hinted(
+            counts.where(inside).select(
+                *keys, "pick", *fixed, name, (F.col("__rest") - F.col("__before")).alias("__rest")
+            )
         )
     return rows.join(found, [*keys, *names]).select(*keys, "pick", *[k for k in keep if k not in keys])
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleloom.functions.hashing import leading_zeros32, murmur3
+from tripleloom.functions.hashing import leading_zeros32, with_murmur3
 from tripleloom.functions.scalar import table_size
 from tripleloom.matrix import Matrix
 
@@ -25,8 +25,7 @@ SMALL_INPUT_NNZ = 100_000
 
 
 def _hashed(b: Matrix) -> DataFrame:
-    h = murmur3(F.col("j"))
-    return b.entries.select("i", h.alias("h")).select(
+    return with_murmur3(b.entries.select("i", "j"), "j").select(
         "i", "h", F.col("h").bitwiseAND(F.lit(PARTITIONS - 1)).alias("p")
     )
 
