@@ -254,14 +254,12 @@ def binned_trend(points: DataFrame, x: str, ratio: str, bins: int = 6) -> DataFr
         F.lit(0).alias("one"), F.col(x).alias("x"), F.log10(x).alias("lx"), F.log10(ratio).alias("lr")
     )
     inner = [q / bins for q in range(1, bins)]
-    # At most ``bins - 1`` edges, in one array.
-    edges = (
-        quantiles(logs, "lx", inner, ("one",))
-        .groupBy("one")
-        .agg(F.array_sort(F.collect_list("x")).alias("edges"))
-    )
-    place = F.size(F.filter("edges", lambda e: e <= F.col("lx")))
-    placed = logs.join(edges, "one").withColumn("bin", place.cast("long"))
+    # ``bins - 1`` numbers come to the driver and go into the plan as constants.
+    edges = [row["x"] for row in quantiles(logs, "lx", inner, ("one",)).collect()]
+    place = F.lit(0).cast("long")
+    for edge in edges:
+        place = place + F.when(F.col("lx") >= edge, 1).otherwise(0)
+    placed = logs.withColumn("bin", place)
     sums = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.pow(F.lit(10.0), F.avg("lr")).alias("ratio"))
     return sums.where("n >= 2").join(medians(placed, "x", ("bin",)), "bin").select(
         "bin", "n", F.col("median").alias("x"), "ratio"

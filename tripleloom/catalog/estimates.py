@@ -55,7 +55,7 @@ def _rounded(df):
 
 
 def _both(t):
-    return t.part_square, t.part_square
+    return t.once("part_square"), t.once("part_square")
 
 
 QUERIES = {

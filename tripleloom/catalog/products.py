@@ -14,11 +14,15 @@ from tripleloom.plans.dispatch import method_for
 SQUARE = sql.product(sql.CUSTOMER_SQUARE, sql.CUSTOMER_SQUARE)
 CUSTOMER_PART = sql.product(sql.CUSTOMER_ORDER, sql.ORDER_PART)
 UPPER = "b.j >= a.i"
-SPLIT_BUDGET = 2_000
+
+
+def _split_budget(m) -> int:
+    """A budget that every event type exceeds several times."""
+    return max(1, m.rows * m.rows // 8)
 
 
 def _square(method: str) -> Query:
-    return Query(lambda t: mul.square_product(t.customer_square, method=method).entries, SQUARE)
+    return Query(lambda t: mul.square_product(t.once("customer_square"), method=method).entries, SQUARE)
 
 
 def _size_vector(t):
@@ -38,27 +42,27 @@ def _labelled_documents(t):
 
 
 def _row_totals(t):
-    c = mul.square_product(t.part_square).entries
+    c = mul.square_product(t.once("part_square")).entries
     return c.groupBy("i").agg(F.count(F.lit(1)).alias("c_nnz"), F.sum("v").alias("c_sum"), F.max("v").alias("c_max"))
 
 
 def _bucketed(t):
-    return mul.bucketed_product(t.customer_square, t.customer_square, 5)
+    return mul.bucketed_product(t.once("customer_square"), t.once("customer_square"), 5)
 
 
 def _reuse(t):
-    a, b = t.customer_order, t.order_part
+    a, b = t.customer_order, t.once("order_part")
     return mul.numeric(mul.symbolic(a, b), a, b).entries
 
 
 def _formula(t):
-    m = t.customer_square
+    m = t.once("customer_square")
     return mul.square_product(m, method=method_for(m)).entries
 
 
 def _spmv_check(t):
     """``A·(A·x)`` against ``(A·A)·x``: the positions that differ, of which there are none."""
-    a = t.customer_square
+    a = t.once("customer_square")
     x = t.spark.range(a.cols).select(F.col("id").alias("j"), (F.col("id") % 7 + 1).cast("double").alias("x"))
     once = spmv(a, x).select(F.col("i").alias("j"), F.col("y").alias("x"))
     twice = spmv(a, once)
@@ -83,62 +87,62 @@ QUERIES = {
         f"""SELECT i, j, CAST(((j + 1) * 5 - 1) // (SELECT count(*) FROM customer) AS BIGINT) AS b, v
 FROM ({SQUARE})""",
     ),
-    "spgemm_sorted_output": Query(lambda t: mul.square_product(t.customer_square).sorted(), SQUARE),
+    "spgemm_sorted_output": Query(lambda t: mul.square_product(t.once("customer_square")).sorted(), SQUARE),
     "spgemm_row_totals": Query(
         _row_totals,
         f"""SELECT i, count(*) AS c_nnz, sum(v) AS c_sum, max(v) AS c_max
 FROM ({sql.product(sql.PART_SQUARE, sql.PART_SQUARE)}) GROUP BY 1""",
     ),
-    "spgemm_ab_rect": Query(lambda t: mul.spgemm(t.customer_order, t.order_part).entries, CUSTOMER_PART),
+    "spgemm_ab_rect": Query(lambda t: mul.spgemm(t.customer_order, t.once("order_part")).entries, CUSTOMER_PART),
     "spgemm_hot_keys_split": Query(
         lambda t: mul.outer_gram(
-            t.user_event, upper=False, method="outer", task_products=SPLIT_BUDGET
+            t.once("user_event"), upper=False, method="outer", task_products=_split_budget(t.once("user_event"))
         ).entries,
         sql.product(sql.USER_EVENT, sql.transposed(sql.USER_EVENT)),
     ),
     "self_product_rect": Query(
-        lambda t: mul.self_product(t.user_event).entries,
+        lambda t: mul.self_product(t.once("user_event")).entries,
         sql.product(sql.USER_EVENT, sql.transposed(sql.USER_EVENT)),
     ),
     "symbolic_row_lengths": Query(
-        lambda t: mul.output_row_lengths(t.part_square, t.part_square),
+        lambda t: mul.output_row_lengths(t.once("part_square"), t.once("part_square")),
         f"""SELECT i, count(*) AS c_nnz
 FROM ({sql.product(sql.PART_SQUARE, sql.PART_SQUARE)}) GROUP BY 1""",
     ),
     "numeric_on_known_structure": Query(_reuse, CUSTOMER_PART),
     "cancellation_kept": Query(
-        lambda t: mul.spgemm(t.supplier_part_net, t.part_brand).entries,
+        lambda t: mul.spgemm(t.once("supplier_part_net"), t.part_brand).entries,
         sql.product(sql.SUPPLIER_PART_NET, sql.PART_BRAND),
     ),
     "aat_upper": Query(
-        lambda t: mul.outer_gram(t.supplier_part).entries,
+        lambda t: mul.outer_gram(t.once("supplier_part")).entries,
         sql.product(sql.SUPPLIER_PART, sql.transposed(sql.SUPPLIER_PART), UPPER),
     ),
     "aat_full": Query(
-        lambda t: mul.outer_gram(t.supplier_part, upper=False).entries,
+        lambda t: mul.outer_gram(t.once("supplier_part"), upper=False).entries,
         sql.product(sql.SUPPLIER_PART, sql.transposed(sql.SUPPLIER_PART)),
     ),
     "aat_by_symmetry": Query(
-        lambda t: mul.gram_by_symmetry(t.supplier_part).entries,
+        lambda t: mul.gram_by_symmetry(t.once("supplier_part")).entries,
         sql.product(sql.SUPPLIER_PART, sql.transposed(sql.SUPPLIER_PART)),
     ),
     "ata_upper": Query(
-        lambda t: mul.inner_gram(t.order_part).entries,
+        lambda t: mul.inner_gram(t.once("order_part")).entries,
         sql.product(sql.transposed(sql.ORDER_PART), sql.ORDER_PART, UPPER),
     ),
     "ata_embeddings": Query(
-        lambda t: mul.inner_gram(t.embedded).entries,
+        lambda t: mul.inner_gram(t.once("embedded")).entries,
         sql.product(sql.transposed(sql.EMBEDDED), sql.EMBEDDED, UPPER),
     ),
     "dense_product_tiles": Query(
-        lambda t: tiled_product(t.embedded.T, t.embedded, edge=64).entries,
+        lambda t: tiled_product(t.once("embedded").T, t.once("embedded"), edge=64).entries,
         f"""SELECT * FROM ({sql.product(sql.transposed(sql.EMBEDDED), sql.EMBEDDED)}) WHERE abs(v) > 1e-30""",
     ),
     "dense_product_small": Query(
-        lambda t: tiled_product(t.nation_flow, t.nation_flow, edge=8).entries,
+        lambda t: tiled_product(t.once("nation_flow"), t.once("nation_flow"), edge=8).entries,
         sql.product(sql.NATION_FLOW, sql.NATION_FLOW),
     ),
-    "spmv": Query(lambda t: spmv(t.order_part, _size_vector(t), all_rows=False), ORDER_SIZE),
+    "spmv": Query(lambda t: spmv(t.order_part_lines, _size_vector(t), all_rows=False), ORDER_SIZE),
     "spmv_every_row": Query(
         _labelled_documents,
         f"""SELECT d.i AS i, coalesce(y, 0.0::DOUBLE) AS y
@@ -146,7 +150,7 @@ FROM (SELECT unnest(range(0, (SELECT count(*) FROM documents))) AS i) d
 LEFT JOIN (SELECT i, sum(v * (j + 3)) AS y FROM ({sql.DOCUMENT_LABEL}) GROUP BY 1) s ON d.i = s.i""",
     ),
     "spmv_transpose": Query(
-        lambda t: spmv_transposed(t.order_part, _price_vector(t), all_rows=False),
+        lambda t: spmv_transposed(t.order_part_lines, _price_vector(t), all_rows=False),
         f"""SELECT a.j AS i, sum(a.v * floor(o_totalprice)) AS y FROM ({sql.ORDER_PART}) a
 JOIN orders ON a.i = o_orderkey GROUP BY 1""",
     ),

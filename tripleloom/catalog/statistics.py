@@ -10,6 +10,7 @@ from tripleloom.functions.scalar import doubling_bin
 from tripleloom.operators import rowstats as st
 from tripleloom.operators.reshape import row_lengths
 from tripleloom.plans import dispatch
+from tripleloom.session import written
 
 COUNTED = f"""c AS (SELECT i AS k, count(*) AS n, min(j) AS lo, max(j) AS hi FROM ({sql.PART_SQUARE}) GROUP BY 1),
 a AS (SELECT i, j AS k FROM ({sql.PART_SQUARE})),
@@ -24,11 +25,12 @@ b AS (SELECT i, est, slots, {BIN.format(s="slots")} AS bin FROM s)"""
 
 
 def _bins(t):
-    return st.binned(st.product_counts(t.part_square, t.part_square), F.col("products"))
+    # Read by three jobs, so it is written once.
+    return written(st.binned(st.product_counts(t.part_square, t.part_square), F.col("products")))
 
 
 def _curve(t):
-    work = st.product_counts(t.part_square, t.part_square).select("i", "products")
+    work = written(st.product_counts(t.part_square, t.part_square).select("i", "products"))
     top = int(work.agg(F.max("products")).first()[0] or 0)
     return work, st.work_curve(work, "products", top)
 
@@ -149,7 +151,7 @@ SELECT b.j AS j, CAST(sum(n) AS BIGINT) AS products FROM ({sql.PART_SQUARE}) b J
 SELECT a.i AS i, b.b AS b, CAST(sum(n) AS BIGINT) AS products FROM ({sql.PART_SQUARE}) a JOIN b ON a.j = b.k GROUP BY 1, 2""",
     ),
     "bucket_distinct": Query(
-        lambda t: st.bucket_lengths(t.part_square, t.part_square, 5),
+        lambda t: st.bucket_lengths(t.once("part_square"), t.once("part_square"), 5),
         f"""SELECT i, CAST(((j + 1) * 5 - 1) // (SELECT count(*) FROM part) AS BIGINT) AS b, count(*) AS nnz
 FROM ({sql.product(sql.PART_SQUARE, sql.PART_SQUARE)}) GROUP BY 1, 2""",
     ),
@@ -191,7 +193,7 @@ FROM (SELECT (SELECT count(*) FROM orders) AS rows, (SELECT count(*) FROM part)
 FROM (SELECT i, count(*) AS n FROM ({sql.SUPPLIER_PART}) GROUP BY 1) GROUP BY 1""",
     ),
     "accumulator_choice": Query(
-        lambda t: st.accumulator_choice(t.part_square, t.part_square, largest_table=1024, density_pct=45),
+        lambda t: st.accumulator_choice(t.once("part_square"), t.once("part_square"), largest_table=1024, density_pct=45),
         f"""WITH {COUNTED}, g AS (SELECT i, nnz, products, least(products, p) AS bound,
     least(p - first_col, CASE WHEN last_col = first_col THEN 1
       ELSE CAST(2 ** (floor(log2(last_col - first_col)) + 1) AS BIGINT) END) AS reach

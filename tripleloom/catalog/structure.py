@@ -96,11 +96,11 @@ SELECT r.i AS i, coalesce(n, 0) AS nnz,
 FROM r LEFT JOIN c ON r.i = c.i""",
     ),
     "csr_positions": Query(
-        lambda t: shape.csr_positions(t.order_part),
+        lambda t: shape.csr_positions(t.once("order_part")),
         f"""SELECT i, j, v, row_number() OVER (ORDER BY i, j) - 1 AS at FROM ({sql.ORDER_PART})""",
     ),
     "per_row_rank": Query(
-        lambda t: shape.positions_in_row(t.supplier_part).select("i", "j", "pos"),
+        lambda t: shape.positions_in_row(t.once("supplier_part")).select("i", "j", "pos"),
         f"""SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS pos FROM ({sql.SUPPLIER_PART})""",
     ),
     "segment_lengths": Query(

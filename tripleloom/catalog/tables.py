@@ -19,10 +19,17 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._written: dict[str, Matrix] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def once(self, name: str) -> Matrix:
+        """A derived matrix as a written table, for operators that scan it several times."""
+        if name not in self._written:
+            self._written[name] = getattr(self, name).materialized()
+        return self._written[name]
+
     def rows(self, name: str) -> int:
         """Row count, answered from the file footers."""
         return self.read(name).count()
@@ -50,6 +57,13 @@ class Tables:
             "l_orderkey", "l_partkey", "l_quantity", combine=True,
         )
 
+    # The same without adding up repeated positions; sums over it come out equal.
+    @cached_property
+    def order_part_lines(self) -> Matrix:
+        return Matrix.of(
+            self.read("lineitem"), self.rows("orders"), self.rows("part"), "l_orderkey", "l_partkey", "l_quantity"
+        )
+
     @cached_property
     def supplier_part(self) -> Matrix:
         return Matrix.of(

@@ -6,13 +6,16 @@ contributes, even if the sum is 0.0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import column_bucket
 from tripleloom.matrix import Matrix
 from tripleloom.operators.tiles import tiled_product
-from tripleloom.plans.sizing import BROADCAST_ROWS, has_at_most
+from tripleloom.plans.sizing import BROADCAST_ROWS, broadcast_if_small
 from tripleloom.plans.workload import (
     TASK_PRODUCTS,
     Workload,
@@ -70,7 +73,7 @@ def spgemm(
         entries = sum_products(split_join(left, right, work, upper, task_products))
     elif method == "auto":
         work = measure(left, right, task_products)
-        entries = sum_products(planned_join(left, right, work, upper, task_products, broadcast_rows))
+        entries = over(planned_parts(left, right, work, upper, task_products, broadcast_rows), sum_products)
     else:
         raise ValueError(f"unknown method {method!r}, choose one of {', '.join(METHODS)}")
     return Matrix(entries, *shape)
@@ -110,7 +113,7 @@ def gram_by_symmetry(a: Matrix, **options) -> Matrix:
 
 def symbolic(a: Matrix, b: Matrix, upper: bool = False) -> DataFrame:
     """Positions ``(i, j)`` of the product, without values."""
-    return joined(left_side(a), right_side(b), ["k"], upper).select("i", "j").distinct()
+    return over(planned(a, b, upper), lambda pairs: pairs.select("i", "j").distinct())
 
 
 def output_row_lengths(a: Matrix, b: Matrix) -> DataFrame:
@@ -120,7 +123,7 @@ def output_row_lengths(a: Matrix, b: Matrix) -> DataFrame:
 
 def numeric(structure: DataFrame, a: Matrix, b: Matrix, upper: bool = False) -> Matrix:
     """Values for a known structure; products are added up before they meet it."""
-    sums = sum_products(joined(left_side(a), right_side(b), ["k"], upper))
+    sums = over(planned(a, b, upper), sum_products)
     return Matrix(
         structure.join(sums, ["i", "j"], "left").select(
             "i", "j", F.coalesce("v", F.lit(0.0)).alias("v")
@@ -183,22 +186,57 @@ def split_join(
 
 def broadcast_join(left: DataFrame, right: DataFrame, upper: bool, broadcast_rows: int) -> DataFrame:
     """Broadcast the right side if its counted size allows, else let the join shuffle."""
-    small = F.broadcast(right) if has_at_most(right, broadcast_rows) else right
-    return joined(left, small, ["k"], upper)
+    return joined(left, broadcast_if_small(right, broadcast_rows), ["k"], upper)
+
+
+def planned(a: Matrix, b: Matrix, upper: bool = False) -> list[DataFrame]:
+    """The products of ``A·B`` by the measured plan, see ``planned_parts``."""
+    left, right = left_side(a), right_side(b)
+    return planned_parts(left, right, measure(left, right), upper, TASK_PRODUCTS, BROADCAST_ROWS)
 
 
-def planned_join(
+def over(parts: list[DataFrame], aggregate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """An aggregation on ``(i, j)`` of every part, put together."""
+    return reduce(DataFrame.unionByName, map(aggregate, parts))
+
+
+def planned_parts(
     left: DataFrame, right: DataFrame, work: Workload, upper: bool, task_products: int, broadcast_rows: int
-) -> DataFrame:
-    smaller = min(work.left_nnz, work.right_nnz)
-    if smaller > broadcast_rows:
-        return split_join(left, right, work, upper, task_products)
-    # A streamed side needs no shuffle on k, so hot keys do not gather; only the
-    # number of its partitions has to fit the products.
-    wanted = work.partitions(task_products)
-    usual = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+) -> list[DataFrame]:
+    """The products in parts that share no position ``(i, j)``, so each is added up on its own."""
+    if min(work.left_nnz, work.right_nnz) > broadcast_rows:
+        return [split_join(left, right, work, upper, task_products)]
     if work.right_nnz <= work.left_nnz:
-        streamed = left.repartition(wanted) if wanted > usual else left
-        return joined(streamed, F.broadcast(right), ["k"], upper)
-    streamed = right.repartition(wanted) if wanted > usual else right
-    return joined(streamed, F.broadcast(left), ["k"], upper)
+        return streamed_join(left, "i", right, work.longest_left_row, work.longest_right_row, work, upper, task_products)
+    return streamed_join(right, "j", left, work.longest_right_column, work.longest_left_column, work, upper, task_products)
+
+
+def streamed_join(
+    streamed: DataFrame,
+    line: str,
+    small: DataFrame,
+    longest_line: int,
+    longest_match: int,
+    work: Workload,
+    upper: bool,
+    task_products: int,
+) -> list[DataFrame]:
+    """Join a streamed side, hashed on its outer index ``line``, with a broadcast side.
+
+    All products of a row (or column) of the result then meet in one task, so
+    they are added up where they are made and never shuffled.  Lines that could
+    exceed the budget of a task stay where they were read and take the usual
+    way: added up per task, then shuffled on ``(i, j)``.
+    """
+    usual = int(streamed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(usual, work.partitions(task_products))
+    small = F.broadcast(small)
+    if longest_line * longest_match <= task_products:
+        return [joined(streamed.repartition(partitions, line), small, ["k"], upper)]
+    allowed = task_products // max(longest_match, 1)
+    long_lines = streamed.groupBy(line).count().where(F.col("count") > allowed).select(line)
+    # Few by their size: each holds more than ``allowed`` of the streamed entries.
+    long_lines = broadcast_if_small(long_lines)
+    short = streamed.join(long_lines, line, "left_anti").repartition(partitions, line)
+    long = streamed.join(long_lines, line, "left_semi").repartition(partitions, line, "k")
+    return [joined(short, small, ["k"], upper), joined(long, small, ["k"], upper)]

@@ -10,15 +10,20 @@ from tripleloom.functions.scalar import column_bucket, size_bin, table_size
 from tripleloom.matrix import Matrix
 from tripleloom.operators.multiply import symbolic
 from tripleloom.operators.reshape import row_lengths
-from tripleloom.operators.scans import histogram, prefix_sum, ranked
+from tripleloom.operators.scans import histogram, prefix_sum, prefix_sums, ranked
+from tripleloom.plans.sizing import BROADCAST_ROWS
 
 
-def _referenced(a: Matrix, per_row: DataFrame) -> DataFrame:
+def _referenced(a: Matrix, per_row: DataFrame, facts: int) -> DataFrame:
     """Entries of ``A`` beside facts ``(k, …)`` of the rows of ``B`` they refer to.
 
-    ``per_row`` has one row per ``k``; a hot column of ``A`` is left to the
-    skew split of adaptive execution, which only has to copy that one row.
+    ``facts`` bounds the rows of ``per_row`` by the shape; within the broadcast
+    limit no entry of ``A`` moves for the join.  Beyond it both sides shuffle,
+    and adaptive execution splits a hot column of ``A``, as only the few facts
+    of that one ``k`` have to be copied.
     """
+    if facts <= BROADCAST_ROWS:
+        per_row = F.broadcast(per_row)
     return a.entries.select("i", F.col("j").alias("k")).join(per_row, "k")
 
 
@@ -26,7 +31,7 @@ def product_counts(a: Matrix, b: Matrix) -> DataFrame:
     """Per row of ``A·B``: intermediate products and the largest single contribution."""
     per_row = b.entries.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return (
-        _referenced(a, per_row)
+        _referenced(a, per_row, b.rows)
         .groupBy("i")
         .agg(F.sum("n").alias("products"), F.max("n").alias("largest"))
     )
@@ -44,6 +49,8 @@ def products_by_inner_key(a: Matrix, b: Matrix) -> DataFrame:
 def products_by_column(a: Matrix, b: Matrix) -> DataFrame:
     """Intermediate products per column of ``A·B``."""
     lengths = a.entries.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    if a.cols <= BROADCAST_ROWS:
+        lengths = F.broadcast(lengths)
     return (
         b.entries.select(F.col("i").alias("k"), "j")
         .join(lengths, "k")
@@ -67,7 +74,7 @@ def product_totals(a: Matrix, b: Matrix) -> DataFrame:
 def output_column_range(a: Matrix, b: Matrix) -> DataFrame:
     """Per row of ``A·B``: first and last column, and the width class ``bit_length(last - first)``."""
     per_row = b.entries.groupBy(F.col("i").alias("k")).agg(F.min("j").alias("lo"), F.max("j").alias("hi"))
-    ranges = _referenced(a, per_row).groupBy("i").agg(F.min("lo").alias("first_col"), F.max("hi").alias("last_col"))
+    ranges = _referenced(a, per_row, b.rows).groupBy("i").agg(F.min("lo").alias("first_col"), F.max("hi").alias("last_col"))
     width = bit_length32(F.col("last_col") - F.col("first_col")).cast("long")
     return ranges.select("i", "first_col", "last_col", width.alias("width_class"))
 
@@ -79,7 +86,7 @@ def bucket_products(a: Matrix, b: Matrix, buckets: int) -> DataFrame:
         .groupBy("k", "b")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return _referenced(a, per_row).groupBy("i", "b").agg(F.sum("n").alias("products"))
+    return _referenced(a, per_row, b.rows * buckets).groupBy("i", "b").agg(F.sum("n").alias("products"))
 
 
 def bucket_lengths(a: Matrix, b: Matrix, buckets: int) -> DataFrame:
@@ -196,8 +203,7 @@ def work_curve(work: DataFrame, value: str, largest: int) -> DataFrame:
     """
     counts = histogram(work, value).withColumn("down", F.lit(largest) - F.col(value))
     sums = counts.withColumn("work", F.col(value) * F.col("n"))
-    by_rows = prefix_sum(sums, "down", F.col("n"), largest + 1, name="rows_before")
-    both = prefix_sum(by_rows, "down", F.col("work"), largest + 1, name="work_before")
+    both = prefix_sums(sums, "down", {"rows_before": F.col("n"), "work_before": F.col("work")}, largest + 1)
     return both.select(
         F.col(value).alias("value"), "n", "rows_before", "work_before",
         (F.col("rows_before") + F.col("n")).alias("rows_upto"),

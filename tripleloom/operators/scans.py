@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import whole
-from tripleloom.plans.sizing import BROADCAST_ROWS, has_at_most
+from tripleloom.plans.sizing import BROADCAST_ROWS, WINDOW_ROWS
+from tripleloom.session import written
 
 
 def block_edge(extent: int) -> int:
@@ -21,27 +22,48 @@ def block_edge(extent: int) -> int:
     return max(1, isqrt(max(extent - 1, 0)) + 1)
 
 
-def prefix_sum(
-    df: DataFrame, order: str, value: Column, extent: int, groups: tuple[str, ...] = (), name: str = "before"
+def largest_group(df: DataFrame, groups: tuple[str, ...]) -> int:
+    """Rows of the largest group."""
+    return int(df.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0)
+
+
+def prefix_sums(
+    df: DataFrame, order: str, values: dict[str, Column], extent: int, groups: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``df`` with ``name`` = sum of ``value`` over smaller ``order`` keys of the same group.
+    """``df`` with each named column = sum of its value over smaller ``order`` keys of the same group.
 
-    ``order`` must be a whole number in ``[0, extent)``, once per group.
+    ``order`` must be a whole number in ``[0, extent)``, once per group.  Groups
+    that were counted to be small go through one window each.
     """
     keys = list(groups)
-    cut = df.select("*", whole(F.col(order), block_edge(extent)).alias("__block"), value.alias("__value"))
+    names = list(values)
+    upto = (Window.unboundedPreceding, -1)
+    if keys and largest_group(df, groups) <= WINDOW_ROWS:
+        whole_group = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
+        return df.select("*", *[F.coalesce(F.sum(v).over(whole_group), F.lit(0)).alias(n) for n, v in values.items()])
+
+    cut = df.select(
+        "*", whole(F.col(order), block_edge(extent)).alias("__block"), *[v.alias(f"__{n}") for n, v in values.items()]
+    )
+    across = Window.partitionBy(*keys).orderBy("__block").rowsBetween(*upto)
+    offsets = cut.groupBy(*keys, "__block").agg(*[F.sum(f"__{n}").alias(n) for n in names])
+    offsets = offsets.select(
+        *keys, "__block", *[F.coalesce(F.sum(n).over(across), F.lit(0)).alias(f"__offset_{n}") for n in names]
+    )
+    within = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(*upto)
+    local = cut.select(
+        *df.columns, "__block", *[F.coalesce(F.sum(f"__{n}").over(within), F.lit(0)).alias(f"__local_{n}") for n in names]
+    )
+    return local.join(offsets, [*keys, "__block"]).select(
+        *df.columns, *[(F.col(f"__offset_{n}") + F.col(f"__local_{n}")).alias(n) for n in names]
+    )
 
-    totals = cut.groupBy(*keys, "__block").agg(F.sum("__value").alias("__total"))
-    across = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__block", F.coalesce(F.sum("__total").over(across), F.lit(0)).alias("__offset"))
 
-    within = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumn("__local", F.coalesce(F.sum("__value").over(within), F.lit(0)))
-    return (
-        local.join(offsets, [*keys, "__block"])
-        .withColumn(name, F.col("__offset") + F.col("__local"))
-        .drop("__block", "__value", "__offset", "__local")
-    )
+def prefix_sum(
+    df: DataFrame, order: str, value: Column, extent: int, groups: tuple[str, ...] = (), name: str = "before"
+) -> DataFrame:
+    """One exclusive prefix sum, see ``prefix_sums``."""
+    return prefix_sums(df, order, {name: value}, extent, groups)
 
 
 def ranked(df: DataFrame, order: str, extent: int, groups: tuple[str, ...] = (), name: str = "rank") -> DataFrame:
@@ -74,46 +96,54 @@ def id_levels(key: str, extent: int) -> list[Column]:
 def at_ranks(
     df: DataFrame, targets: DataFrame, levels: list[Column], groups: tuple[str, ...], keep: list[str]
 ) -> DataFrame:
-    """Rows at given positions of their group's order.
+    """The row at each given position of its group's order.
 
-    ``targets`` holds ``(groups, pick, rank)`` with zero-based ranks.  The order
-    is the lexicographic one of ``levels``.  Each level counts its keys per
-    group, finds the key that holds the rank, and narrows the rows to it, so no
-    group is sorted as a whole.  Every target gives the rows that share its last
-    key; with a unique last level that is one row.
+    ``targets`` holds ``(groups, pick, rank)`` with zero-based ranks; ``groups``
+    names at least one column.  The order is the lexicographic one of
+    ``levels``.  A level counts its keys per group, finds the key that holds the
+    rank, and narrows the rows to it, until the rows left for a target were
+    counted to fit a window.  No group is sorted as a whole.
     """
     keys = list(groups)
     names = [f"__level{n}" for n in range(len(levels))]
     rows = df.select(*keys, *keep, *(c.alias(n) for c, n in zip(levels, names)))
-    # Every level keeps at most one row per target, so their number bounds them all.
-    hinted = F.broadcast if has_at_most(targets, BROADCAST_ROWS) else (lambda df: df)
-    found = hinted(targets.select(*keys, "pick", F.col("rank").alias("__rest")))
-    for depth, name in enumerate(names):
-        fixed = names[:depth]
-        if fixed:
-            by = [*keys, "pick", "__rest", *fixed]
-            counts = rows.join(found, [*keys, *fixed]).groupBy(*by, name).agg(F.count(F.lit(1)).alias("__n"))
-        else:
-            by = keys
-            counts = rows.groupBy(*by, name).agg(F.count(F.lit(1)).alias("__n"))
+    found = targets.select(*keys, "pick", F.col("rank").alias("__rest"))
+    depth = 0
+    while True:
+        name, fixed = names[depth], names[:depth]
+        by = [*keys, "pick", "__rest", *fixed] if fixed else keys
+        narrowed = rows.join(found, [*keys, *fixed]) if fixed else rows
+        counts = narrowed.groupBy(*by, name).agg(F.count(F.lit(1)).alias("__n"))
         upto = Window.partitionBy(*by).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
         if not fixed:
             counts = counts.join(found, keys)
         inside = (F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__n"))
-        found = hinted(
+        found = written(
             counts.where(inside).select(
-                *keys, "pick", *fixed, name, (F.col("__rest") - F.col("__before")).alias("__rest")
+                *keys, "pick", *fixed, name, (F.col("__rest") - F.col("__before")).alias("__rest"), "__n"
             )
         )
-    return rows.join(found, [*keys, *names]).select(*keys, "pick", *[k for k in keep if k not in keys])
+        size, largest = found.agg(F.count(F.lit(1)), F.max("__n")).first()
+        found = found.drop("__n")
+        if size <= BROADCAST_ROWS:
+            found = F.broadcast(found)
+        depth += 1
+        if depth == len(names) or (largest or 0) <= WINDOW_ROWS:
+            break
+    left = rows.join(found, [*keys, *names[:depth]])
+    inner = Window.partitionBy(*keys, "pick").orderBy(*(names[depth:] or [F.lit(0)]))
+    return (
+        left.withColumn("__at", F.row_number().over(inner) - 1)
+        .where(F.col("__at") == F.col("__rest"))
+        .select(*keys, "pick", *[k for k in keep if k not in keys])
+    )
 
 
 def values_at_ranks(df: DataFrame, value: str, targets: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """``(groups, pick, value)`` at the targeted positions of each group's sorted values."""
     collapsed = df.select(*groups, F.col(value).cast("double").alias(value))
-    picked = at_ranks(collapsed, targets, value_levels(value), groups, [value])
-    return picked.dropDuplicates([*groups, "pick"])
+    return at_ranks(collapsed, targets, value_levels(value), groups, [value])
 
 
 def medians(df: DataFrame, value: str, groups: tuple[str, ...]) -> DataFrame:

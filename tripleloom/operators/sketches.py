@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tripleloom.functions.hashing import leading_zeros32, with_murmur3
 from tripleloom.functions.scalar import table_size
 from tripleloom.matrix import Matrix
+from tripleloom.operators.scans import largest_group
+from tripleloom.plans.sizing import BROADCAST_ROWS, has_at_most
+from tripleloom.plans.workload import TASK_PRODUCTS
 
 # Sketch shape and estimator constants.
 PARTITIONS = 128
@@ -41,18 +44,30 @@ def minhash_registers(b: Matrix) -> DataFrame:
     return _hashed(b).groupBy("i", "p").agg(F.min("h").alias("minh"))
 
 
-def _merged(a: Matrix, registers: DataFrame, merge: Column) -> DataFrame:
+def _merged(a: Matrix, b: Matrix, registers: DataFrame, merge: Column) -> DataFrame:
+    """Registers merged along the rows of ``A``.
+
+    There are no more registers than entries of ``B``.  Where those were
+    counted to be few, the registers go to every task, and ``A`` is hashed on
+    its rows if the longest one fits a task, so the merge needs no shuffle.
+    Else registers are merged per task, shuffled and merged once more.
+    """
     per_row = registers.withColumnRenamed("i", "k")
-    return a.entries.select("i", F.col("j").alias("k")).join(per_row, "k").groupBy("i", "p").agg(merge)
+    entries = a.entries.select("i", F.col("j").alias("k"))
+    if has_at_most(b.entries, BROADCAST_ROWS):
+        per_row = F.broadcast(per_row)
+        if largest_group(entries, ("i",)) * PARTITIONS <= TASK_PRODUCTS:
+            entries = entries.repartition("i")
+    return entries.join(per_row, "k").groupBy("i", "p").agg(merge)
 
 
 def merged_hll(a: Matrix, b: Matrix) -> DataFrame:
     """Registers of the rows of ``A·B``."""
-    return _merged(a, hll_registers(b), F.max("reg").alias("reg"))
+    return _merged(a, b, hll_registers(b), F.max("reg").alias("reg"))
 
 
 def merged_minhash(a: Matrix, b: Matrix) -> DataFrame:
-    return _merged(a, minhash_registers(b), F.min("minh").alias("minh"))
+    return _merged(a, b, minhash_registers(b), F.min("minh").alias("minh"))
 
 
 def _linear_count(empty: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Rows of a few fixed-width columns; about 64 MB at 32 bytes a row.
 BROADCAST_ROWS = 2_000_000
+# Rows one task may sort for a window.
+WINDOW_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:

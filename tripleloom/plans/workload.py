@@ -8,7 +8,7 @@ it; keys above the budget of a task are then cut into a grid of blocks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tripleloom.plans.sizing import BROADCAST_ROWS
 
 # Intermediate products one task is meant to make.
-TASK_PRODUCTS = 1 << 24
+TASK_PRODUCTS = 1 << 22
 # More join partitions than this cost more in scheduling than they balance.
 MOST_PARTITIONS = 200_000
 
@@ -30,6 +30,10 @@ class Workload:
     hot_keys: int
     left_nnz: int
     right_nnz: int
+    longest_left_row: int
+    longest_right_row: int
+    longest_left_column: int
+    longest_right_column: int
 
     def partitions(self, task_products: int = TASK_PRODUCTS) -> int:
         return max(1, min(MOST_PARTITIONS, -(-self.products // task_products)))
@@ -46,12 +50,12 @@ def key_counts(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def measure(left: DataFrame, right: DataFrame, task_products: int = TASK_PRODUCTS) -> Workload:
-    """Run the profiling job; one row comes back."""
+    """Run the profiling job; three rows come back."""
     lc = left.groupBy("k").agg(F.count(F.lit(1)).alias("lc"))
     rc = right.groupBy("k").agg(F.count(F.lit(1)).alias("rc"))
     # Counts are multiplied as DECIMAL: two BIGINT counts may overflow.
     work = F.col("lc").cast("decimal(19,0)") * F.col("rc").cast("decimal(19,0)")
-    row = (
+    by_key = (
         lc.join(rc, "k", "full_outer")
         .select("lc", "rc", work.alias("work"))
         .agg(
@@ -61,10 +65,14 @@ def measure(left: DataFrame, right: DataFrame, task_products: int = TASK_PRODUCT
             F.count_if(F.col("work") > task_products).alias("hot_keys"),
             F.sum("lc").alias("left_nnz"),
             F.sum("rc").alias("right_nnz"),
+            F.max("lc").alias("longest_left_column"),
+            F.max("rc").alias("longest_right_row"),
         )
-        .first()
     )
-    return Workload(*(int(x or 0) for x in row))
+    by_row = left.groupBy("i").count().agg(F.max("count").alias("longest_left_row"))
+    by_column = right.groupBy("j").count().agg(F.max("count").alias("longest_right_column"))
+    facts = by_key.unionByName(by_row, True).unionByName(by_column, True).collect()
+    return Workload(**{f.name: next((int(r[f.name]) for r in facts if r[f.name] is not None), 0) for f in fields(Workload)})
 
 
 def hot_key_grid(left: DataFrame, right: DataFrame, task_products: int) -> DataFrame:
