@@ -28,13 +28,14 @@ def follow_logs(spark: SparkSession, folder: str, results: str, name: str = "log
         spark.readStream.text(folder)
         .select(
             F.regexp_replace(meta["file_name"], r"\.[^.]*$", "").alias("run"),
-            F.struct(meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+            meta["file_block_start"].alias("block"),
             "value",
         )
     )
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        found = run_summary(batch)
+        at = F.struct("block", F.monotonically_increasing_id().alias("line"))
+        found = run_summary(batch.select("run", at.alias("at"), "value"))
         done = stored_results(batch.sparkSession, results)
         pending(found, done, "run").write.mode("append").parquet(results)
 
