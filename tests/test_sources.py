@@ -1,5 +1,6 @@
 import json
 import struct
+import uuid
 
 import numpy as np
 import pytest
@@ -187,7 +188,7 @@ def test_logs(spark, tmp_path):
 def test_logs_are_followed_once(spark, tmp_path):
     folder, table = tmp_path / "in", str(tmp_path / "table")
     folder.mkdir()
-    name = f"follow-{tmp_path.name}"
+    name = f"follow-{uuid.uuid4().hex}"
     (folder / "a.log").write_text(LOG)
     log_follow.follow_logs(spark, str(folder), table, name).awaitTermination()
     (folder / "b.log").write_text(LOG)
@@ -244,3 +245,18 @@ def test_index_pages(spark):
     rows = index_pages.parse_index(spark.createDataFrame([(page,), ("<p>none</p>",)], "html string")).collect()
     assert len(rows) == 1
     assert tuple(rows[0]) == (1, "one <a>", "HB", 1138, 1138, 4054, "power network", "1985", "/HB/one")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tripleloom.__main__ import main
+
+    path = saved(tmp_path, SAMPLE)
+    assert main(["product", path, "--out", str(tmp_path / "c")]) == 0
+    assert main(["product", path, "att", "--method", "MERGE", "--out", str(tmp_path / "u")]) == 0
+    assert main(["multiply", path, path, "--method", "outer", "--out", str(tmp_path / "d")]) == 0
+    out = capsys.readouterr().out
+    assert "Input A: 5 x 5, nnz = 9" in out and "Result C: 5 x 5, nnz = 11" in out and "nnz = 8" in out and "Time: " in out
+    assert main(["compare", str(tmp_path / "c"), str(tmp_path / "d")]) == 0
+    assert main(["compare", str(tmp_path / "c"), str(tmp_path / "u")]) == 1
+    assert main(["features", path]) == 0
+    assert "choice=merge3" in capsys.readouterr().out

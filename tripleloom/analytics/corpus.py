@@ -67,7 +67,8 @@ def pool(corpus: DataFrame) -> DataFrame:
     keep = F.when(F.col("__tight") >= FEWEST_TIGHT, within(TIGHT_ROWS, TIGHT_NNZ)).otherwise(
         within(LOOSE_ROWS, LOOSE_NNZ)
     )
-    return corpus.join(tight, "class").where(keep).drop("__tight")
+    # Tables by class have as many rows as there are density classes.
+    return corpus.join(F.broadcast(tight), "class").where(keep).drop("__tight")
 
 
 def _positions(counts: DataFrame, at: tuple[float, ...]) -> DataFrame:
@@ -93,7 +94,7 @@ def representatives(corpus: DataFrame, largest_id: int) -> DataFrame:
         [*value_levels("density_pct"), *id_levels("id", largest_id + 1)], ("class",), ["id"],
     )
     picked = by_size.select("class", "id").unionByName(by_density.select("class", "id")).distinct()
-    return usable.join(picked, ["class", "id"])
+    return usable.join(F.broadcast(picked), ["class", "id"])
 
 
 def more_representatives(corpus: DataFrame, chosen: DataFrame, target: int, largest_id: int) -> DataFrame:
@@ -112,7 +113,7 @@ def more_representatives(corpus: DataFrame, chosen: DataFrame, target: int, larg
         .withColumn("need", F.lit(target) - F.coalesce("have", F.lit(0)))
         .where("need > 0")
     )
-    candidates = free.join(sizes.select("class", "__tight", "need"), "class").where(
+    candidates = free.join(F.broadcast(sizes.select("class", "__tight", "need")), "class").where(
         tight | (F.col("__tight") < F.col("need"))
     )
     m = F.when(F.col("__tight") < F.col("need"), F.col("__all")).otherwise(F.col("__tight"))
@@ -126,7 +127,7 @@ def more_representatives(corpus: DataFrame, chosen: DataFrame, target: int, larg
         candidates, spots.select("class", "pick", rank.alias("rank")),
         [*value_levels("density_pct"), *id_levels("id", largest_id + 1)], ("class",), ["id"],
     )
-    return free.join(found.select("class", "id").distinct(), ["class", "id"])
+    return free.join(F.broadcast(found.select("class", "id").distinct()), ["class", "id"])
 
 
 def ordered_classes(corpus: DataFrame) -> DataFrame:
@@ -163,7 +164,8 @@ def log_histogram(corpus: DataFrame, column: str, bins: int = HISTOGRAM_BINS) ->
     place = F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1))
     return (
         logs.select("x", one)
-        .join(ends.select("lo", "hi", one), "one")
+        # One row: an aggregate without keys.
+        .join(F.broadcast(ends.select("lo", "hi", one)), "one")
         .groupBy(place.cast("long").alias("bin"), "lo", "hi")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(

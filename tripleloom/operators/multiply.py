@@ -50,33 +50,25 @@ def spgemm(
     size, or else joins on the inner key with hot keys cut into blocks.
     """
     a.require_inner(b)
-    left, right = left_side(a), right_side(b)
-    shape = (a.rows, b.cols)
-
+    method = method.lower()
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}, choose one of {', '.join(METHODS)}")
     if method == "tiled":
         return tiled_product(a, b, upper=upper)
-    if method == "rowwise":
-        entries = sum_products(joined(left, right, ["k"], upper))
-    elif method == "columnwise":
-        entries = sum_products(joined(right, left, ["k"], upper))
-    elif method == "merge":
-        entries = sum_products(joined(left, right.hint("merge"), ["k"], upper))
-    elif method == "broadcast":
-        entries = sum_products(broadcast_join(left, right, upper, broadcast_rows))
-    elif method == "bucketed":
-        entries = bucketed_sum(joined(left, right, ["k"], upper), buckets, b.cols).drop("b")
-    elif method == "inner":
-        structure = symbolic(a, b, upper)
-        entries = numeric(structure, a, b, upper).entries
-    elif method == "outer":
-        work = measure(left, right, task_products)
-        entries = sum_products(split_join(left, right, work, upper, task_products))
-    elif method == "auto":
-        work = measure(left, right, task_products)
+    if method == "inner":
+        return numeric(symbolic(a, b, upper), a, b, upper)
+
+    left, right = left_side(a), right_side(b)
+    work = measure(left, right, task_products)
+    if method == "auto":
         entries = over(planned_parts(left, right, work, upper, task_products, broadcast_rows), sum_products)
+    elif method == "broadcast" and work.right_nnz <= broadcast_rows:
+        entries = sum_products(joined(left, F.broadcast(right), ["k"], upper))
+    elif method == "bucketed":
+        entries = bucketed_sum(split_join(left, right, work, upper, task_products), buckets, b.cols).drop("b")
     else:
-        raise ValueError(f"unknown method {method!r}, choose one of {', '.join(METHODS)}")
-    return Matrix(entries, *shape)
+        entries = sum_products(split_join(left, right, work, upper, task_products, method))
+    return Matrix(entries, a.rows, b.cols)
 
 
 def outer_gram(a: Matrix, upper: bool = True, **options) -> Matrix:
@@ -136,12 +128,15 @@ def numeric(structure: DataFrame, a: Matrix, b: Matrix, upper: bool = False) ->
 def bucketed_product(a: Matrix, b: Matrix, buckets: int = 5, upper: bool = False) -> DataFrame:
     """The product with the column bucket ``b`` of every entry as part of the shuffle key."""
     a.require_inner(b)
-    return bucketed_sum(joined(left_side(a), right_side(b), ["k"], upper), buckets, b.cols)
+    left, right = left_side(a), right_side(b)
+    pairs = split_join(left, right, measure(left, right), upper, TASK_PRODUCTS)
+    return bucketed_sum(pairs, buckets, b.cols)
 
 
 def products(a: Matrix, b: Matrix) -> DataFrame:
     """The intermediate products ``(i, j, p)`` before they are added up."""
-    return joined(left_side(a), right_side(b), ["k"], False)
+    left, right = left_side(a), right_side(b)
+    return split_join(left, right, measure(left, right), False, TASK_PRODUCTS)
 
 
 # --- joins --------------------------------------------------------------------
@@ -173,20 +168,22 @@ def bucketed_sum(pairs: DataFrame, buckets: int, cols: int) -> DataFrame:
 
 
 def split_join(
-    left: DataFrame, right: DataFrame, work: Workload, upper: bool, task_products: int
+    left: DataFrame, right: DataFrame, work: Workload, upper: bool, task_products: int, order: str = "outer"
 ) -> DataFrame:
-    """Join on the inner key, hot keys cut into a grid of blocks."""
-    cut_left, cut_right = split_hot_keys(left, right, work, task_products)
-    keys = ["k", "ls", "rs"]
-    if work.hot_keys == 0:
-        cut_left, cut_right, keys = left, right, ["k"]
-    cut_left, cut_right = co_partitioned(cut_left, cut_right, keys, work.partitions(task_products))
-    return joined(cut_left, cut_right, keys, upper)
-
-
-def broadcast_join(left: DataFrame, right: DataFrame, upper: bool, broadcast_rows: int) -> DataFrame:
-    """Broadcast the right side if its counted size allows, else let the join shuffle."""
-    return joined(left, broadcast_if_small(right, broadcast_rows), ["k"], upper)
+    """Join on the inner key, hot keys cut into a grid of blocks.
+
+    ``order`` decides which side is streamed: rows of ``A`` (``rowwise``),
+    columns of ``B`` (``columnwise``), or both sides sorted on the inner key
+    (``merge``).  ``outer`` fixes the partitions on the inner key beforehand
+    where the products need more of them than the session has.
+    """
+    keys = ["k", "ls", "rs"] if work.hot_keys else ["k"]
+    if work.hot_keys:
+        left, right = split_hot_keys(left, right, work, task_products)
+    if order == "merge":
+        return joined(left, right.hint("merge"), keys, upper)
+    left, right = co_partitioned(left, right, keys, work.partitions(task_products))
+    return joined(right, left, keys, upper) if order == "columnwise" else joined(left, right, keys, upper)
 
 
 def planned(a: Matrix, b: Matrix, upper: bool = False) -> list[DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripleloom.functions.scalar import column_bucket, whole
 from tripleloom.matrix import Matrix
 from tripleloom.operators.scans import prefix_sum, ranked
+from tripleloom.plans.sizing import BROADCAST_ROWS
 
 # A row of the row form holds at most this many columns; longer rows continue in the next segment.
 SEGMENT_COLUMNS = 65_536
@@ -66,7 +67,11 @@ def positions_in_row(m: Matrix) -> DataFrame:
 def csr_positions(m: Matrix) -> DataFrame:
     """Entries with their position in the row-major value array."""
     inside = positions_in_row(m)
-    return inside.join(row_offsets(m).select("i", "row_ptr"), "i").select(
+    offsets = row_offsets(m).select("i", "row_ptr")
+    # One offset per row of the shape, so the shape bounds what is sent.
+    if m.rows <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    return inside.join(offsets, "i").select(
         "i", "j", "v", (F.col("row_ptr") + F.col("pos")).alias("at")
     )
 

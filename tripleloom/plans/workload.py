@@ -105,10 +105,6 @@ def split_hot_keys(
     Every pair of entries with equal ``k`` meets in exactly one block, so the
     join yields the same pairs as one on ``k`` alone.
     """
-    if workload.hot_keys == 0:
-        whole = [F.lit(0).alias("ls"), F.lit(0).alias("rs")]
-        return left.select("*", *whole), right.select("*", *whole)
-
     grid = hot_key_grid(left, right, task_products)
     if workload.hot_keys <= BROADCAST_ROWS:
         grid = F.broadcast(grid)
