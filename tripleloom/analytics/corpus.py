@@ -158,19 +158,12 @@ def typical_density(corpus: DataFrame) -> DataFrame:
 def log_histogram(corpus: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """``(bin, n, lo, hi)``: equal bins over ``log10`` of the positive values, the last one closed."""
     logs = corpus.where(F.col(column) > 0).select(F.log10(column).alias("x"))
-    ends = logs.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    one = F.lit(1).alias("one")
-    width = (F.col("hi") - F.col("lo")) / bins
-    place = F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), width)), F.lit(0)), F.lit(bins - 1))
+    lo, hi = logs.agg(F.min("x"), F.max("x")).first()
+    lo, width = lo or 0.0, ((hi or 0.0) - (lo or 0.0)) / bins
+    place = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width or 1.0)), F.lit(bins - 1))
+    edge = lambda b: F.lit(lo) + F.lit(width) * b
     return (
-        logs.select("x", one)
-        # One row: an aggregate without keys.
-        .join(F.broadcast(ends.select("lo", "hi", one)), "one")
-        .groupBy(place.cast("long").alias("bin"), "lo", "hi")
+        logs.groupBy(place.cast("long").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "bin", "n",
-            (F.col("lo") + width * F.col("bin")).alias("bin_lo"),
-            (F.col("lo") + width * (F.col("bin") + 1)).alias("bin_hi"),
-        )
+        .select("bin", "n", edge(F.col("bin")).alias("bin_lo"), edge(F.col("bin") + 1).alias("bin_hi"))
     )

@@ -164,9 +164,9 @@ FROM ({LONG}) WHERE s > 0 AND b > 0 GROUP BY GROUPING SETS ((baseline, class), (
 WHERE auto > 0 AND cu > 0 AND auto > cu ORDER BY auto / cu DESC, matrix LIMIT 15""",
     ),
     "tightest_margins": Query(
-        lambda t: _round(be.tightest(runs(t), "auto", "dense", 2.5, 8), "ratio"),
+        lambda t: _round(be.tightest(runs(t), "auto", "dense", 5.0, 8), "ratio"),
         f"""SELECT matrix, round(dense / auto, 9) AS ratio, dense - auto AS margin_ms FROM ({RUNS})
-WHERE auto > 0 AND dense > 0 AND dense / auto < 2.5::DOUBLE ORDER BY dense / auto, matrix LIMIT 8""",
+WHERE auto > 0 AND dense > 0 AND dense / auto < 5.0::DOUBLE ORDER BY dense / auto, matrix LIMIT 8""",
     ),
     "choice_counts": Query(
         lambda t: be.choice_counts(runs(t), "choice"),

@@ -60,14 +60,21 @@ def _formula(t):
     return mul.square_product(m, method=method_for(m)).entries
 
 
-def _spmv_check(t):
-    """``A·(A·x)`` against ``(A·A)·x``: the positions that differ, of which there are none."""
+def _twice(t):
+    """``A·(A·x)``, which the SQL computes as ``(A·A)·x``."""
     a = t.once("customer_square")
     x = t.spark.range(a.cols).select(F.col("id").alias("j"), (F.col("id") % 7 + 1).cast("double").alias("x"))
     once = spmv(a, x).select(F.col("i").alias("j"), F.col("y").alias("x"))
-    twice = spmv(a, once)
+    return spmv(a, once)
+
+
+def _vector_check(t):
+    """Rows where ``A·(A·x)`` and ``(A·A)·x`` differ, and the rows compared."""
+    a = t.once("customer_square")
+    x = t.spark.range(a.cols).select(F.col("id").alias("j"), (F.col("id") % 7 + 1).cast("double").alias("x"))
     direct = spmv(mul.square_product(a), x)
-    return vector_diff(twice, direct).agg(F.count(F.lit(1)).alias("differences"))
+    bad = vector_diff(_twice(t), direct).select("i", F.lit(1).alias("bad"))
+    return direct.join(bad, "i", "left").agg(F.count(F.lit(1)).alias("compared"), F.count("bad").alias("differences"))
 
 
 ORDER_SIZE = f"""SELECT a.i AS i, sum(a.v * p_size) AS y FROM ({sql.ORDER_PART}) a
@@ -154,5 +161,13 @@ LEFT JOIN (SELECT i, sum(v * (j + 3)) AS y FROM ({sql.DOCUMENT_LABEL}) GROUP BY
         f"""SELECT a.j AS i, sum(a.v * floor(o_totalprice)) AS y FROM ({sql.ORDER_PART}) a
 JOIN orders ON a.i = o_orderkey GROUP BY 1""",
     ),
-    "spmv_product_identity": Query(_spmv_check, "SELECT CAST(0 AS BIGINT) AS differences FROM orders LIMIT 1"),
+    "spmv_twice": Query(
+        _twice,
+        f"""SELECT d.i AS i, coalesce(y, 0.0::DOUBLE) AS y
+FROM (SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS i) d
+LEFT JOIN (SELECT i, sum(v * (j % 7 + 1)) AS y FROM ({SQUARE}) GROUP BY 1) s ON d.i = s.i""",
+    ),
+    "vector_diff": Query(
+        _vector_check, "SELECT count(*) AS compared, CAST(0 AS BIGINT) AS differences FROM customer"
+    ),
 }

@@ -62,13 +62,13 @@ def products_by_column(a: Matrix, b: Matrix) -> DataFrame:
 def product_totals(a: Matrix, b: Matrix) -> DataFrame:
     """One row: total products, operations (a multiply and an add each), largest row, longest row of ``A``."""
     per_row = product_counts(a, b)
-    longest = row_lengths(a).agg(F.max("nnz").alias("longest_row")).withColumn("one", F.lit(1))
-    totals = per_row.agg(
-        F.sum("products").alias("products"), F.max("products").alias("largest_row_products")
-    ).withColumn("one", F.lit(1))
-    return totals.join(longest, "one").select(
-        "products", (F.col("products") * 2).alias("operations"), "largest_row_products", "longest_row"
+    longest = row_lengths(a).agg(F.max("nnz").alias("longest_row"))
+    totals = per_row.agg(F.sum("products").alias("products"), F.max("products").alias("largest_row_products"))
+    # Two single rows, folded into one.
+    facts = totals.unionByName(longest, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("products", "largest_row_products", "longest_row")]
     )
+    return facts.select("products", (F.col("products") * 2).alias("operations"), "largest_row_products", "longest_row")
 
 
 def output_column_range(a: Matrix, b: Matrix) -> DataFrame:
