@@ -12,8 +12,11 @@ WINDOW_ROWS = 1_000_000
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has no more than ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has no more than ``rows`` rows.
+
+    A full count moves no rows; a limit would send its rows to one task.
+    """
+    return df.count() <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

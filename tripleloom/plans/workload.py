@@ -8,7 +8,7 @@ it; keys above the budget of a task are then cut into a grid of blocks.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame
@@ -30,10 +30,8 @@ class Workload:
     hot_keys: int
     left_nnz: int
     right_nnz: int
-    longest_left_row: int
-    longest_right_row: int
     longest_left_column: int
-    longest_right_column: int
+    longest_right_row: int
 
     def partitions(self, task_products: int = TASK_PRODUCTS) -> int:
         return max(1, min(MOST_PARTITIONS, -(-self.products // task_products)))
@@ -50,29 +48,24 @@ def key_counts(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def measure(left: DataFrame, right: DataFrame, task_products: int = TASK_PRODUCTS) -> Workload:
-    """Run the profiling job; three rows come back."""
+    """Run the profiling job; one row comes back."""
     lc = left.groupBy("k").agg(F.count(F.lit(1)).alias("lc"))
     rc = right.groupBy("k").agg(F.count(F.lit(1)).alias("rc"))
     # Counts are multiplied as DECIMAL: two BIGINT counts may overflow.
     work = F.col("lc").cast("decimal(19,0)") * F.col("rc").cast("decimal(19,0)")
-    by_key = (
-        lc.join(rc, "k", "full_outer")
-        .select("lc", "rc", work.alias("work"))
-        .agg(
-            F.sum("work").alias("products"),
-            F.max("work").alias("largest_key"),
-            F.count("work").alias("inner_keys"),
-            F.count_if(F.col("work") > task_products).alias("hot_keys"),
-            F.sum("lc").alias("left_nnz"),
-            F.sum("rc").alias("right_nnz"),
-            F.max("lc").alias("longest_left_column"),
-            F.max("rc").alias("longest_right_row"),
-        )
-    )
-    by_row = left.groupBy("i").count().agg(F.max("count").alias("longest_left_row"))
-    by_column = right.groupBy("j").count().agg(F.max("count").alias("longest_right_column"))
-    facts = by_key.unionByName(by_row, True).unionByName(by_column, True).collect()
-    return Workload(**{f.name: next((int(r[f.name]) for r in facts if r[f.name] is not None), 0) for f in fields(Workload)})
+    facts = {
+        "products": F.sum("work"),
+        "largest_key": F.max("work"),
+        "inner_keys": F.count("work"),
+        "hot_keys": F.count_if(F.col("work") > task_products),
+        "left_nnz": F.sum("lc"),
+        "right_nnz": F.sum("rc"),
+        "longest_left_column": F.max("lc"),
+        "longest_right_row": F.max("rc"),
+    }
+    by_key = lc.join(rc, "k", "full_outer").select("lc", "rc", work.alias("work"))
+    row = by_key.agg(*[column.alias(name) for name, column in facts.items()]).first()
+    return Workload(**{name: int(row[name] or 0) for name in facts})
 
 
 def hot_key_grid(left: DataFrame, right: DataFrame, task_products: int) -> DataFrame:
