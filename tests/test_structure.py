@@ -212,3 +212,28 @@ def test_mirror_and_prune(matrix):
     assert cells(reshape.mirrored(m, -1.0))[(1, 0)] == -2
     assert cells(reshape.pruned(m, 1.5)) == {(0, 1): 2, (1, 1): 3}
     assert reshape.densified(m).count() == 4
+
+
+def test_estimate_follows_the_input_size(matrix):
+    rng = np.random.default_rng(16)
+    m = matrix(rng.integers(0, 2, (15, 15)))
+    bound = {r["i"]: r["products"] for r in rowstats.product_counts(m, m).collect()}
+    small = {r["i"]: r["est"] for r in sketches.row_estimate(m, m, sketches.SMALL_INPUT_NNZ - 1).collect()}
+    assert small == bound
+    for method, direct in (("hll", sketches.hll_estimate), ("minhash", sketches.minhash_estimate)):
+        large = {r["i"]: r["slots"] for r in sketches.row_estimate(m, m, sketches.SMALL_INPUT_NNZ, method).collect()}
+        assert large == {r["i"]: r["slots"] for r in direct(m, m).collect()}
+
+
+def test_accumulator_choice(matrix):
+    a = np.zeros((4, 600))
+    a[0, 0] = 1
+    a[1, :3] = 1
+    a[2, 3:5] = 1
+    b = np.zeros((600, 600))
+    b[0, :500] = 1
+    b[3, [0, 599]] = 1
+    b[4, [5, 300]] = 1
+    b[1, 0] = b[2, 0] = 1
+    got = {r["i"]: (r["kind"], r["size_class"]) for r in rowstats.accumulator_choice(matrix(a), matrix(b), 1024).collect()}
+    assert got == {0: ("direct", 2), 1: ("dense", 2), 2: ("hash", 5)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "20
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tripleloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _temporary_folder()
     return path.rstrip("/")
 
 
+@cache
+def _temporary_folder() -> str:
+    return tempfile.mkdtemp(prefix="tripleloom-")
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by writing ``df`` as Parquet in the shared folder.
 
