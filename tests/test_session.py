@@ -20,4 +20,4 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_written_tables_keep_rows_and_schema(spark):
     df = spark.range(10).selectExpr("id", "cast(null as double) AS x")
     kept = session.written(df)
-    assert kept.schema == df.schema and kept.count() == 10
+    assert kept.dtypes == df.dtypes and kept.count() == 10
