@@ -70,8 +70,8 @@ def bands(num: int, den: int, most: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def node_of(own: np.ndarray) -> int:
     """A set's id: a scrambled sum over its elements and its size."""
-    total = mixed(own).sum(dtype=np.uint64) + np.uint64(len(own)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(mixed(np.array([total], np.uint64))[0].view(np.int64))
+    total = mixed(own).sum(keepdims=True) + np.array([len(own)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return int(mixed(total).view(np.int64)[0])
 
 
 def keys_of(own: np.ndarray, num: int, den: int) -> np.ndarray:

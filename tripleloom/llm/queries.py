@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleloom.llm import chat, decontaminate, jaccard, licences, line_dedup, pieces, quality, sharding, tokens, toxicity
+from tripleloom.llm.sql import SQL  # noqa: F401
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -102,5 +103,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
 }
-
-SQL: dict[str, str] = {}
