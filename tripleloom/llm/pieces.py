@@ -14,7 +14,8 @@ The state of a prefix depends on the kind of model:
   encoding that the library gives.
 
 A marked word is a run of marks (U+2581 for spaces) with what follows it; no piece
-has a mark after another character, which is checked when the model is loaded.
+has a mark after another character, which is checked when the model is loaded.  If no
+piece joins a letter with a character of another kind, words also end between them.
 Texts are taken unchanged, as models with an identity normalizer do.
 
 Defined results: a null or empty text has no pieces and decodes to an empty text;
@@ -23,17 +24,20 @@ repeated rows are encoded one by one; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
 from tripleloom.llm.words import slices
 
 MARK = "▁"
+LETTER = r"[^\W\d_{}]"
+ONE = (1,)
 #: Words, and allowed or forbidden pairs, that a worker remembers.
 KNOWN = 600_000
 LONGEST = 64
@@ -48,10 +52,25 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("a piece has a mark after another character")
         self.text = {i: p for p, i in ids.items()}
+        pairs = {pair for p in scores for pair in zip(p.lstrip(MARK), p.lstrip(MARK)[1:])}
+        # Numerals that the letter class takes in, but no word: they stand with punctuation in pieces.
+        numerals = "".join(sorted({c for pair in pairs for c in pair if c.isalnum() and not c.isalpha() and not c.isdecimal()}))
+        letter = LETTER.format(re.escape(numerals))
+        is_letter = re.compile(letter).fullmatch
+        joins = any(bool(is_letter(a)) != bool(is_letter(b)) for a, b in pairs)
+        #: Where no piece joins a letter with another character, a word ends between them.
+        self.split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if joins else f"{MARK}*{letter}+|{MARK}*(?:(?!{letter})[^{MARK}])+|{MARK}+").findall
+        #: Pieces that merging ever makes, and their lengths by their last two characters, longest first.
+        self.usable = {p for p in scores if len(p) > 1 and (kind != "bpe" or self.merged(p) == [p])}
+        ends: dict[str, set[int]] = {}
+        for piece in self.usable:
+            ends.setdefault(piece[-2:], {1}).add(len(piece))
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.byte_of = {i: b for b, i in enumerate(by_bytes)}
         self.words: dict[str, tuple[int, ...]] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.usable: dict[str, bool] = {}
+        #: By left piece, whether a right piece stays apart from it.
+        self.apart: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
 
     @staticmethod
     def load(path: str, kind: str = "bpe") -> Pieces:
@@ -78,33 +97,42 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stays_apart(self, pair: tuple[str, str]) -> bool:
-        if len(self.apart) >= KNOWN:
-            self.apart.clear()
-        self.apart[pair] = found = self.merged(pair[0] + pair[1]) == [*pair]
-        return found
-
-    def made(self, piece: str) -> bool:
-        """Whether merging ever makes this piece."""
-        self.usable[piece] = found = len(piece) == 1 or piece in self.scores and self.merged(piece) == [piece]
-        return found
-
-    def extend_bpe(self, word: str, state: list) -> None:
-        """Append to ``state`` the length of the last piece of each longer prefix of ``word``."""
-        usable, apart, longest = self.usable, self.apart, self.longest
+    def stays_apart(self, left: str, right: str) -> bool:
+        if self.pairs >= KNOWN:
+            self.pairs = 0
+            for found in self.apart.values():
+                found.clear()
+        self.pairs += 1
+        apart = self.merged(left + right) == [left, right]
+        self.apart[left][right] = apart
+        return apart
+
+    def extend_bpe(self, word: str, state: list, tables: list) -> None:
+        """Append to ``state`` the last piece of each longer prefix of ``word``, and to ``tables`` what stays apart from it."""
+        usable, ends, apart = self.usable, self.ends, self.apart
+        del tables[len(state) :]
         for end in range(len(state), len(word) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            for length in ends.get(word[end - 2 : end], ONE) if end > 1 else ONE:
+                start = end - length
+                if start < 0:
+                    continue
                 piece = word[start:end]
-                if not (usable[piece] if piece in usable else piece in self.scores and self.made(piece) or len(piece) == 1):
+                if length > 1 and piece not in usable:
                     continue
                 if start == 0:
                     break
-                pair = (word[start - state[start] : start], piece)
-                if apart[pair] if pair in apart else self.stays_apart(pair):
+                free = tables[start].get(piece)
+                if free is None:
+                    free = self.stays_apart(state[start], piece)
+                if free:
                     break
             else:
                 raise ValueError(f"no encoding of {word[:end]!r}")
-            state.append(end - start)
+            state.append(piece)
+            table = apart.get(piece)
+            if table is None:
+                table = apart[piece] = {}
+            tables.append(table)
 
     def extend_unigram(self, word: str, state: list, best: list) -> None:
         """The same by the best sum of scores; an unknown character costs more than any piece."""
@@ -117,20 +145,18 @@ class Pieces:
                 if end - start == 1 or word[start:end] in self.scores
             )
             best.append(score)
-            state.append(end - start)
+            state.append(word[start:end])
 
     def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct words, in trie order with shared forward states."""
-        out, state, best, last = {}, [0], [0.0], ""
+        out, state, tables, best, last = {}, [""], [{}], [0.0], ""
         for word in sorted(words):
-            shared = 0
-            for a, b in zip(word, last):
-                if a != b:
-                    break
+            shared, most = 0, min(len(word), len(last))
+            while shared < most and word[shared] == last[shared]:
                 shared += 1
             del state[shared + 1 :]
             if self.kind == "bpe":
-                self.extend_bpe(word, state)
+                self.extend_bpe(word, state, tables)
             else:
                 self.extend_unigram(word, state, best)
             out[word] = self._path(word, state)
@@ -140,27 +166,25 @@ class Pieces:
     def _path(self, word: str, state: list) -> tuple[int, ...]:
         ids, end = [], len(word)
         while end:
-            start = end - state[end]
-            piece = word[start:end]
+            piece = state[end]
             if piece in self.ids:
                 ids.append(self.ids[piece])
             elif self.by_bytes:
                 ids.extend(self.by_bytes[b] for b in reversed(piece.encode()))
             else:
                 ids.append(self.unknown)
-            end = start
+            end -= len(piece)
         return tuple(reversed(ids))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        find = _marked().findall
-        split = [find((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {w for found in split for w in found if w not in self.words}
-        if len(self.words) + len(fresh) > KNOWN:
-            self.words.clear()
-            fresh = {w for found in split for w in found}
-        self.words.update(self.encode_words(list(fresh)))
-        words = self.words
-        out = [[i for w in found for i in words[w]] for found in split]
+        split = [self.split((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
+        words, every = self.words, set(chain.from_iterable(split))
+        fresh = every.difference(words) if len(every) < len(words) else {w for w in every if w not in words}
+        if len(words) + len(fresh) > KNOWN:
+            words.clear()
+            fresh = every
+        words.update(self.encode_words(list(fresh)))
+        out = [list(chain.from_iterable(map(words.__getitem__, found))) for found in split]
         for w in fresh:
             if len(w) > LONGEST:
                 del words[w]
@@ -172,7 +196,7 @@ class Pieces:
     def _decoded(self, row: list[int]) -> str:
         text, byte_of = self.text, self.byte_of
         try:
-            whole = "".join([text[i] for i in row])
+            whole = "".join(map(text.__getitem__, row))
         except KeyError:
             spelled = bytearray()
             for i in row:
@@ -184,11 +208,6 @@ class Pieces:
         return whole.replace(MARK, " ").removeprefix(" ")
 
 
-@cache
-def _marked() -> regex.Pattern:
-    return regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-
-
 @cache
 def vocabulary(path: str, kind: str = "bpe") -> Pieces:
     return Pieces.load(path, kind)
