@@ -98,28 +98,29 @@ def expected_picks(rows, by, at):
 
 def test_representatives(corpus):
     got = {}
-    for r in co.representatives(corpus, 300).collect():
+    for r in co.representatives(corpus, 300, co.CUSTOMARY).collect():
         got.setdefault(r["class"], set()).add(r["id"])
     by_class = {}
     for r in corpus.collect():
         by_class.setdefault(r["class"], []).append(r)
     for name, rows in by_class.items():
-        tight = [r for r in rows if r["n"] <= co.TIGHT_ROWS and r["nnz"] <= co.TIGHT_NNZ]
-        pool = tight if len(tight) >= 5 else [r for r in rows if r["n"] <= co.LOOSE_ROWS and r["nnz"] <= co.LOOSE_NNZ]
+        within = lambda r, limit: r["n"] <= limit[0] and r["nnz"] <= limit[1]
+        tight = [r for r in rows if within(r, co.CUSTOMARY.tight)]
+        pool = tight if len(tight) >= 5 else [r for r in rows if within(r, co.CUSTOMARY.loose)]
         want = expected_picks(pool, "nnz", co.SIZE_POSITIONS) | expected_picks(pool, "density_pct", co.DENSITY_POSITIONS)
         assert got[name] == want
     assert set(got) == set(by_class)
 
 
 def test_more_representatives(corpus):
-    chosen = co.representatives(corpus, 300)
-    more = co.more_representatives(corpus, chosen, 8, 300).collect()
+    chosen = co.representatives(corpus, 300, co.CUSTOMARY)
+    more = co.more_representatives(corpus, chosen, 8, 300, co.CUSTOMARY).collect()
     taken = {r["id"] for r in chosen.collect()}
     assert not taken & {r["id"] for r in more}
     for name in {r["class"] for r in more}:
         have = sum(1 for r in chosen.collect() if r["class"] == name)
         free = [r for r in corpus.where(F.col("class") == name).collect() if r["id"] not in taken]
-        tight = [r for r in free if r["n"] <= co.TIGHT_ROWS and r["nnz"] <= co.TIGHT_NNZ]
+        tight = [r for r in free if r["n"] <= co.CUSTOMARY.tight[0] and r["nnz"] <= co.CUSTOMARY.tight[1]]
         pool = free if len(tight) < 8 - have else tight
         want = expected_picks(pool, "density_pct", np.linspace(0.05, 0.95, 8 - have))
         assert {r["id"] for r in more if r["class"] == name} == want
@@ -160,7 +161,9 @@ def test_fits(spark):
     beta, r2 = rg.least_squares(df, F.ln("hash_ms"), [F.ln("flop"), F.ln(F.col("n").cast("double")), F.lit(1.0)])
     np.testing.assert_allclose(beta, want, rtol=1e-6)
     assert r2 == pytest.approx(row["r2"])
-    assert rg.time_model(df, "hash")[1] > 0.5
+    unequal = df.withColumn("y", 3 * F.col("flop") + 2e8 * F.col("nnz") * 1e-12 + 1)
+    beta, r2 = rg.least_squares(unequal, F.col("y"), [F.col("flop"), F.col("nnz") * 1e-12, F.lit(1.0)])
+    np.testing.assert_allclose(beta, [3, 2e8, 1], rtol=1e-4)
     fitted = rg.fit_dispatcher(df)
     accuracy = dispatch.evaluation(df, fitted).first()
     assert accuracy["accuracy"] > 0.9

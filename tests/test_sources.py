@@ -109,12 +109,34 @@ def test_written_text_reads_back(spark, tmp_path, matrix):
     assert spots == sorted(spots)
 
 
-def test_parse_once(spark, tmp_path, symmetric5):
+def test_parse_once(spark, tmp_path, symmetric5, monkeypatch):
     text, kept = saved(tmp_path, SAMPLE), str(tmp_path / "kept")
     assert cells(cache.parse_once(spark, text, kept)) == cells(symmetric5)
-    (tmp_path / "m.mtx").write_text("gone")
-    again = cache.parse_once(spark, text, kept)
-    assert (again.rows, again.cols) == (5, 5) and cells(again) == cells(symmetric5)
+    with monkeypatch.context() as m:
+        m.setattr(cache, "read_matrix_market", None)
+        again = cache.parse_once(spark, text, kept)
+        assert (again.rows, again.cols) == (5, 5) and cells(again) == cells(symmetric5)
+    skew = saved(tmp_path, "%%MatrixMarket matrix coordinate real skew-symmetric\n2 2 1\n2 1 3\n")
+    assert cells(cache.parse_once(spark, skew, kept)) == {(1, 0): 3, (0, 1): -3}
+    assert cells(cache.parse_once(spark, skew, kept, "core")) == {(1, 0): 3, (0, 1): 3}
+
+
+def test_parse_once_after_a_broken_attempt(spark, tmp_path, symmetric5, monkeypatch):
+    text, kept = saved(tmp_path, SAMPLE), str(tmp_path / "kept")
+    with monkeypatch.context() as m:
+        m.setattr(cache, "SHAPE_SCHEMA", "no schema")
+        with pytest.raises(Exception):
+            cache.parse_once(spark, text, kept)
+    assert cells(cache.parse_once(spark, text, kept)) == cells(symmetric5)
+
+
+def test_short_and_crooked_files_are_refused(spark, tmp_path):
+    head = "%%MatrixMarket matrix coordinate real general\n3 3 {}\n"
+    with pytest.raises(matrix_market.FormatError):
+        matrix_market.read_matrix_market(spark, saved(tmp_path, head.format(5) + "1 1 1\n2 2 2\n"))
+    outside = matrix_market.read_matrix_market(spark, saved(tmp_path, head.format(1) + "9 9 1\n"))
+    with pytest.raises(Exception, match="bad Matrix Market line"):
+        outside.entries.groupBy("j").count().collect()
 
 
 @pytest.mark.parametrize("value_bytes", [8, 4])

@@ -11,7 +11,7 @@ from tripleloom.operators.scans import medians, quantiles
 # Bands of the tallies.
 TIE_UPTO = 1.05
 NEAR_SHARE = 0.03
-TRANSFERS = ("h2d", "d2h")
+TRANSFERS = ("h2d", "d2h", "h2dmalloc")
 TOTAL_PHASE = "TOTAL(GPU)"
 # Phases in report order and the group of each.
 PHASES = (
@@ -146,13 +146,13 @@ def nnz_gaps(runs: DataFrame, expected: str, others: list[str], key: str = "matr
 # --- phases ------------------------------------------------------------------------
 
 
-def phase_durations(timed: DataFrame, phases: tuple[str, ...] = ("start", *PHASES)) -> DataFrame:
+def phase_durations(timed: DataFrame, phases: tuple[str, ...] | None = None) -> DataFrame:
     """``(run, tag, phase, ms)``: time since the mark before, in order of time.
 
-    ``timed`` holds one mark per run, tag and phase; the fixed list of phases
-    bounds the window of a run.  The first mark has no duration and drops out.
+    ``timed`` holds one mark per run, tag and phase, so the program's phases bound the window of
+    a run.  Every mark counts unless ``phases`` names some.  The first mark has no duration and drops out.
     """
-    marks = timed.where(F.col("phase").isin(*phases))
+    marks = timed.where(F.col("phase").isin(*phases)) if phases else timed
     before = F.lag("ms").over(Window.partitionBy("run", "tag").orderBy("ms", "phase"))
     return (
         marks.withColumn("before", before)
@@ -183,8 +183,11 @@ def profile_compute_only(timed: DataFrame) -> DataFrame:
 
 
 def phase_group_means(durations: DataFrame) -> DataFrame:
-    """``(tag, group, ms)``: mean over runs of the time per phase group; a run without the group counts as 0."""
-    group = looked_up(F.col("phase"), PHASE_GROUPS)
+    """``(tag, group, ms)``: mean over runs of the time per phase group; a run without the group counts as 0.
+
+    A phase without a group is a group of its own name.
+    """
+    group = F.coalesce(looked_up(F.col("phase"), PHASE_GROUPS), F.col("phase"))
     runs = durations.groupBy("tag").agg(F.count_distinct("run").alias("runs"))
     sums = (
         durations.withColumn("group", group)

@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import class_rank, density_class, geomean
 from tripleloom.operators.scans import at_ranks, id_levels, medians, value_levels
 
-# Size limits of the pool, positions picked by size and by density.
-TIGHT_ROWS, TIGHT_NNZ = 500_000, 10_000_000
-LOOSE_ROWS, LOOSE_NNZ = 2_000_000, 50_000_000
-FEWEST_TIGHT = 5
+# Positions picked by size and by density.
 SIZE_POSITIONS = (0.10, 0.50, 0.90)
 DENSITY_POSITIONS = (0.05, 0.95)
 MORE_LOW, MORE_HIGH = 0.05, 0.95
 HISTOGRAM_BINS = 60
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Largest rows and entries of the matrices picked from: tight ones, and loose ones for classes with few others."""
+
+    tight: tuple[int, int]
+    loose: tuple[int, int]
+    fewest: int = 5
+
+
+# The customary limits of the pool; no limit is set unless they are passed.
+CUSTOMARY = Limits((500_000, 10_000_000), (2_000_000, 50_000_000))
+
+
+def _within(limit: tuple[int, int]) -> Column:
+    return (F.col("n") <= limit[0]) & (F.col("nnz") <= limit[1])
+
+
 def enriched(index: DataFrame, base_url: str) -> DataFrame:
     """Adds positions, density, sparsity, entries per row, squareness, year and download address.
 
@@ -58,15 +74,12 @@ def class_summary(corpus: DataFrame) -> DataFrame:
     return counts.withColumn("share_pct", F.col("matrices") * 100.0 / total)
 
 
-def pool(corpus: DataFrame) -> DataFrame:
-    """Matrices of usable size: the tight limits, or the loose ones for classes with fewer than five."""
-    def within(rows: int, nnz: int) -> Column:
-        return (F.col("n") <= rows) & (F.col("nnz") <= nnz)
-
-    tight = corpus.groupBy("class").agg(F.count_if(within(TIGHT_ROWS, TIGHT_NNZ)).alias("__tight"))
-    keep = F.when(F.col("__tight") >= FEWEST_TIGHT, within(TIGHT_ROWS, TIGHT_NNZ)).otherwise(
-        within(LOOSE_ROWS, LOOSE_NNZ)
-    )
+def pool(corpus: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """All matrices, or those within the tight limits; within the loose ones for classes with fewer than ``fewest``."""
+    if limits is None:
+        return corpus
+    tight = corpus.groupBy("class").agg(F.count_if(_within(limits.tight)).alias("__tight"))
+    keep = F.when(F.col("__tight") >= limits.fewest, _within(limits.tight)).otherwise(_within(limits.loose))
     # Tables by class have as many rows as there are density classes.
     return corpus.join(F.broadcast(tight), "class").where(keep).drop("__tight")
 
@@ -78,12 +91,12 @@ def _positions(counts: DataFrame, at: tuple[float, ...]) -> DataFrame:
     return counts.select("class", F.posexplode(ranks).alias("pick", "rank"))
 
 
-def representatives(corpus: DataFrame, largest_id: int) -> DataFrame:
+def representatives(corpus: DataFrame, largest_id: int, limits: Limits | None = None) -> DataFrame:
     """Per class: small, middle and large matrices by entries, thin and full ones by density.
 
     Equal keys are ordered by id.  A matrix picked twice appears once.
     """
-    usable = pool(corpus)
+    usable = pool(corpus, limits)
     counts = usable.groupBy("class").agg(F.count(F.lit(1)).alias("m"))
     by_size = at_ranks(
         usable, _positions(counts, SIZE_POSITIONS),
@@ -97,15 +110,17 @@ def representatives(corpus: DataFrame, largest_id: int) -> DataFrame:
     return usable.join(F.broadcast(picked), ["class", "id"])
 
 
-def more_representatives(corpus: DataFrame, chosen: DataFrame, target: int, largest_id: int) -> DataFrame:
+def more_representatives(
+    corpus: DataFrame, chosen: DataFrame, target: int, largest_id: int, limits: Limits | None = None
+) -> DataFrame:
     """Further matrices for classes with fewer than ``target``, evenly spread over the density.
 
-    Candidates come from the tight limits; a class with too few of them uses
-    all of its matrices.  Chosen names are left out.
+    With limits, candidates come from the tight ones; a class with too few of them
+    uses all of its matrices.  Chosen names are left out.
     """
     current = chosen.groupBy("class").agg(F.count(F.lit(1)).alias("have"))
     free = corpus.join(chosen.select("name"), "name", "left_anti")
-    tight = (F.col("n") <= TIGHT_ROWS) & (F.col("nnz") <= TIGHT_NNZ)
+    tight = _within(limits.tight) if limits else F.lit(True)
     sizes = (
         free.groupBy("class")
         .agg(F.count_if(tight).alias("__tight"), F.count(F.lit(1)).alias("__all"))
@@ -130,6 +145,13 @@ def more_representatives(corpus: DataFrame, chosen: DataFrame, target: int, larg
     return free.join(F.broadcast(found.select("class", "id").distinct()), ["class", "id"])
 
 
+def all_representatives(old: DataFrame, added: DataFrame, local: DataFrame) -> DataFrame:
+    """Old and added picks in one table, an old one where both have the id; ``in_local_data`` says whether ``local`` has it."""
+    both = old.unionByName(added.join(old.select("id"), "id", "left_anti"))
+    mine = local.select("id").distinct().withColumn("in_local_data", F.lit(True))
+    return both.drop("in_local_data").join(mine, "id", "left").withColumn("in_local_data", F.coalesce("in_local_data", F.lit(False)))
+
+
 def ordered_classes(corpus: DataFrame) -> DataFrame:
     """Report order: class rank, then rows."""
     return corpus.orderBy(class_rank(F.col("class")), "n", "id")

@@ -60,28 +60,15 @@ def least_squares(points: DataFrame, y: Column, xs: list[Column]) -> tuple[list[
     ).first()
     gram = np.array([[row[f"{min(a, b)}_{max(a, b)}"] for b in names] for a in names])
     moment = np.array([row[f"{a}_y"] for a in names])
-    beta = np.linalg.lstsq(gram, moment, rcond=None)[0]
+    # Columns of very unequal size are brought to unit length, so that none falls below the rank cut-off.
+    scale = np.sqrt(np.diag(gram))
+    scale[scale == 0] = 1.0
+    beta = np.linalg.lstsq(gram / np.outer(scale, scale), moment / scale, rcond=None)[0] / scale
     residual = row["yy"] - 2 * beta @ moment + beta @ gram @ beta
     spread = row["yy"] - row["n"] * row["mean"] ** 2
     return [float(b) for b in beta], float(1 - residual / spread) if spread else float("nan")
 
 
-# Machine constants of the analytic time models.
-PROCESSORS = 114
-BANDWIDTH_BYTES = 2.0e12
-BYTES_PER_ENTRY = 12.0
-THREADS = {"hash": 256, "merge3": 32}
-
-
-def time_model(timings: DataFrame, method: str) -> tuple[list[float], float]:
-    """Products per thread, bytes over bandwidth and a constant against the measured time of a method."""
-    n = F.greatest(F.col("n"), F.lit(1)).cast("double")
-    threads = F.least(n, F.lit(float(PROCESSORS))) * THREADS[method]
-    work = F.greatest(F.col("flop"), F.lit(1.0)) / threads
-    traffic = F.greatest(F.col("nnz"), F.lit(1)) * BYTES_PER_ENTRY / BANDWIDTH_BYTES
-    return least_squares(timings, F.col(f"{method}_ms"), [work, traffic, F.lit(1.0)])
-
-
 def fit_dispatcher(timings: DataFrame, iterations: int = 200) -> Formula:
     """Logistic fit of "hash is faster", weighted by the time at stake, without regularisation.
 

@@ -9,7 +9,8 @@ from tripleloom.analytics import regression as rg
 from tripleloom.catalog import Query
 from tripleloom.catalog.statistics import TIMINGS, timings
 from tripleloom.functions.scalar import class_rank, density_class
-
+from tripleloom.operators import scans as sc
+from tripleloom.plans import dispatch
 from tripleloom.session import written
 from tripleloom.sources.results import timed
 
@@ -124,18 +125,27 @@ def _class_lines(t):
     return _round(fit, "slope", "intercept", "r2", digits=6)
 
 
-def _weights(t):
-    f = rg.fit_dispatcher(written(timings(t)))
-    row = [(f.products, f.rows, f.longest, f.skew, f.constant)]
-    return t.spark.createDataFrame(row, "products double, rows double, longest double, skew double, constant double")
+def _fit_quality(t):
+    """The logistic fit by what it decides: cases, and whether it beats either fixed choice."""
+    data = written(timings(t))
+    row = dispatch.evaluation(data, rg.fit_dispatcher(data))
+    return row.select(
+        F.col("matrices").cast("long").alias("cases"),
+        (F.col("cost_ms") <= F.least("always_merge_ms", "always_hash_ms") * 1.001).alias("no_worse_than_fixed"),
+        (F.col("cost_ms") >= F.col("oracle_ms") * 0.999999).alias("no_better_than_best"),
+    )
 
 
-def _time_model(t):
-    data = written(timings(t).where("hash_ms IS NOT NULL"))
-    found = [(m, *rg.time_model(data, m)) for m in ("hash", "merge3")]
-    return t.spark.createDataFrame(
-        [(m, *b, r2) for m, b, r2 in found], "method string, work double, traffic double, constant double, r2 double"
-    )
+def _least_squares(t):
+    """Price by quantity and tax, the tax brought to a scale of 1e-8."""
+    lines = t.read("lineitem")
+    (b1, b2, b0), r2 = rg.least_squares(lines, F.col("l_extendedprice"), [F.col("l_quantity"), F.col("l_tax") * 1e-8, F.lit(1.0)])
+    row = [(round(b1, 4), round(b2 * 1e-8, 4), round(b0, 3), round(r2, 8))]
+    return t.spark.createDataFrame(row, "b1 double, b2_scaled double, b0 double, r2 double")
+
+
+def _quantity_medians(t):
+    return sc.medians(t.read("lineitem"), "l_quantity", ("l_returnflag",))
 
 
 QUERIES = {
@@ -215,6 +225,21 @@ f AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS b1, (yb * aa - ay *
 SELECT round(b1, 6) AS b1, round(b2, 6) AS b2, round(my - b1 * ma - b2 * mb, 6) AS b0,
   round((b1 * ay + b2 * yb) / yy, 6) AS r2 FROM f""",
     ),
-    "dispatcher_fit": Query(_weights),
-    "time_model": Query(_time_model),
+    "least_squares_unequal_scales": Query(
+        _least_squares,
+        """WITH m AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS ma, avg(l_tax) AS mb, var_pop(l_quantity) AS aa,
+  var_pop(l_tax) AS bb, covar_pop(l_quantity, l_tax) AS ab, covar_pop(l_quantity, l_extendedprice) AS ay,
+  covar_pop(l_tax, l_extendedprice) AS yb, var_pop(l_extendedprice) AS yy FROM lineitem),
+f AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS b1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM m)
+SELECT round(b1, 4) AS b1, round(b2, 4) AS b2_scaled, round(my - b1 * ma - b2 * mb, 3) AS b0,
+  round((b1 * ay + b2 * yb) / yy, 8) AS r2 FROM f""",
+    ),
+    "medians_of_few_values": Query(
+        _quantity_medians, "SELECT l_returnflag, median(l_quantity) AS median FROM lineitem GROUP BY 1"
+    ),
+    "dispatcher_fit": Query(
+        _fit_quality,
+        f"""SELECT count(*) AS cases, true AS no_worse_than_fixed, true AS no_better_than_best
+FROM ({TIMINGS}) WHERE hash_ms IS NOT NULL AND merge3_ms IS NOT NULL""",
+    ),
 }

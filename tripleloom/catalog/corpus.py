@@ -72,6 +72,22 @@ def _more(t):
     return co.more_representatives(corpus, chosen, TARGET, t.rows("part"))
 
 
+#: Limits that bind on the part index.
+LIMITS = co.Limits((300, 40), (400, 60), fewest=5)
+
+
+def _limited(t):
+    return co.representatives(written(classified(t)), t.rows("part"), LIMITS)
+
+
+def _united(t):
+    corpus = written(classified(t))
+    old = written(co.representatives(corpus, t.rows("part")))
+    more = co.more_representatives(corpus, old, TARGET, t.rows("part"))
+    local = t.read("part").where("p_size > 25").select(F.col("p_partkey").alias("id"))
+    return co.all_representatives(old, more, local)
+
+
 MORE = f"""WITH {PICKS},
 h AS (SELECT class, count(*) AS have FROM p GROUP BY 1),
 f AS (SELECT c.class, c.id, c.density_pct, {TARGET} - coalesce(have, 0) AS need,
@@ -83,6 +99,11 @@ q AS (SELECT class, least(m - 1, greatest(0, CAST(round_even(
     (0.05::DOUBLE + coalesce((0.95::DOUBLE - 0.05::DOUBLE) / nullif(need - 1, 0), 0) * pick) * (m - 1), 0) AS BIGINT))) AS at FROM s)
 SELECT DISTINCT f.class AS class, f.id AS id FROM f JOIN q ON f.class = q.class AND f.at = q.at"""
 
+LIMITED = f"""x AS ({CLASSIFIED}),
+t AS (SELECT class, count(*) FILTER (n <= {LIMITS.tight[0]} AND nnz <= {LIMITS.tight[1]}) AS tight FROM x GROUP BY 1),
+c AS (SELECT x.* FROM x JOIN t ON x.class = t.class WHERE CASE WHEN tight >= {LIMITS.fewest}
+  THEN n <= {LIMITS.tight[0]} AND nnz <= {LIMITS.tight[1]} ELSE n <= {LIMITS.loose[0]} AND nnz <= {LIMITS.loose[1]} END)"""
+
 SUMMARY_COLUMNS = ("n", "nnz", "nnz_per_row", "sparsity_pct")
 
 
@@ -125,6 +146,15 @@ FROM ({CLASSIFIED}) GROUP BY 1""",
 FROM c JOIN p ON c.class = p.class AND c.id = p.id""",
     ),
     "more_picks": Query(lambda t: _more(t).select("class", "id"), MORE),
+    "limited_picks": Query(
+        lambda t: _limited(t).select("class", "id"),
+        f"""WITH {PICKS.replace(f"c AS ({CLASSIFIED})", LIMITED)} SELECT class, id FROM p""",
+    ),
+    "all_picks": Query(
+        lambda t: _united(t).select("class", "id", "in_local_data"),
+        f"""SELECT x.class AS class, x.id AS id, p_size > 25 AS in_local_data
+FROM (WITH {PICKS} SELECT class, id FROM p UNION ({MORE})) x JOIN part ON p_partkey = x.id""",
+    ),
     "top_k": Query(
         lambda t: co.largest(classified(t), "nnz").select("id", "name", "nnz"),
         f"SELECT id, name, nnz FROM ({CLASSIFIED}) ORDER BY nnz DESC, id LIMIT 5",

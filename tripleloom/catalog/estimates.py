@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tripleloom.catalog import Query
 from tripleloom.catalog import tables as sql
 from tripleloom.catalog.statistics import SLOTS
+from tripleloom.operators import multiply as mul
 from tripleloom.operators import sketches as sk
 
 M32 = "4294967295"
@@ -58,6 +59,17 @@ def _both(t):
     return t.once("part_square"), t.once("part_square")
 
 
+def _close(t, estimate):
+    """Exact lengths of the product rows, and whether the estimate lies within a tenth (or two) of them."""
+    gap = F.abs(F.col("est") - F.col("c_nnz"))
+    return mul.output_row_lengths(*_both(t)).join(estimate, "i").select(
+        "i", "c_nnz", (gap <= F.greatest(F.lit(2.0), F.col("c_nnz") * 0.1)).alias("close")
+    )
+
+
+CLOSE = f"""SELECT a.i AS i, count(DISTINCT b.j) AS c_nnz, true AS close
+FROM ({sql.PART_SQUARE}) a JOIN ({sql.PART_SQUARE}) b ON a.j = b.i GROUP BY 1"""
+
 QUERIES = {
     "hll_registers": Query(lambda t: sk.hll_registers(t.part_square), HLL_ROWS),
     "hll_merged_registers": Query(lambda t: sk.merged_hll(*_both(t)), HLL_MERGED),
@@ -68,6 +80,6 @@ QUERIES = {
     "minhash_estimate_bounded": Query(
         lambda t: _rounded(sk.minhash_estimate(*_both(t), bounded=True)), MIN_BOUNDED
     ),
-    "native_hll": Query(lambda t: sk.native_hll_estimate(*_both(t))),
-    "native_theta": Query(lambda t: sk.native_theta_estimate(*_both(t))),
+    "native_hll": Query(lambda t: _close(t, sk.native_hll_estimate(*_both(t))), CLOSE),
+    "native_theta": Query(lambda t: _close(t, sk.native_theta_estimate(*_both(t))), CLOSE),
 }

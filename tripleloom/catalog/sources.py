@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tripleloom.analytics import benchmarking as be
@@ -9,8 +11,11 @@ from tripleloom.catalog import Query
 from tripleloom.catalog import tables as sql
 from tripleloom.catalog.corpus import INDEX, index
 from tripleloom.functions.scalar import looked_up
+from tripleloom.matrix import Matrix
+from tripleloom.session import shared_folder
 from tripleloom.sources import index_pages, results, run_logs
-from tripleloom.sources.matrix_market import Layout, formatted_lines, parse_entries
+from tripleloom.sources.cache import parse_once
+from tripleloom.sources.matrix_market import Layout, formatted_lines, parse_entries, read_matrix_market, write_matrix_market
 
 # Fixed values of these queries: event types as phases and as profile lines.
 PHASE_OF = {"click": "count", "view": "expand", "purchase": "sort", "signup": "reduce", "error": "pack"}
@@ -124,6 +129,65 @@ def _refreshed(t):
     return results.refreshed(_labels(t), "quality", fresh, "doc_id")
 
 
+def _repeated(t, where: str, prefix: str):
+    """Index rows, each twice under two names of which the smaller one counts."""
+    names = F.explode(F.array(F.concat(F.lit(f"{prefix}-"), "name"), F.concat(F.lit(f"{prefix}~"), "name"))).alias("name")
+    return index(t).where(where).select("id", names)
+
+
+def _folder(t, name: str) -> str:
+    return f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}/{name}"
+
+
+def _matrix_file(t):
+    path = _folder(t, "matrix")
+    write_matrix_market(t.order_part, path)
+    return path
+
+
+def _symmetric_file(t):
+    path, m = _folder(t, "symmetric"), t.customer_square
+    write_matrix_market(Matrix(m.entries.where("j <= i"), m.rows, m.cols), path, "symmetric")
+    return read_matrix_market(t.spark, path).entries
+
+
+def _cached_file(t):
+    path = _matrix_file(t)
+    cache = _folder(t, "cache")
+    for _ in range(2):
+        found = parse_once(t.spark, path, cache)
+    return found.entries
+
+
+def _log_files(t):
+    """Marks of log files in four folders, by tag and phase."""
+    path = _folder(t, "logs")
+    mark_lines(t).select("value", (F.col("run").cast("long") % 4).alias("folder")).write.partitionBy("folder").text(path)
+    found = run_logs.marks(run_logs.read_logs(t.spark, path))
+    return found.groupBy("tag", "phase").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"))
+
+
+def over_allocation_lines(t):
+    """A line per order and return flag: the lines' number as the result size, their quantity as the estimate."""
+    rows = t.read("lineitem").where("l_returnflag <> 'N'").groupBy("l_orderkey", "l_returnflag").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("l_quantity").cast("long").alias("e"), F.sum("l_linenumber").alias("ms")
+    )
+    text = F.format_string("[dbg 1.0 ms] [hash] C_nnz=%d (est=%d, %.2fx over-alloc)", "c", "e", F.col("e") / F.col("c"))
+    return rows.select(F.col("l_orderkey").alias("run"), "l_returnflag", F.col("ms").cast("double").alias("ms"), F.lit(0).alias("at"), text.alias("value"))
+
+
+def _sketch_comparison(t):
+    lines = over_allocation_lines(t)
+    found = [
+        run_logs.over_allocations(part).join(part.select("run", "ms"), "run").select("run", "ms", F.round(F.col("est") / F.col("c_nnz"), 6).alias("factor"))
+        for part in (lines.where("l_returnflag = 'A'"), lines.where("l_returnflag = 'R'"))
+    ]
+    return run_logs.sketch_comparison(*found).withColumn("ratio", F.round("ratio", 9))
+
+
+SKETCH_SIDE = """SELECT l_orderkey AS run, CAST(sum(l_linenumber) AS DOUBLE) AS ms,
+  round(CAST(sum(l_quantity) AS BIGINT) / count(*)::DOUBLE, 6) AS factor FROM lineitem WHERE l_returnflag = '{}' GROUP BY 1"""
+
 QUERIES = {
     "matrix_market_lines": Query(lambda t: _mm_lines(t, False), sql.ORDER_PART),
     "matrix_market_pattern": Query(
@@ -201,8 +265,33 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     ),
     "index_page_union": Query(
         lambda t: index_pages.merged_pages(
-            index(t).where("kind <> 'PROMO'").select("id", "name"), index(t).select("id", "name")
+            _repeated(t, "kind <> 'PROMO'", "first"), _repeated(t, "true", "later")
         ),
-        f"SELECT id, name FROM ({INDEX})",
+        f"""SELECT id, CASE WHEN kind <> 'PROMO' THEN 'first-' ELSE 'later-' END || name AS name FROM ({INDEX})""",
+    ),
+    "matrix_market_file": Query(lambda t: read_matrix_market(t.spark, _matrix_file(t)).entries, sql.ORDER_PART),
+    "matrix_market_symmetric": Query(
+        _symmetric_file,
+        f"""WITH m AS ({sql.CUSTOMER_SQUARE}) SELECT i, j, v FROM m WHERE j <= i
+UNION ALL SELECT j AS i, i AS j, v FROM m WHERE j < i""",
+    ),
+    "matrix_cache": Query(_cached_file, sql.ORDER_PART),
+    "log_files": Query(
+        _log_files,
+        f"""SELECT CASE WHEN event_id % 2 = 0 THEN 'gust' ELSE 'mrg3' END AS tag, {_named_sql(PHASE_OF)} AS phase, count(*) AS n,
+  CAST(sum(date_diff('millisecond', TIMESTAMP '2024-01-01 00:00:00', ts)) AS DOUBLE) AS ms FROM events GROUP BY 1, 2""",
+    ),
+    "log_methods": Query(
+        lambda t: run_logs.method_results(fact_lines(t)),
+        """WITH f AS (SELECT CAST(user_id AS VARCHAR) AS run, event_type AS kind, event_id, value,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS place FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT run, place, max(value) FILTER (kind = 'click') AS time_ms,
+  max(event_id * 1000 + 7) FILTER (kind = 'purchase') AS c_nnz FROM f GROUP BY 1, 2""",
+    ),
+    "sketch_comparison": Query(
+        _sketch_comparison,
+        f"""SELECT a.run AS run, a.ms AS ms, a.factor AS factor, r.ms AS other_ms, r.factor AS other_factor,
+  round(r.ms / a.ms, 9) AS ratio, CASE WHEN r.ms / a.ms > 1.03 THEN 'first' WHEN r.ms / a.ms < 0.97 THEN 'other' ELSE 'near' END AS faster
+FROM ({SKETCH_SIDE.format("A")}) a JOIN ({SKETCH_SIDE.format("R")}) r ON a.run = r.run""",
     ),
 }

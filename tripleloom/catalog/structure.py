@@ -138,10 +138,8 @@ LEFT JOIN ({sql.DOCUMENT_LABEL}) m ON m.i = d.i AND m.j = l.j""",
 FROM lineitem GROUP BY 1, 2""",
     ),
     "duplicates_summed": Query(
-        lambda t: Matrix.of(t.read("events"), 1, 5, "user_id", "event_id", "value").T.combined().entries.groupBy("j").agg(
-            F.count(F.lit(1)).alias("n")
-        ),
-        "SELECT user_id AS j, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
+        lambda t: t.order_part_lines.combined().entries,
+        sql.ORDER_PART,
     ),
     "sortedness_check": Query(
         _sorted_check,
@@ -157,7 +155,7 @@ FROM (SELECT DISTINCT i, j // {SEGMENT} AS seg FROM ({sql.ORDER_PART}))""",
   false AS passed FROM ({BOTH})""",
     ),
     "matrix_equal": Query(
-        lambda t: diff.difference(t.supplier_part, t.supplier_part.T.T),
+        lambda t: diff.difference(t.supplier_part, t.supplier_part_lines.T.T.combined()),
         f"""SELECT count(*) AS common, CAST(0 AS BIGINT) AS only_expected, CAST(0 AS BIGINT) AS only_actual,
   0.0::DOUBLE AS max_abs_err, greatest(1.0::DOUBLE, max(abs(v))) AS scale, 0.0::DOUBLE AS max_rel_err, true AS passed
 FROM ({sql.SUPPLIER_PART})""",

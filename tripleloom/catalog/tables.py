@@ -71,6 +71,12 @@ class Tables:
             "l_suppkey", "l_partkey", "l_quantity", combine=True,
         )
 
+    @cached_property
+    def supplier_part_lines(self) -> Matrix:
+        return Matrix.of(
+            self.read("lineitem"), self.rows("supplier"), self.rows("part"), "l_suppkey", "l_partkey", "l_quantity"
+        )
+
     # Returns count against sales, so sums cancel.
     @cached_property
     def supplier_part_net(self) -> Matrix:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import column_bucket
 from tripleloom.matrix import Matrix
+from tripleloom.operators.reshape import mirrored
 from tripleloom.operators.scans import largest_group
 from tripleloom.operators.tiles import tiled_product
 from tripleloom.plans.sizing import BROADCAST_ROWS, broadcast_if_small
@@ -63,7 +64,9 @@ def spgemm(
     work = measure(left, right, task_products)
     if method == "auto":
         entries = over(planned_parts(left, right, work, upper, task_products, broadcast_rows), sum_products)
-    elif method == "broadcast" and work.right_nnz <= broadcast_rows:
+    elif method == "broadcast":
+        if work.right_nnz > broadcast_rows:
+            raise ValueError(f"{work.right_nnz} entries are too many to broadcast, the bound is {broadcast_rows}")
         entries = sum_products(joined(left, F.broadcast(right), ["k"], upper))
     elif method == "bucketed":
         entries = bucketed_sum(split_join(left, right, work, upper, task_products), buckets, b.cols).drop("b")
@@ -95,8 +98,7 @@ def square_product(a: Matrix, **options) -> Matrix:
 
 def symmetric_from_upper(m: Matrix) -> Matrix:
     """The whole symmetric matrix from its upper triangle."""
-    below = m.entries.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    return Matrix(m.entries.unionByName(below), m.rows, m.cols)
+    return mirrored(m)
 
 
 def gram_by_symmetry(a: Matrix, **options) -> Matrix:
@@ -115,8 +117,9 @@ def output_row_lengths(a: Matrix, b: Matrix) -> DataFrame:
 
 
 def numeric(structure: DataFrame, a: Matrix, b: Matrix, upper: bool = False) -> Matrix:
-    """Values for a known structure; products are added up before they meet it."""
-    sums = over(planned(a, b, upper), sum_products)
+    """Values for a known structure; only rows of ``A`` that it names are multiplied."""
+    wanted = Matrix(a.entries.join(structure.select("i").distinct(), "i", "left_semi"), a.rows, a.cols)
+    sums = over(planned(wanted, b, upper), sum_products)
     return Matrix(
         structure.join(sums, ["i", "j"], "left").select(
             "i", "j", F.coalesce("v", F.lit(0.0)).alias("v")

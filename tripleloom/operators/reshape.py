@@ -110,10 +110,11 @@ def pruned(m: Matrix, eps: float) -> Matrix:
 
 def mirrored(m: Matrix, sign: float = 1.0) -> Matrix:
     """Entries off the diagonal also at the mirrored position, times ``sign``."""
-    off = m.entries.where("i <> j").select(
-        F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * F.lit(sign)).alias("v")
-    )
-    return Matrix(m.entries.unionByName(off), m.rows, m.cols)
+    own = F.struct("i", "j", "v")
+    image = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * F.lit(sign)).alias("v"))
+    # One pass: the entries are made once and each row is doubled where it lies.
+    both = F.inline(F.when(F.col("i") == F.col("j"), F.array(own)).otherwise(F.array(own, image)))
+    return Matrix(m.entries.select(both), m.rows, m.cols)
 
 
 def upper_triangle(m: Matrix) -> Matrix:

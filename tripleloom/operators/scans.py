@@ -94,7 +94,7 @@ def id_levels(key: str, extent: int) -> list[Column]:
 
 
 def at_ranks(
-    df: DataFrame, targets: DataFrame, levels: list[Column], groups: tuple[str, ...], keep: list[str]
+    df: DataFrame, targets: DataFrame, levels: list[Column], groups: tuple[str, ...], keep: list[str], weight: str | None = None
 ) -> DataFrame:
     """The row at each given position of its group's order.
 
@@ -103,17 +103,22 @@ def at_ranks(
     ``levels``.  A level counts its keys per group, finds the key that holds the
     rank, and narrows the rows to it, until the rows left for a target were
     counted to fit a window.  No group is sorted as a whole.
+
+    With ``weight`` a row stands for so many equal ones; then the last level must be the
+    one column of ``keep``, and its counted key is the answer.
     """
     keys = list(groups)
     names = [f"__level{n}" for n in range(len(levels))]
-    rows = df.select(*keys, *keep, *(c.alias(n) for c, n in zip(levels, names)))
+    size_of = [F.col(weight).alias("__w")] if weight else []
+    rows = df.select(*keys, *keep, *size_of, *(c.alias(n) for c, n in zip(levels, names)))
+    number = F.sum("__w") if weight else F.count(F.lit(1))
     found = targets.select(*keys, "pick", F.col("rank").alias("__rest"))
     depth = 0
     while True:
         name, fixed = names[depth], names[:depth]
         by = [*keys, "pick", "__rest", *fixed] if fixed else keys
         narrowed = rows.join(found, [*keys, *fixed]) if fixed else rows
-        counts = narrowed.groupBy(*by, name).agg(F.count(F.lit(1)).alias("__n"))
+        counts = narrowed.groupBy(*by, name).agg(number.alias("__n"))
         upto = Window.partitionBy(*by).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(upto), F.lit(0)))
         if not fixed:
@@ -129,7 +134,9 @@ def at_ranks(
         if size <= BROADCAST_ROWS:
             found = F.broadcast(found)
         depth += 1
-        if depth == len(names) or (largest or 0) <= WINDOW_ROWS:
+        if depth == len(names) and weight:
+            return found.select(*keys, "pick", F.col(name).alias(keep[0]))
+        if depth == len(names) or not weight and (largest or 0) <= WINDOW_ROWS:
             break
     left = rows.join(found, [*keys, *names[:depth]])
     inner = Window.partitionBy(*keys, "pick").orderBy(*(names[depth:] or [F.lit(0)]))
@@ -141,9 +148,12 @@ def at_ranks(
 
 
 def values_at_ranks(df: DataFrame, value: str, targets: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    """``(groups, pick, value)`` at the targeted positions of each group's sorted values."""
-    collapsed = df.select(*groups, F.col(value).cast("double").alias(value))
-    return at_ranks(collapsed, targets, value_levels(value), groups, [value])
+    """``(groups, pick, value)`` at the targeted positions of each group's sorted values.
+
+    Equal values are counted first, so a column of few values is a few rows from then on.
+    """
+    counted = df.groupBy(*groups, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("__weight"))
+    return at_ranks(written(counted), targets, value_levels(value), groups, [value], "__weight")
 
 
 def medians(df: DataFrame, value: str, groups: tuple[str, ...]) -> DataFrame:

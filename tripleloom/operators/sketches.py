@@ -24,7 +24,6 @@ INDEX_BITS = 7
 HLL_ALPHA = 0.715
 EXPANSION = 1.5
 TWO_32 = 4294967296.0
-SMALL_INPUT_NNZ = 100_000
 
 
 def _hashed(b: Matrix) -> DataFrame:
@@ -113,11 +112,13 @@ def minhash_estimate(a: Matrix, b: Matrix, expansion: float = EXPANSION, bounded
     return _sized(sums.select("i", estimate.alias("distinct_est")), expansion)
 
 
-def row_estimate(a: Matrix, b: Matrix, nnz: int, method: str = "minhash") -> DataFrame:
-    """Estimate of the product rows: exact product counts for small inputs, else a sketch."""
+def row_estimate(a: Matrix, b: Matrix, method: str = "minhash") -> DataFrame:
+    """Estimate of the product rows by the named method: ``bound`` (exact product counts), ``hll`` or ``minhash``."""
     from tripleloom.operators.rowstats import product_counts
 
-    if nnz < SMALL_INPUT_NNZ:
+    if method not in ("bound", "hll", "minhash"):
+        raise ValueError(f"unknown method {method!r}, choose bound, hll or minhash")
+    if method == "bound":
         return product_counts(a, b).select(
             "i", F.col("products").cast("double").alias("distinct_est"), F.col("products").alias("est"),
             table_size(F.col("products")).alias("slots"),

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from tripleloom.functions.scalar import whole
 from tripleloom.matrix import Matrix
 
-# Fixed value: the dense baselines keep what exceeds this.
-DENSE_EPSILON = 1e-30
-
 
 def to_tiles(m: Matrix, edge: int) -> DataFrame:
     """``(bi, bj, li, lj, v)``: one row per tile that holds an entry."""
@@ -39,8 +36,11 @@ def to_tiles(m: Matrix, edge: int) -> DataFrame:
     )
 
 
-def tiled_product(a: Matrix, b: Matrix, edge: int = 128, upper: bool = False, eps: float = DENSE_EPSILON) -> Matrix:
-    """``A·B`` by dense tiles; entries with ``|v| <= eps`` are dropped, as a dense result has no structure."""
+def tiled_product(a: Matrix, b: Matrix, edge: int = 128, upper: bool = False, eps: float | None = None) -> Matrix:
+    """``A·B`` by dense tiles; an entry exists where a product contributes, as with every method.
+
+    With ``eps`` entries with ``|v| <= eps`` are dropped, as dense results have no structure.
+    """
     a.require_inner(b)
     ta = to_tiles(a, edge).select(
         F.col("bi"), F.col("bj").alias("bk"), F.col("li").alias("ar"), F.col("lj").alias("ac"), F.col("v").alias("av")
@@ -56,7 +56,9 @@ def tiled_product(a: Matrix, b: Matrix, edge: int = 128, upper: bool = False, ep
     )
     if upper:
         partial = partial.where("j >= i")
-    entries = partial.groupBy("i", "j").agg(F.sum("v").alias("v")).where(F.abs("v") > eps)
+    entries = partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    if eps is not None:
+        entries = entries.where(F.abs("v") > eps)
     return Matrix(entries, a.rows, b.cols)
 
 
@@ -66,6 +68,8 @@ def _multiply_tiles(edge: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = np.zeros((edge, edge))
         right = np.zeros((edge, edge))
+        # Where entries are stored: a product contributes where the counts meet, whatever the values add up to.
+        mask, other = np.zeros((edge, edge)), np.zeros((edge, edge))
         for batch in batches:
             for n in range(batch.num_rows):
                 cell = {
@@ -77,7 +81,11 @@ def _multiply_tiles(edge: int):
                 left[cell["ar"], cell["ac"]] = cell["av"]
                 right[cell["br"], cell["bc"]] = cell["bv"]
                 out = left @ right
-                r, c = np.nonzero(out)
+                mask[:] = 0.0
+                mask[cell["ar"], cell["ac"]] = 1.0
+                other[:] = 0.0
+                other[cell["br"], cell["bc"]] = 1.0
+                r, c = np.nonzero(mask @ other)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(r + batch.column("bi")[n].as_py() * edge, pa.int64()),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -27,9 +28,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or _temporary_folder()
-    return path.rstrip("/")
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one for local sessions.
+
+    On a cluster an unset folder is an error: the driver's own folders are not seen by executors.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or _temporary_folder()).rstrip("/")
+
+
+def is_local(spark: SparkSession) -> bool:
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")))
 
 
 @cache
@@ -46,4 +56,20 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tripleloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables that ``written`` has made in this process.
+_tables: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete the tables that ``written`` made; call it when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_tables)
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(settings).delete(path, True)
+    return n

@@ -39,5 +39,11 @@ def parse_index(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def merged_pages(first: DataFrame, later: DataFrame) -> DataFrame:
-    """Rows of the first page set and those of later ones whose id is new."""
-    return first.unionByName(later.join(first.select("id"), "id", "left_anti").dropDuplicates(["id"]))
+    """One row per id: of the first page set where it has the id, else of the later ones.
+
+    Among repeats the smallest row counts, column by column.
+    """
+    columns = [c for c in first.columns if c != "id"]
+    ranked = first.withColumn("__set", F.lit(0)).unionByName(later.withColumn("__set", F.lit(1)))
+    best = F.min(F.struct("__set", *columns)).alias("__best")
+    return ranked.groupBy("id").agg(best).select(*[F.col("id") if c == "id" else F.col(f"__best.{c}").alias(c) for c in first.columns])

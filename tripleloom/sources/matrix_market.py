@@ -95,9 +95,10 @@ def parse_entries(lines: DataFrame, rows: int, cols: int, layout: Layout) -> Mat
     parsed = lines.where(_is_data()).select("value", at(1, "long").alias("r"), at(2, "long").alias("c"), value.alias("v"))
     fits = F.col("r").between(1, rows) & F.col("c").between(1, cols) & F.col("v").isNotNull()
     complaint = F.concat(F.lit("bad Matrix Market line: "), F.col("value"))
-    checked = F.when(F.coalesce(fits, F.lit(False)), F.col("r")).otherwise(F.raise_error(complaint).cast("long"))
+    # A filter, so that no choice of columns can leave the check out.
+    checked = parsed.where(F.when(F.coalesce(fits, F.lit(False)), F.lit(True)).otherwise(F.raise_error(complaint).cast("boolean")))
     stored = Matrix(
-        parsed.select((checked - 1).alias("i"), (F.col("c") - 1).alias("j"), "v"), rows, cols
+        checked.select((F.col("r") - 1).alias("i"), (F.col("c") - 1).alias("j"), "v"), rows, cols
     )
     return mirrored(stored, float(layout.mirror)) if layout.mirror else stored
 
@@ -107,7 +108,8 @@ def read_matrix_market(
 ) -> Matrix:
     """A matrix with 0-based positions; ``combine`` adds repeated positions, else they are kept.
 
-    Values of pattern files are 1.0, of complex files the real part.
+    Values of pattern files are 1.0, of complex files the real part.  A file with
+    another number of data lines than it declares is refused.
     """
     files = sorted(spark.read.text(path).inputFiles())
     if not files:
@@ -119,10 +121,13 @@ def read_matrix_market(
     if banner is None or size is None:
         raise FormatError(f"no banner or size line in {files[0]}")
     layout = parse_banner(banner["value"], dialect)
-    rows, cols, _ = parse_size(size["value"])
-    lines = head.where(F.col("at") != size["at"]).select("value")
+    rows, cols, declared = parse_size(size["value"])
+    lines = head.where((F.col("at") != size["at"]) | (F.col("value") != size["value"])).select("value")
     if files[1:]:
         lines = lines.unionByName(spark.read.text(files[1:]))
+    held = lines.where(_is_data()).count()
+    if held != declared:
+        raise FormatError(f"{path} declares {declared} entries and holds {held}")
     matrix = parse_entries(lines, rows, cols, layout)
     return matrix.combined() if combine else matrix
 
@@ -133,15 +138,15 @@ def formatted_lines(m: Matrix) -> DataFrame:
     return m.entries.select("i", "j", text.alias("value"))
 
 
-def write_matrix_market(m: Matrix, path: str) -> None:
-    """Write ``coordinate real general`` text in row-major order, as part files in one folder.
+def write_matrix_market(m: Matrix, path: str, symmetry: str = "general") -> None:
+    """Write ``coordinate real`` text in row-major order, as part files in one folder.
 
-    The heading sorts before every entry, so it opens the first part.
+    With another ``symmetry`` the entries are taken for the stored triangle.  The heading sorts before every entry, so it opens the first part.
     """
     spark = m.entries.sparkSession
     heading = spark.createDataFrame(
         [
-            (-1, 0, f"{STRICT_BANNER} real general"),
+            (-1, 0, f"{STRICT_BANNER} real {symmetry}"),
             (-1, 1, f"{m.rows} {m.cols} {m.nnz()}"),
         ],
         "i long, j long, value string",

@@ -68,10 +68,15 @@ def pending(wanted: DataFrame, done: DataFrame, key: str = "matrix") -> DataFram
 
 
 def refreshed(table: DataFrame, column: str, fresh: DataFrame, key: str = "matrix") -> DataFrame:
-    """The table with new values in one column; keys without a new value keep the old one."""
+    """The table with new values in one column; keys without a new value keep the old one.
+
+    A key with several new values stops the job: each row takes one.
+    """
     if column not in table.columns:
         raise ValueError(f"unknown column {column!r}, choose one of {', '.join(table.columns)}")
-    new = fresh.select(key, F.col(column).alias("__fresh"))
+    complaint = F.concat(F.lit("several new values for "), F.col(key).cast("string"))
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.max(complaint))).otherwise(F.max(column))
+    new = fresh.groupBy(key).agg(one.alias("__fresh"))
     return table.join(new, key, "left").select(
         *[F.coalesce("__fresh", c).alias(c) if c == column else F.col(c) for c in table.columns]
     )

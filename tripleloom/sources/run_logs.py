@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Line patterns.
@@ -17,13 +19,18 @@ FALLBACK_CHOICE = "merge3 (fallback)"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """``(run, at, value)``: the lines of every log, ``at`` rising within a file."""
+    """``(run, at, value)``: the lines of every log, ``at`` rising within a file.
+
+    A run is named by its file's place below ``path``, so equal names in two folders stay apart.
+    """
     meta = F.col("_metadata")
     at = F.struct(
         meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line")
     )
+    folder = re.sub(r"^[a-z]+:/*", "/", path).rstrip("/") + "/"
+    below = F.when(F.contains(meta["file_path"], F.lit(folder)), F.substring_index(meta["file_path"], folder, -1))
     return spark.read.text(path).select(
-        F.regexp_replace(meta["file_name"], r"\.[^.]*$", "").alias("run"), at.alias("at"), "value"
+        F.regexp_replace(F.coalesce(below, meta["file_name"]), r"\.[^./]*$", "").alias("run"), at.alias("at"), "value"
     )
 
 
@@ -92,3 +99,31 @@ def run_summary(lines: DataFrame) -> DataFrame:
         last("result", "number").cast("long").alias("c_nnz"),
         last("choice", "text").alias("choice"),
     )
+
+
+def method_results(lines: DataFrame) -> DataFrame:
+    """``(run, place, time_ms, c_nnz)``: a run's times and result sizes in the order in which its methods print them.
+
+    A run prints one line of either kind per method, which bounds the window.
+    """
+    found = facts(lines).where(F.col("kind").isin("time", "result"))
+    order = Window.partitionBy("run", "kind").orderBy("at")
+    placed = found.withColumn("place", F.row_number().over(order) - 1)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("number")))
+    return placed.groupBy("run", "place").agg(of("time").alias("time_ms"), of("result").cast("long").alias("c_nnz"))
+
+
+def over_allocations(lines: DataFrame) -> DataFrame:
+    """``(run, at, c_nnz, est, factor)`` from the lines that compare an estimate with the result size."""
+    part = lambda n: F.regexp_extract("value", OVER_ALLOCATION, n)
+    return lines.where(F.col("value").rlike(OVER_ALLOCATION)).select(
+        "run", "at", part(1).cast("long").alias("c_nnz"), part(2).cast("long").alias("est"), part(3).cast("double").alias("factor")
+    )
+
+
+def sketch_comparison(one: DataFrame, other: DataFrame, band: float = 0.03) -> DataFrame:
+    """Runs of two sketches ``(run, ms, factor)`` side by side: time ratio, its side of the band, both over-allocations."""
+    right = other.select("run", F.col("ms").alias("other_ms"), F.col("factor").alias("other_factor"))
+    ratio = F.try_divide(F.col("other_ms"), F.col("ms"))
+    side = F.when(F.col("ratio") > 1 + band, "first").when(F.col("ratio") < 1 - band, "other").otherwise("near")
+    return one.join(right, "run").withColumn("ratio", ratio).withColumn("faster", F.when(F.col("ratio").isNotNull(), side))
