@@ -88,7 +88,8 @@ class Tables:
     @cached_property
     def part_brand(self) -> Matrix:
         brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("long")
-        return Matrix.of(self.read("part"), self.rows("part"), 64, "p_partkey", brand, F.lit(1.0))
+        brands = int(self.read("part").agg(F.max(brand)).first()[0] or 0) + 1
+        return Matrix.of(self.read("part"), self.rows("part"), brands, "p_partkey", brand, F.lit(1.0))
 
     @cached_property
     def customer_order(self) -> Matrix:
@@ -108,12 +109,12 @@ class Tables:
         n = self.rows("nation")
         return Matrix.of(flow, n, n, "c_nationkey", "s_nationkey", F.lit(1.0), combine=True)
 
-    # Users by event type: five columns, each with a fifth of the events.
+    # Users by event type: five columns, each with a fifth of the events, and one for other types.
     @cached_property
     def user_event(self) -> Matrix:
         events = self.read("events")
         users = int(events.agg(F.max("user_id")).first()[0] or 0) + 1
-        return Matrix.of(events, users, len(EVENT_TYPES), "user_id", event_code(), F.lit(1.0), combine=True)
+        return Matrix.of(events, users, len(EVENT_TYPES) + 1, "user_id", event_code(), F.lit(1.0), combine=True)
 
     # Embedding components in whole thousandths, so sums are exact.
     @cached_property
@@ -136,10 +137,12 @@ class Tables:
 
 
 def event_code() -> Column:
-    return looked_up(F.col("event_type"), {name: n for n, name in enumerate(EVENT_TYPES)}).cast("long")
+    """The place of the type in the list; types beyond it share the next place."""
+    known = looked_up(F.col("event_type"), {name: n for n, name in enumerate(EVENT_TYPES)})
+    return F.coalesce(known, F.lit(len(EVENT_TYPES))).cast("long")
 
 
-EVENT_CODE_SQL = "CASE event_type " + " ".join(f"WHEN '{t}' THEN {n}" for n, t in enumerate(EVENT_TYPES)) + " END"
+EVENT_CODE_SQL = "CASE event_type " + " ".join(f"WHEN '{t}' THEN {n}" for n, t in enumerate(EVENT_TYPES)) + f" ELSE {len(EVENT_TYPES)} END"
 
 CUSTOMER_SQUARE = """
   SELECT o_custkey AS i, o_orderkey % (SELECT count(*) FROM customer) AS j, sum(floor(o_totalprice)) AS v

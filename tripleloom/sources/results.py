@@ -22,9 +22,12 @@ METADATA_SCHEMA = (
 RUN_TIMING = {
     "analysis": ("product_calc", "reduce", "mem_cpy"),
     "estimation": ("hll_construct", "hll_merge", "malloc", "sampling"),
-    "numeric": ("binning", "dense", "fat", "hash", "malloc", "overflow", "usparse_main", "usparse_outlier"),
     "epilogue": ("sort", "copy", "scan"),
 }
+#: The phase of which every field counts, whatever its name.
+OPEN_PHASE = "numeric"
+#: Phases that are read but are no part of the compute-only time.
+OTHER_PHASES = ("symbolic", "sampling")
 
 
 class StaleSchema(ValueError):
@@ -105,6 +108,7 @@ def run_schema() -> T.StructType:
     size = longs(("rows", "cols", "nnz"))
     timing = T.StructType(
         [T.StructField(phase, doubles(names)) for phase, names in RUN_TIMING.items()]
+        + [T.StructField(phase, T.MapType(T.StringType(), T.DoubleType())) for phase in (OPEN_PHASE, *OTHER_PHASES)]
         + [T.StructField("prologue", T.DoubleType())]
     )
     stats = doubles(
@@ -114,6 +118,8 @@ def run_schema() -> T.StructType:
     return T.StructType(
         [T.StructField(n, size) for n in "ABC"]
         + [
+            T.StructField("decision", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("ultra_sparse", T.StringType()),
             T.StructField("gflops", T.DoubleType()),
             T.StructField("stats", stats),
             T.StructField("timing", timing),
@@ -128,9 +134,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compute_ms(timing: str = "timing") -> Column:
-    """Compute-only time: the listed phases and the prologue, a missing field counting as 0."""
+    """Compute-only time: the listed phases, all numeric fields and the prologue, a missing field counting as 0."""
     fields = [f"{timing}.{phase}.{name}" for phase, names in RUN_TIMING.items() for name in names]
     total = F.lit(0.0)
     for field in [*fields, f"{timing}.prologue"]:
         total = total + F.coalesce(F.col(field), F.lit(0.0))
-    return total
+    every = F.map_values(f"{timing}.{OPEN_PHASE}")
+    return total + F.coalesce(F.aggregate(every, F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0))), F.lit(0.0))
