@@ -267,3 +267,18 @@ def binned_trend(points: DataFrame, x: str, ratio: str, bins: int = 6) -> DataFr
     return sums.where("n >= 2").join(medians(placed, "x", ("bin",)), "bin").select(
         "bin", "n", F.col("median").alias("x"), "ratio"
     )
+
+
+def ab_summary(before: DataFrame, after: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
+    """Mean and median per group of two sets of runs side by side, and the change of both in per cent."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        present = rows.where(F.col(value).isNotNull())
+        means = present.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{name}_runs"), F.avg(value).alias(f"{name}_mean"))
+        return means.join(medians(present, value, tuple(by)).withColumnRenamed("median", f"{name}_median"), by)
+
+    def change(kind: str) -> Column:
+        return F.try_divide((F.col(f"after_{kind}") - F.col(f"before_{kind}")) * 100.0, F.col(f"before_{kind}")).alias(f"{kind}_change_pct")
+
+    both = side(before, "before").join(side(after, "after"), by, "full")
+    return both.select("*", change("mean"), change("median"))

@@ -144,6 +144,19 @@ def _least_squares(t):
     return t.spark.createDataFrame(row, "b1 double, b2_scaled double, b0 double, r2 double")
 
 
+def _ab_summary(t):
+    lines = t.read("lineitem")
+    sides = [lines.select("l_linestatus", "l_returnflag", F.round(F.col(c) * 100).alias("ms")) for c in ("l_discount", "l_tax")]
+    return _round(
+        be.ab_summary(*map(written, sides), ["l_linestatus", "l_returnflag"]),
+        "before_mean", "after_mean", "mean_change_pct", "median_change_pct", digits=6,
+    )
+
+
+AB_SIDE = """SELECT l_linestatus, l_returnflag, count(*) AS {0}_runs, avg(round({1} * 100)) AS {0}_mean,
+  median(round({1} * 100)) AS {0}_median FROM lineitem GROUP BY 1, 2"""
+
+
 def _quantity_medians(t):
     return sc.medians(t.read("lineitem"), "l_quantity", ("l_returnflag",))
 
@@ -233,6 +246,15 @@ SELECT round(b1, 6) AS b1, round(b2, 6) AS b2, round(my - b1 * ma - b2 * mb, 6)
 f AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS b1, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS b2 FROM m)
 SELECT round(b1, 4) AS b1, round(b2, 4) AS b2_scaled, round(my - b1 * ma - b2 * mb, 3) AS b0,
   round((b1 * ay + b2 * yb) / yy, 8) AS r2 FROM f""",
+    ),
+    "ab_summary": Query(
+        _ab_summary,
+        f"""SELECT a.l_linestatus AS l_linestatus, a.l_returnflag AS l_returnflag, before_runs, round(before_mean, 6) AS before_mean,
+  before_median, after_runs, round(after_mean, 6) AS after_mean, after_median,
+  round((after_mean - before_mean) * 100 / before_mean, 6) AS mean_change_pct,
+  round((after_median - before_median) * 100 / before_median, 6) AS median_change_pct
+FROM ({AB_SIDE.format("before", "l_discount")}) a JOIN ({AB_SIDE.format("after", "l_tax")}) b
+ON a.l_linestatus = b.l_linestatus AND a.l_returnflag = b.l_returnflag""",
     ),
     "medians_of_few_values": Query(
         _quantity_medians, "SELECT l_returnflag, median(l_quantity) AS median FROM lineitem GROUP BY 1"
