@@ -11,14 +11,15 @@ hashes, one of which any similar set holds; a partner that shares empty ranges
 only has as many, so nothing is lost.
 
 **Tiles.** A tile is a block of one key's sets, or one set and those that share a key
-with it; sets of a tile are compared inside a task.  Hashed bitmaps (``BITS`` bits) bound
+with it; sets of a tile are compared inside a task.  Hashed bitmaps (two to four bits per element) bound
 the overlap from above, ``min(|A| - |a & ~b|, |B| - |b & ~a|)`` by bit counts, before
 sorted arrays are intersected exactly.  Tiles are cut by the number of elements.
 
 **Rounds.** 1: each key's sets against its smallest id, once per distinct pair. 2: keys
 whose sets are not yet one component: all pairs of different components, once per
-distinct pair for keys of up to ``SMALL`` sets, tile by tile for others.  A tile keeps
-a union-find over the known components and reports joining links only.
+distinct pair for keys of up to ``SMALL`` sets, tile by tile for others.  In both the
+bitmaps come first; only sets that they leave possible are made again from the texts.
+A tile keeps a union-find over the known components and reports joining links only.
 
 Two shingles of one text, or two sets, are told apart by 64 bits of hash; nodes also by size.
 
@@ -41,6 +42,7 @@ from tripleloom.llm.components import components
 from tripleloom.llm.words import SPACED, Words, mixed, shingles, slices
 from tripleloom.session import written
 
+#: Least width of a bitmap; a larger set has the next power of two above twice its size.
 BITS = 1024
 #: Elements of the sets of one tile, with 100 added for each set.
 TILE = 200_000
@@ -101,17 +103,26 @@ def sets_of(batches: Iterator[pa.RecordBatch], column: int, n: int) -> Iterator[
             yield batch, shingles(words.hashes, words.first, n)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    width = max(BITS, 1 << (2 * len(own) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(mixed(own) % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def document_nodes(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """``(key, n_shingles, node)`` per row; ``node`` is null for an empty set."""
+    """``(key, n_shingles, node, bits)`` per row; ``node`` and ``bits`` are null for an empty set."""
 
     def run(batches):
         for batch, sets in sets_of(batches, 1, n):
             size = pa.array([len(s) for s in sets], pa.int64())
             node = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, node], [key, "n_shingles", "node"])
+            bits = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, node, bits], [key, "n_shingles", "node", "bits"])
 
     rows = docs.select(key, text)
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, n_shingles long, node long")
+    out = f"`{key}` {rows.schema[key].dataType.simpleString()}, n_shingles long, node long, bits binary"
+    return rows.mapInArrow(run, out)
 
 
 def node_keys(docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
@@ -157,13 +168,13 @@ def named(nodes: DataFrame) -> np.ndarray:
 
 
 def contents(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """``(node, n, bits, own)`` of the wanted nodes: bitmap and sorted array."""
+    """``(node, own)`` of the wanted nodes: the sorted arrays, made again from the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(named(wanted))
 
     def run(batches):
         width, seen = FILTER_BITS // SLICES, set()
         for _, sets in sets_of(batches, 0, n):
-            rows = []
+            nodes, arrays = [], []
             for own in sets:
                 if not len(own) or (node := node_of(own)) in seen:
                     continue
@@ -172,60 +183,63 @@ def contents(docs: DataFrame, text: str, n: int, wanted: DataFrame) -> DataFrame
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
-                    bits = np.zeros(BITS, bool)
-                    bits[(mixed(own) % np.uint64(BITS)).astype(np.int64)] = True
-                    rows.append((node, len(own), np.packbits(bits).tobytes(), own.tobytes()))
-            columns = [list(c) for c in zip(*rows)] or [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["node", "n", "bits", "own"])
-
-    rows = docs.select(text).mapInArrow(run, "node long, n long, bits binary, own binary")
+                    nodes.append(node)
+                    arrays.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(arrays, pa.binary())], ["node", "own"])
+
+    rows = docs.select(text).mapInArrow(run, "node long, own binary")
     return written(rows.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
 class Tile:
-    """Sets of one tile: side 0 against side 1, or all against all where ``square``."""
+    """Sets of one tile, rows ``(side, node, n, root, bits, own)``: side 0 against side 1, or all where ``square``."""
 
-    def __init__(self, rows: list[tuple], num: int, den: int):
-        rows.sort()
+    def __init__(self, rows: list[tuple], num: int, den: int, square: bool):
+        rows.sort(key=lambda r: r[:2])
+        self.rows, self.num, self.den, self.square = rows, num, den, square
         self.side = np.array([r[0] for r in rows])
-        self.node = [r[1] for r in rows]
         self.size = np.array([r[2] for r in rows], np.int64)
-        self.root = {r[1]: r[3] for r in rows}
-        self.bits = np.unpackbits(np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-        self.own = [np.frombuffer(r[5], np.uint64) for r in rows]
-        self.parent: dict[int, int] = {}
-        self.num, self.den = num, den
-
-    def find(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            self.parent[x] = x = self.parent.get(up, up)
-        return x
-
-    def links(self, square: bool) -> list[tuple[int, int]]:
-        left = np.arange(len(self.side)) if square else np.flatnonzero(self.side == 0)
-        right = left if square else np.flatnonzero(self.side == 1)
-        out = []
+        self.root = np.array([r[3] for r in rows], np.int64)
+        # Wider bitmaps are folded to the least width; the places are residues of powers of two.
+        width = min(len(r[4]) for r in rows)
+        packed = np.stack([np.bitwise_or.reduce(np.frombuffer(r[4], np.uint8).reshape(-1, width), axis=0) for r in rows])
+        self.bits = np.unpackbits(packed, axis=1).astype(np.float32)
+        self.own = [np.frombuffer(r[5] or b"", np.uint64) for r in rows]
+
+    def likely(self) -> Iterator[tuple[int, int, int]]:
+        """Rows of different components whose overlap may reach the least one, and that least overlap."""
+        left = np.arange(len(self.side)) if self.square else np.flatnonzero(self.side == 0)
+        right = left if self.square else np.flatnonzero(self.side == 1)
         for at in range(0, len(left), ROWS):
             for to in range(0, len(right), ROWS):
-                out += self._block(left[at : at + ROWS], right[to : to + ROWS], square)
-        return out
+                yield from self._block(left[at : at + ROWS], right[to : to + ROWS])
 
-    def _block(self, left: np.ndarray, right: np.ndarray, square: bool) -> list[tuple[int, int]]:
+    def _block(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, int]]:
         a, b = self.size[left][:, None], self.size[right][None, :]
         common = self.bits[left] @ self.bits[right].T
         bound = np.minimum(a - self.bits[left].sum(1)[:, None] + common, b - self.bits[right].sum(1)[None, :] + common)
         least = -(-self.num * (a + b) // (self.num + self.den))
-        likely = bound >= least
-        if square:
+        likely = (bound >= least) & (self.root[left][:, None] != self.root[right][None, :])
+        if self.square:
             likely &= left[:, None] < right[None, :]
-        out = []
         for x, y in np.argwhere(likely).tolist():
-            u, v = left[x], right[y]
-            p, q = self.find(self.root[self.node[u]]), self.find(self.root[self.node[v]])
-            if p != q and overlap(self.own[u], self.own[v]) >= least[x, y]:
-                self.parent[max(p, q)] = min(p, q)
-                out.append((self.node[u], self.node[v]))
+            yield int(left[x]), int(right[y]), int(least[x, y])
+
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs of nodes that join components of the tile, exactly."""
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        out = []
+        for u, v, least in self.likely():
+            p, q = find(int(self.root[u])), find(int(self.root[v]))
+            if p != q and overlap(self.own[u], self.own[v]) >= least:
+                parent[max(p, q)] = min(p, q)
+                out.append((self.rows[u][1], self.rows[v][1]))
         return out
 
 
@@ -237,40 +251,68 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def tile_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``(a, b)`` from rows ``(k, t, u, side, node, n, root, bits, own)``, a tile per ``(k, t, u)``."""
+TILE_COLUMNS = ("k", "t", "u", "side", "node", "n", "root", "bits", "own")
+
+
+def over_tiles(rows: DataFrame, num: int, den: int, answer, out: str) -> DataFrame:
+    """``answer(tile, key)`` rows for each tile ``(k, t, u)`` of ``rows``; tiles with ``t = u`` are square."""
 
     def run(batches):
-        tile, rows = None, []
+        open_key, rows = None, []
         for batch in batches:
             found = []
-            for k, t, u, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, t, u) != tile:
-                    found += Tile(rows, num, den).links(tile[1] == tile[2]) if rows else []
-                    tile, rows = (k, t, u), []
-                rows.append(tuple(row))
-            yield _pairs(found)
+            for *key, side, node, n, root, bits, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != open_key:
+                    found += answer(Tile(rows, num, den, open_key[1] == open_key[2]), open_key) if rows else []
+                    open_key, rows = key, []
+                rows.append((side, node, n, root, bits, own))
+            yield _table(found, out)
         if rows:
-            yield _pairs(Tile(rows, num, den).links(tile[1] == tile[2]))
+            yield _table(answer(Tile(rows, num, den, open_key[1] == open_key[2]), open_key), out)
+
+    dealt = rows.select(*TILE_COLUMNS).repartition("k", "t", "u").sortWithinPartitions("k", "t", "u")
+    return dealt.mapInArrow(run, out)
+
+
+def _table(found: list[tuple], out: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in out.split(", ")]
+    columns = list(zip(*found)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+
+def _joining(tile: Tile, key: list) -> list[tuple]:
+    return tile.links()
 
-    columns = "k", "t", "u", "side", "node", "n", "root", "bits", "own"
-    dealt = rows.select(*columns).repartition("k", "t", "u").sortWithinPartitions("k", "t", "u")
-    return dealt.mapInArrow(run, "a long, b long")
 
+def _possible(tile: Tile, key: list) -> list[tuple]:
+    return [(tile.rows[u][1], tile.rows[v][1]) for u, v, _ in tile.likely()]
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[n] for p in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
+def _involved(tile: Tile, key: list) -> list[tuple]:
+    rows = sorted({x for u, v, _ in tile.likely() for x in (u, v)})
+    return [(*key, int(tile.side[x]), tile.rows[x][1], int(tile.root[x])) for x in rows]
 
-def pair_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the distinct pairs ``(a, b)`` that join their nodes: tiles of one ``a`` and a share of its partners."""
-    sizes = sets.select(F.col("node").alias("b"), "n")
+
+def pair_tiles(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Tiles of one ``a`` and a share of its partners, from distinct pairs ``(a, b)``."""
     tiles = F.ceil(F.sum(F.col("n") + 100) / TILE).cast("int")
-    hubs = pairs.join(sizes, "b").groupBy("a").agg(tiles.alias("tiles"))
-    members = pairs.join(hubs, "a").select(F.col("a").alias("k"), F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int").alias("t"), F.lit(1).alias("side"), F.col("b").alias("node"))
-    hub_rows = hubs.select(F.col("a").alias("k"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("t"), F.lit(0).alias("side"), F.col("a").alias("node"))
-    rows = members.unionByName(hub_rows).join(sets, "node").withColumns({"u": F.lit(-1), "root": F.col("node")})
-    return tile_links(rows, num, den)
+    hubs = pairs.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(tiles.alias("tiles"))
+    share = F.pmod(F.xxhash64("b"), F.col("tiles")).cast("int")
+    members = pairs.join(hubs, "a").select(F.col("a").alias("k"), share.alias("t"), F.lit(1).alias("side"), F.col("b").alias("node"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    heads = hubs.select(F.col("a").alias("k"), every.alias("t"), F.lit(0).alias("side"), F.col("a").alias("node"))
+    return members.unionByName(heads).join(nodes, "node").withColumns({"u": F.lit(-1), "root": F.col("node")})
+
+
+def possible_pairs(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs that the bitmaps do not rule out."""
+    rows = pair_tiles(pairs, nodes).withColumn("own", F.lit(None).cast("binary"))
+    return over_tiles(rows, num, den, _possible, "a long, b long")
+
+
+def pair_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs that join their nodes, exactly."""
+    return over_tiles(pair_tiles(pairs, nodes).join(sets, "node"), num, den, _joining, "a long, b long")
 
 
 def rooted(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
@@ -280,39 +322,48 @@ def rooted(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame
     return joined.withColumn(name, F.coalesce("_tl_root", node)).drop("_tl_node", "_tl_root")
 
 
-def node_components(docs: DataFrame, text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """``(node, root)`` of the nodes that are linked with another."""
-    keys = node_keys(docs, text, n, num, den)
+def node_components(docs: DataFrame, nodes: DataFrame, text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """``(node, root)`` of the nodes that are linked with another; ``nodes`` holds ``(node, n, bits)`` of all."""
+    ends = F.explode(F.array("a", "b")).alias("node")
     same = Window.partitionBy("k")
-    shared = keys.withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)}).where("lo < hi")
-    shared = written(shared.select("k", "node", "lo").distinct())
+    keys = node_keys(docs, text, n, num, den).withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)})
+    shared = written(keys.where("lo < hi").select("k", "node", "lo"))
     stars = written(shared.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = written(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = contents(docs, text, n, wanted)
-    links = written(pair_links(stars, sets, num, den))
+    likely = written(possible_pairs(stars, nodes, num, den))
+    links = written(pair_links(likely, nodes, contents(docs, text, n, likely.select(ends).distinct()), num, den))
     roots = components(links)
     # Keys whose smallest set did not take all the others into its component.
     apart = rooted(rooted(stars, roots, "a", "p"), roots, "b", "q").where("p <> q").select(F.col("a").alias("lo"), F.col("b").alias("node"))
     open_keys = shared.join(apart, ["lo", "node"], "left_semi").select("k").distinct()
     rest = written(rooted(shared.join(open_keys, "k", "left_semi"), roots, "node", "root"))
-    size = rest.join(sets.select("node", "n"), "node").groupBy("k").agg(F.count("*").alias("g"), F.ceil(F.sum(F.col("n") + 100) / TILE).cast("int").alias("tiles"))
-    small, large = size.where(f"g <= {SMALL}").select("k"), size.where(f"g > {SMALL}").select("k", "tiles")
-    few = rest.join(small, "k").select("k", "lo", "node", "root")
+    tiles = F.ceil(F.sum(F.col("n") + 100) / TILE).cast("int").alias("tiles")
+    size = rest.join(nodes.select("node", "n"), "node").groupBy("k").agg(F.count("*").alias("g"), tiles)
+    # Small keys: their pairs, each once.
+    few = rest.join(size.where(f"g <= {SMALL}").select("k"), "k").select("k", "lo", "node", "root")
     other = few.select("k", F.col("node").alias("b"), F.col("root").alias("q"))
     pairs = few.join(other, "k").where("node < b and root <> q and node <> lo").select(F.col("node").alias("a"), "b").distinct()
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    many = rest.join(large, "k").withColumn("own_t", tile)
+    likely = written(possible_pairs(pairs, nodes, num, den))
+    # Large keys: tiles; the nodes that a tile's bitmaps leave possible go on to the exact step.
+    many = rest.join(size.where(f"g > {SMALL}").select("k", "tiles"), "k").withColumn("own_t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = spread.select("k", F.least("own_t", "other").alias("t"), F.greatest("own_t", "other").alias("u"), (F.col("own_t") > F.col("other")).cast("int").alias("side"), "node", "root")
-    more = pair_links(pairs, sets, num, den).unionByName(tile_links(dealt.join(sets, "node"), num, den))
-    return components(links.unionByName(more))
+    side = (F.col("own_t") > F.col("other")).cast("int").alias("side")
+    dealt = spread.select("k", F.least("own_t", "other").alias("t"), F.greatest("own_t", "other").alias("u"), side, "node", "root")
+    involved = over_tiles(
+        dealt.join(nodes, "node").withColumn("own", F.lit(None).cast("binary")), num, den, _involved,
+        "k long, t long, u long, side long, node long, root long",
+    )
+    involved = written(involved)
+    sets = contents(docs, text, n, likely.select(ends).unionByName(involved.select("node")).distinct())
+    in_tiles = over_tiles(involved.join(nodes, "node").join(sets, "node"), num, den, _joining, "a long, b long")
+    return components(links.unionByName(pair_links(likely, nodes, sets, num, den)).unionByName(in_tiles))
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``(key, n_shingles, component_id)``: the smallest key reachable by links of Jaccard ``>= num / den``."""
-    nodes = written(document_nodes(docs, key, text, n))
-    roots = node_components(docs, text, n, num, den)
-    placed = rooted(nodes, roots, "node", "root")
+    rows = written(document_nodes(docs, key, text, n))
+    nodes = written(rows.where("node is not null").select("node", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["node"]))
+    roots = node_components(docs, nodes, text, n, num, den)
+    placed = rooted(rows.drop("bits"), roots, "node", "root")
     least = placed.where("root is not null").groupBy("root").agg(F.min(key).alias("component_id"))
     whole = placed.join(least, "root", "left")
     return whole.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
