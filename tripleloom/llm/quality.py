@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleloom.plans.sizing import broadcast_if_small
 from tripleloom.session import written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,8 +45,8 @@ class Rule:
 RULES = (
     Rule("symbols", "n_symbols", "word_chars", 60),
     Rule("capitals", "n_capitals", "word_chars", 250),
-    Rule("repeats", "n_repeat_words", "n_words", 200),
-    Rule("same_lines", "n_dup_lines", "n_lines", 300),
+    Rule("repeats", "n_repeat_words", "n_words", 280),
+    Rule("same_lines", "n_dup_lines", "n_lines", 500),
     Rule("word_length", "word_chars", "n_words", 4000, low=True),
 )
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
@@ -163,8 +164,9 @@ def quality_fences(sketch: DataFrame, by: tuple[str, ...] = ("lang", "source"),
 
 
 def judged(features: DataFrame, fences: DataFrame, by: tuple[str, ...] = ("lang", "source"), rules=RULES) -> DataFrame:
-    """``base_failed`` and ``kept`` added; the fences are joined on null-safe equality."""
-    side = fences.select(*[F.col(c).alias(f"_tl_{c}") for c in fences.columns])
+    """``base_failed`` and ``kept`` added; the fences, one row per group, are joined on null-safe equality."""
+    # Sent to all tasks where few by their count, else joined by a shuffle.
+    side = broadcast_if_small(written(fences.select(*[F.col(c).alias(f"_tl_{c}") for c in fences.columns])))
     on = [F.col(c).eqNullSafe(F.col(f"_tl_{c}")) for c in by]
     inside = F.lit(True)
     for r in rules:
@@ -178,9 +180,10 @@ def judged(features: DataFrame, fences: DataFrame, by: tuple[str, ...] = ("lang"
 def quality_rules(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), keep_text: bool = True) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``.
 
-    The counts are written once, since the sketch and the verdict both need them;
-    with ``keep_text=False`` the text is left out of that table.
+    The counts are written once, without the texts, for the sketch.  The verdict reads
+    them too, unless the texts are kept: then it counts again where they lie.
     """
     counted = quality_features(docs, text)
-    features = written(counted if keep_text else counted.drop(text))
-    return judged(features, quality_fences(quality_sketch(features, by), by), by)
+    features = written(counted.drop(text))
+    fences = quality_fences(quality_sketch(features, by), by)
+    return judged(counted if keep_text else features, fences, by)
