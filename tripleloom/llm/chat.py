@@ -13,7 +13,7 @@ Template: ``<s>role\\ntext</s>\\n`` for each turn.  Control strings inside texts
 roles get a backslash after their first character (existing ones shift by one), which
 ``unescaped`` takes away again; line feeds and backslashes in roles are escaped too.
 
-Defined results: turns are ordered by turn, then role, then text, nulls first; a
+Defined results: turns are ordered by turn, then role, then a hash of the text, nulls first; a
 null text or role is empty; repeated rows are turns of their own; a null
 conversation id is one conversation; an empty table gives an empty table; other
 columns are not read.
