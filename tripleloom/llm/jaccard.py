@@ -47,8 +47,10 @@ BITS = 1024
 #: Elements of the sets of one tile, with 100 added for each set.
 TILE = 200_000
 SMALL = 24
-#: Rows of a tile.
+#: Rows of a tile that are compared at once.
 ROWS = 512
+#: Possible pairs per row of a tile up to which they are checked one by one, each once whatever the key.
+DENSE = 8
 #: Bits of the filter that names the sets to be fetched, in slices.
 FILTER_BITS, SLICES = 1 << 27, 64
 #: Nodes that a task remembers, to give a repeated set's keys once.
@@ -288,9 +290,16 @@ def _possible(tile: Tile, key: list) -> list[tuple]:
     return [(tile.rows[u][1], tile.rows[v][1]) for u, v, _ in tile.likely()]
 
 
-def _involved(tile: Tile, key: list) -> list[tuple]:
-    rows = sorted({x for u, v, _ in tile.likely() for x in (u, v)})
-    return [(*key, int(tile.side[x]), tile.rows[x][1], int(tile.root[x])) for x in rows]
+def _open_rows(tile: Tile, key: list) -> list[tuple]:
+    """Possible pairs ``(0, a, 0, 0, 0, b, 0)``; with more than ``DENSE`` per row, the rows ``(1, *key, side, node, root)``."""
+    pairs, rows = [], set()
+    for u, v, _ in tile.likely():
+        rows.update((u, v))
+        if len(pairs) <= DENSE * len(tile.rows):
+            pairs.append((0, tile.rows[u][1], 0, 0, 0, tile.rows[v][1], 0))
+    if len(pairs) <= DENSE * len(tile.rows):
+        return pairs
+    return [(1, *key, int(tile.side[x]), tile.rows[x][1], int(tile.root[x])) for x in sorted(rows)]
 
 
 def pair_tiles(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -327,7 +336,8 @@ def node_components(docs: DataFrame, nodes: DataFrame, text: str = "text", n: in
     ends = F.explode(F.array("a", "b")).alias("node")
     same = Window.partitionBy("k")
     keys = node_keys(docs, text, n, num, den).withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)})
-    shared = written(keys.where("lo < hi").select("k", "node", "lo"))
+    # Copies of a set come from several tasks; each set counts once in a key.
+    shared = written(keys.where("lo < hi").select("k", "node", "lo").distinct())
     stars = written(shared.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
     likely = written(possible_pairs(stars, nodes, num, den))
     links = written(pair_links(likely, nodes, contents(docs, text, n, likely.select(ends).distinct()), num, den))
@@ -342,19 +352,21 @@ def node_components(docs: DataFrame, nodes: DataFrame, text: str = "text", n: in
     few = rest.join(size.where(f"g <= {SMALL}").select("k"), "k").select("k", "lo", "node", "root")
     other = few.select("k", F.col("node").alias("b"), F.col("root").alias("q"))
     pairs = few.join(other, "k").where("node < b and root <> q and node <> lo").select(F.col("node").alias("a"), "b").distinct()
-    likely = written(possible_pairs(pairs, nodes, num, den))
-    # Large keys: tiles; the nodes that a tile's bitmaps leave possible go on to the exact step.
+    # Large keys: tiles; what a tile's bitmaps leave possible goes on to the exact step, as pairs or as a smaller tile.
     many = rest.join(size.where(f"g > {SMALL}").select("k", "tiles"), "k").withColumn("own_t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     spread = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     side = (F.col("own_t") > F.col("other")).cast("int").alias("side")
     dealt = spread.select("k", F.least("own_t", "other").alias("t"), F.greatest("own_t", "other").alias("u"), side, "node", "root")
-    involved = over_tiles(
-        dealt.join(nodes, "node").withColumn("own", F.lit(None).cast("binary")), num, den, _involved,
-        "k long, t long, u long, side long, node long, root long",
+    left = over_tiles(
+        dealt.join(nodes, "node").withColumn("own", F.lit(None).cast("binary")), num, den, _open_rows,
+        "kind long, k long, t long, u long, side long, node long, root long",
     )
-    involved = written(involved)
-    sets = contents(docs, text, n, likely.select(ends).unionByName(involved.select("node")).distinct())
-    in_tiles = over_tiles(involved.join(nodes, "node").join(sets, "node"), num, den, _joining, "a long, b long")
+    left = written(left)
+    more_pairs = left.where("kind = 0").select(F.least("k", "node").alias("a"), F.greatest("k", "node").alias("b"))
+    likely = written(possible_pairs(pairs, nodes, num, den).unionByName(more_pairs).distinct())
+    dense = left.where("kind = 1").drop("kind")
+    sets = contents(docs, text, n, likely.select(ends).unionByName(dense.select("node")).distinct())
+    in_tiles = over_tiles(dense.join(nodes, "node").join(sets, "node"), num, den, _joining, "a long, b long")
     return components(links.unionByName(pair_links(likely, nodes, sets, num, den)).unionByName(in_tiles))
 
 
