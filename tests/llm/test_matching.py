@@ -190,3 +190,16 @@ def test_star_contraction(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(path + star + cycle, "a long, b long")).collect()}
     assert found == dict.fromkeys(range(61), 0) | dict.fromkeys(range(100, 150), 100) | dict.fromkeys(range(200, 209), 200)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shuffled_path(n, seed):
+    ids = list(range(1, n + 1))
+    random.Random(seed).shuffle(ids)
+    return list(zip(ids, ids[1:]))
+
+
+@pytest.mark.parametrize("links", [[(4, 1), (4, 3), (5, 3), (5, 2)], *[shuffled_path(n, s) for n, s in ((5, 3), (6, 19), (7, 8), (8, 10))]])
+def test_single_paths_are_one_component(spark, links):
+    """Alone, such a path has a round where a node holds two roots and no root holds a smaller node."""
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == [(n, 1) for n in range(1, len(links) + 2)]

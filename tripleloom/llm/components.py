@@ -23,8 +23,10 @@ def components(links: DataFrame) -> DataFrame:
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = written(small.where("a <> b").distinct())
-        # A forest of stars: no root is itself linked to a smaller node.
-        if edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        # A forest of stars: every node has one root, and no root is itself linked to a smaller node.
+        uses = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        uses = uses.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if uses.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
             break
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return written(stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
