@@ -150,6 +150,23 @@ def test_licences_among_near_misses(docs, licence_model):
     assert {r["paragraph"]: r["family"] for r in found} == {0: "apache", 3: "mit", 6: "lgpl"}
 
 
+WRAPPED = {
+    "apache": "Licensed under the Apache\nLicense, Version 2.0 (the \"License\"); you may not use this file except\nin compliance with the License.",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+}
+
+
+@pytest.mark.parametrize("family", WRAPPED)
+def test_wrapped_notices_are_confirmed(docs, licence_model, family):
+    """At the line where they begin; a blank line ends a notice."""
+    text = WRAPPED[family]
+    rows = [(1, text), (2, "Some other words\nbefore it.\n" + text + "\nand after"), (3, text.replace("\n", "\n\n"))]
+    found = licences.licence_scan(docs(rows), licence_model).where("confirmed").collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in found) == [(1, 0, family), (2, 2, family)]
+
+
 def test_licences_awkward(awkward, nothing, licence_model):
     assert licences.licence_scan(awkward, licence_model).count() == 0
     assert licences.licence_scan(nothing, licence_model).count() == 0
