@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import chat, decontaminate, jaccard, licences, line_dedup, pieces, quality, sharding, tokens, toxicity
+from tripleloom.llm import chat, decontaminate, infill, jaccard, licences, line_dedup, pieces, quality, sharding, tokens, toxicity, variants
 from tripleloom.llm.sql import SQL  # noqa: F401
+from tripleloom.session import written
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -91,6 +92,20 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = written(variants.vocabulary(variants.runs(table(spark, folder, "documents"))))
+    return variants.spelling_variants(words)
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    back = infill.restored(cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "fim_text"))
+    return back.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("fim_text", 256).alias("output_sha256"), F.sha2("restored_text", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_token_counts": op2_token_counts,
@@ -102,4 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

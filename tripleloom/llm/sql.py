@@ -107,9 +107,67 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base"""
 
 
+VARIANTS = rf"""
+WITH RECURSIVE bits(b, x, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT b, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT list(x ORDER BY b) AS t FROM bits WHERE k = 8),
+bytes AS (SELECT chr(CAST(range AS INTEGER)) AS c, range AS b FROM range(128)),
+runs AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id,
+    unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-zÀ-ÿ]{{6,}}')) AS run FROM documents),
+each AS (SELECT DISTINCT id, run FROM runs),
+coded AS (
+  SELECT id, run, flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)) AS codes FROM each),
+hashed AS (
+  SELECT id, run, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(codes, lambda c: CAST(c AS BIGINT))),
+    lambda h, c: xor(h >> 8, list_extract(t, 1 + (xor(h, c) & 255))))) AS h FROM coded, crcs),
+edited AS (
+  SELECT id, run, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+    ELSE run END AS word FROM hashed),
+vocabulary AS (
+  SELECT word, count(*) AS n FROM runs JOIN edited USING (id, run) WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM vocabulary),
+cut AS (SELECT word, n, p, substr(word, 1, CAST(p - 1 AS INTEGER)) || substr(word, CAST(p + 1 AS INTEGER)) AS rest FROM places),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN vocabulary b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+    CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM vocabulary LEFT JOIN best USING (word)),
+followed(word, place, form) AS (
+  SELECT word, word, form FROM judged
+  UNION ALL SELECT f.word, j.word, j.form FROM followed f JOIN judged j ON f.form = j.word)
+SELECT j.word, n, n_near, j.form, form_n, f.place AS root FROM judged j JOIN followed f ON f.word = j.word WHERE f.form IS NULL"""
+
+INFILL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+draws AS (
+  SELECT doc_id, t, u, len(u) AS n,
+    CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM texts),
+parts AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM draws)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts"""
+
 SQL = {
     "op1_chat_format": CHAT,
     "op7_line_dedup": LINES,
     "op8_ngram_jaccard_join": JACCARD,
     "op9_quality_rules": _quality(),
+    "op12_spelling_variants": VARIANTS,
+    "op13_fill_in_middle": INFILL,
 }
