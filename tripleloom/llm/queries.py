@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.llm import chat, decontaminate, infill, jaccard, licences, line_dedup, pieces, quality, sharding, tokens, toxicity, variants
+from tripleloom.llm import chat, decontaminate, infill, jaccard, licences, line_dedup, pieces, quality, sharding, substrings, tokens, toxicity, variants
 from tripleloom.llm.sql import SQL  # noqa: F401
 from tripleloom.session import written
 
@@ -92,6 +92,11 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     words = written(variants.vocabulary(variants.runs(table(spark, folder, "documents"))))
     return variants.spelling_variants(words)
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_fill_in_middle": op13_fill_in_middle,
 }

@@ -107,6 +107,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base"""
 
 
+PASSAGES = rf"""
+WITH texts AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM texts)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS place FROM windows) WHERE place > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM later, range(20) r(o)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+left_over AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN left_over USING (doc_id)"""
+
 VARIANTS = rf"""
 WITH RECURSIVE bits(b, x, k) AS (
   SELECT range, range, 0 FROM range(256)
@@ -168,6 +181,7 @@ SQL = {
     "op7_line_dedup": LINES,
     "op8_ngram_jaccard_join": JACCARD,
     "op9_quality_rules": _quality(),
+    "op11_substring_dedup": PASSAGES,
     "op12_spelling_variants": VARIANTS,
     "op13_fill_in_middle": INFILL,
 }
