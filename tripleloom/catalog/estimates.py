@@ -74,6 +74,11 @@ QUERIES = {
     "hll_registers": Query(lambda t: sk.hll_registers(t.part_square), HLL_ROWS),
     "hll_merged_registers": Query(lambda t: sk.merged_hll(*_both(t)), HLL_MERGED),
     "hll_estimate": Query(lambda t: _rounded(sk.hll_estimate(*_both(t))), HLL),
+    "row_estimate_bound": Query(
+        lambda t: sk.row_estimate(*_both(t), method="bound"),
+        f"""SELECT i, CAST(n AS DOUBLE) AS distinct_est, n AS est, {SLOTS.format(e="n")} AS slots
+FROM (SELECT a.i AS i, count(*) AS n FROM ({sql.PART_SQUARE}) a JOIN ({sql.PART_SQUARE}) b ON a.j = b.i GROUP BY 1)""",
+    ),
     "minhash_registers": Query(lambda t: sk.minhash_registers(t.part_square), MIN_ROWS),
     "minhash_merged_registers": Query(lambda t: sk.merged_minhash(*_both(t)), MIN_MERGED),
     "minhash_estimate": Query(lambda t: _rounded(sk.minhash_estimate(*_both(t))), MIN),

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tripleloom.catalog import Query
 from tripleloom.catalog import tables as sql
+from tripleloom.operators import masked
 from tripleloom.operators import multiply as mul
 from tripleloom.operators.spmv import spmv, spmv_transposed, vector_diff
 from tripleloom.operators.tiles import tiled_product
 from tripleloom.plans.dispatch import method_for
+from tripleloom.session import written
 
 SQUARE = sql.product(sql.CUSTOMER_SQUARE, sql.CUSTOMER_SQUARE)
 CUSTOMER_PART = sql.product(sql.CUSTOMER_ORDER, sql.ORDER_PART)
@@ -55,6 +57,25 @@ def _reuse(t):
     return mul.numeric(mul.symbolic(a, b), a, b).entries
 
 
+def _third(m):
+    """A third of the positions of a structure."""
+    return m.where("(i + j) % 3 = 0")
+
+
+def _masked(t):
+    a, b = t.customer_order, t.once("order_part")
+    return mul.numeric(_third(mul.symbolic(a, b)), a, b).entries
+
+
+def _by_plan(t):
+    """A stored plan, with values that it was not made from."""
+    a, b = t.once("customer_order"), t.once("order_part")
+    plan = written(masked.product_plan(mul.symbolic(a, b), a, b))
+    left = masked.entry_values(a).select("at", (F.col("v") + F.col("at") % 5).alias("v"))
+    right = masked.entry_values(b).select("at", (F.col("v") * 2 + F.col("at") % 3).alias("v"))
+    return masked.planned_product(plan, left, right, a.rows, b.cols).entries
+
+
 def _formula(t):
     m = t.once("customer_square")
     return mul.square_product(m, method=method_for(m)).entries
@@ -80,6 +101,8 @@ def _vector_check(t):
 ORDER_SIZE = f"""SELECT a.i AS i, sum(a.v * p_size) AS y FROM ({sql.ORDER_PART}) a
 JOIN part ON a.j = p_partkey GROUP BY 1"""
 
+NUMBERED = "SELECT i, j, v, row_number() OVER (ORDER BY i, j) - 1 AS n FROM ({})"
+
 QUERIES = {
     "spgemm_aa": _square("auto"),
     "spgemm_rowwise_order": _square("rowwise"),
@@ -115,8 +138,21 @@ FROM ({sql.product(sql.PART_SQUARE, sql.PART_SQUARE)}) GROUP BY 1""",
         lambda t: mul.output_row_lengths(t.once("part_square"), t.once("part_square")),
         f"""SELECT i, count(*) AS c_nnz
 FROM ({sql.product(sql.PART_SQUARE, sql.PART_SQUARE)}) GROUP BY 1""",
+    ),
+    "symbolic_long_rows": Query(
+        lambda t: mul.output_row_lengths(t.once("supplier_part").T, t.once("supplier_part")),
+        f"""SELECT a.i AS i, count(DISTINCT b.j) AS c_nnz
+FROM ({sql.transposed(sql.SUPPLIER_PART)}) a JOIN ({sql.SUPPLIER_PART}) b ON a.j = b.i GROUP BY 1""",
     ),
     "numeric_on_known_structure": Query(_reuse, CUSTOMER_PART),
+    "numeric_masked": Query(_masked, f"SELECT * FROM ({CUSTOMER_PART}) WHERE (i + j) % 3 = 0"),
+    "numeric_by_plan": Query(
+        _by_plan,
+        sql.product(
+            f"SELECT i, j, v + n % 5 AS v FROM ({NUMBERED.format(sql.CUSTOMER_ORDER)})",
+            f"SELECT i, j, v * 2 + n % 3 AS v FROM ({NUMBERED.format(sql.ORDER_PART)})",
+        ),
+    ),
     "cancellation_kept": Query(
         lambda t: mul.spgemm(t.once("supplier_part_net"), t.part_brand).entries,
         sql.product(sql.SUPPLIER_PART_NET, sql.PART_BRAND),

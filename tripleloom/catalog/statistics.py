@@ -149,6 +149,11 @@ SELECT b.j AS j, CAST(sum(n) AS BIGINT) AS products FROM ({sql.PART_SQUARE}) b J
         f"""WITH b AS (SELECT i AS k, CAST(((j + 1) * 5 - 1) // (SELECT count(*) FROM part) AS BIGINT) AS b, count(*) AS n
   FROM ({sql.PART_SQUARE}) GROUP BY 1, 2)
 SELECT a.i AS i, b.b AS b, CAST(sum(n) AS BIGINT) AS products FROM ({sql.PART_SQUARE}) a JOIN b ON a.j = b.k GROUP BY 1, 2""",
+    ),
+    "bucket_distinct_long_rows": Query(
+        lambda t: st.bucket_lengths(t.once("supplier_part").T, t.once("supplier_part"), 5),
+        f"""SELECT a.i AS i, CAST(((b.j + 1) * 5 - 1) // (SELECT count(*) FROM part) AS BIGINT) AS b, count(DISTINCT b.j) AS nnz
+FROM ({sql.transposed(sql.SUPPLIER_PART)}) a JOIN ({sql.SUPPLIER_PART}) b ON a.j = b.i GROUP BY 1, 2""",
     ),
     "bucket_distinct": Query(
         lambda t: st.bucket_lengths(t.once("part_square"), t.once("part_square"), 5),

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import column_bucket
 from tripleloom.matrix import Matrix
+from tripleloom.operators import bitmaps
+from tripleloom.operators.masked import masked_product
 from tripleloom.operators.reshape import mirrored
 from tripleloom.operators.scans import largest_group
+from tripleloom.operators.sketches import estimated_entries
 from tripleloom.operators.tiles import tiled_product
 from tripleloom.plans.sizing import BROADCAST_ROWS, broadcast_if_small
 from tripleloom.plans.workload import (
+    MOST_PARTITIONS,
     TASK_PRODUCTS,
     Workload,
     co_partitioned,
@@ -26,6 +30,8 @@ from tripleloom.plans.workload import (
     split_hot_keys,
 )
 
+#: Entries of the result that one task is meant to add up, about 100 MB of rows.
+RESULT_ROWS = 1 << 22
 METHODS = ("auto", "rowwise", "columnwise", "outer", "inner", "merge", "broadcast", "bucketed", "tiled")
 
 
@@ -45,11 +51,14 @@ def spgemm(
     buckets: int = 5,
     task_products: int = TASK_PRODUCTS,
     broadcast_rows: int = BROADCAST_ROWS,
+    result_rows: int = RESULT_ROWS,
 ) -> Matrix:
     """``A·B``; with ``upper`` only entries with ``j >= i`` are made.
 
     ``auto`` measures the work per inner key, broadcasts a side of checked
-    size, or else joins on the inner key with hot keys cut into blocks.
+    size, or else joins on the inner key with hot keys cut into blocks and
+    sends the products to as many partitions as the estimated result needs,
+    ``result_rows`` each.
     """
     a.require_inner(b)
     method = method.lower()
@@ -58,12 +67,16 @@ def spgemm(
     if method == "tiled":
         return tiled_product(a, b, upper=upper)
     if method == "inner":
-        return numeric(symbolic(a, b, upper), a, b, upper)
+        # Positions come from bitmaps wherever two products share one, so that products are made once, in place.
+        return masked_product(symbolic(a, b, upper, least=2), a, b)
 
     left, right = left_side(a), right_side(b)
     work = measure(left, right, task_products)
     if method == "auto":
-        entries = over(planned_parts(left, right, work, upper, task_products, broadcast_rows), sum_products)
+        if min(work.left_nnz, work.right_nnz) > broadcast_rows:
+            entries = sized_sum(split_join(left, right, work, upper, task_products), a, b, work, task_products, result_rows)
+        else:
+            entries = over(planned_parts(left, right, work, upper, task_products, broadcast_rows), sum_products)
     elif method == "broadcast":
         if work.right_nnz > broadcast_rows:
             raise ValueError(f"{work.right_nnz} entries are too many to broadcast, the bound is {broadcast_rows}")
@@ -106,27 +119,30 @@ def gram_by_symmetry(a: Matrix, **options) -> Matrix:
     return symmetric_from_upper(outer_gram(a, upper=True, **options))
 
 
-def symbolic(a: Matrix, b: Matrix, upper: bool = False) -> DataFrame:
-    """Positions ``(i, j)`` of the product, without values."""
+def symbolic(a: Matrix, b: Matrix, upper: bool = False, least: int = bitmaps.DENSE) -> DataFrame:
+    """Positions ``(i, j)`` of the product, without values: from merged bitmaps, or from the products where those are few.
+
+    ``least`` is the number of products per merged bitmap from which bitmaps are taken.
+    """
+    work = bitmaps.bitmap_work(a, b, {})
+    if bitmaps.by_bitmaps(work, least):
+        positions = bitmaps.bitmap_positions(a, b, work)
+        return positions.where("j >= i") if upper else positions
     return over(planned(a, b, upper), lambda pairs: pairs.select("i", "j").distinct())
 
 
 def output_row_lengths(a: Matrix, b: Matrix) -> DataFrame:
     """Exact entries per product row."""
-    return symbolic(a, b).groupBy("i").agg(F.count(F.lit(1)).alias("c_nnz"))
-
-
-def numeric(structure: DataFrame, a: Matrix, b: Matrix, upper: bool = False) -> Matrix:
-    """Values for a known structure; only rows of ``A`` that it names are multiplied."""
-    wanted = Matrix(a.entries.join(structure.select("i").distinct(), "i", "left_semi"), a.rows, a.cols)
-    sums = over(planned(wanted, b, upper), sum_products)
-    return Matrix(
-        structure.join(sums, ["i", "j"], "left").select(
-            "i", "j", F.coalesce("v", F.lit(0.0)).alias("v")
-        ),
-        a.rows,
-        b.cols,
-    )
+    work = bitmaps.bitmap_work(a, b, {})
+    if bitmaps.by_bitmaps(work):
+        return bitmaps.bitmap_lengths(a, b, work=work)
+    positions = over(planned(a, b), lambda pairs: pairs.select("i", "j").distinct())
+    return positions.groupBy("i").agg(F.count(F.lit(1)).alias("c_nnz"))
+
+
+def numeric(structure: DataFrame, a: Matrix, b: Matrix) -> Matrix:
+    """Values for a known structure; no other position is multiplied."""
+    return masked_product(structure, a, b)
 
 
 def bucketed_product(a: Matrix, b: Matrix, buckets: int = 5, upper: bool = False) -> DataFrame:
@@ -162,6 +178,24 @@ def sum_products(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("i", "j").agg(F.sum("p").alias("v"))
 
 
+def sized_sum(pairs: DataFrame, a: Matrix, b: Matrix, work: Workload, task_products: int, result_rows: int) -> DataFrame:
+    """``sum_products`` with the exchange on ``(i, j)`` sized by the result.
+
+    The products bound the result; only where that bound needs more partitions than the session has
+    are its entries estimated, from sketches.  Both sides are large then, and a position's products come from
+    inner keys in different tasks: adding up before the shuffle would not shrink it, unless
+    positions have more products than there are tasks.
+    """
+    usual = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if work.products <= usual * result_rows:
+        return sum_products(pairs)
+    entries = min(estimated_entries(a, b), work.products)
+    wanted = min(MOST_PARTITIONS, -(-entries // result_rows))
+    if wanted <= usual or work.products > 2 * entries * max(usual, work.partitions(task_products)):
+        return sum_products(pairs)
+    return sum_products(pairs.repartition(wanted, "i", "j"))
+
+
 def bucketed_sum(pairs: DataFrame, buckets: int, cols: int) -> DataFrame:
     return (
         pairs.withColumn("b", column_bucket(F.col("j"), buckets, cols))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripleloom.functions.hashing import bit_length32, power_of_two
 from tripleloom.functions.scalar import column_bucket, size_bin, table_size
 from tripleloom.matrix import Matrix
+from tripleloom.operators import bitmaps
 from tripleloom.operators.multiply import symbolic
 from tripleloom.operators.reshape import row_lengths
 from tripleloom.operators.scans import histogram, prefix_sum, prefix_sums, ranked
@@ -90,7 +91,11 @@ def bucket_products(a: Matrix, b: Matrix, buckets: int) -> DataFrame:
 
 
 def bucket_lengths(a: Matrix, b: Matrix, buckets: int) -> DataFrame:
-    """Exact entries per row and column bucket."""
+    """Exact entries per row and column bucket: from bitmaps of the buckets, or from the products where those are few."""
+    group = bitmaps.bucket_group(buckets, b.cols)
+    work = bitmaps.bitmap_work(a, b, group)
+    if bitmaps.by_bitmaps(work):
+        return bitmaps.bitmap_lengths(a, b, group, work, "nnz")
     return (
         symbolic(a, b)
         .groupBy("i", column_bucket(F.col("j"), buckets, b.cols).alias("b"))

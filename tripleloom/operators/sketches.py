@@ -126,15 +126,33 @@ def row_estimate(a: Matrix, b: Matrix, method: str = "minhash") -> DataFrame:
     return hll_estimate(a, b) if method == "hll" else minhash_estimate(a, b)
 
 
+#: Bytes of Spark's own sketches that are broadcast.
+SKETCH_BYTES = 64_000_000
+
+
+def _beside(a: Matrix, b: Matrix, sketches: DataFrame, precision: int) -> DataFrame:
+    """Entries of ``A`` beside the sketch of the row of ``B`` they refer to; few sketches are broadcast, by their counted rows."""
+    rows = b.entries.agg(F.count_distinct("i")).first()[0]
+    if rows << precision <= SKETCH_BYTES:
+        sketches = F.broadcast(sketches)
+    return a.entries.select("i", F.col("j").alias("k")).join(sketches, "k")
+
+
 def native_hll_estimate(a: Matrix, b: Matrix, precision: int = 12) -> DataFrame:
     """``(i, est)`` with Spark's own HLL sketches: built per row of ``B``, merged along ``A``."""
     rows = b.entries.groupBy(F.col("i").alias("k")).agg(F.hll_sketch_agg("j", precision).alias("sk"))
-    merged = a.entries.select("i", F.col("j").alias("k")).join(rows, "k").groupBy("i").agg(F.hll_union_agg("sk").alias("sk"))
+    merged = _beside(a, b, rows, precision).groupBy("i").agg(F.hll_union_agg("sk").alias("sk"))
     return merged.select("i", F.hll_sketch_estimate("sk").alias("est"))
 
 
 def native_theta_estimate(a: Matrix, b: Matrix, precision: int = 12) -> DataFrame:
     """``(i, est)`` with Spark's own theta sketches."""
     rows = b.entries.groupBy(F.col("i").alias("k")).agg(F.theta_sketch_agg("j", precision).alias("sk"))
-    merged = a.entries.select("i", F.col("j").alias("k")).join(rows, "k").groupBy("i").agg(F.theta_union_agg("sk", precision).alias("sk"))
+    # A theta sketch has eight bytes per kept hash.
+    merged = _beside(a, b, rows, precision + 3).groupBy("i").agg(F.theta_union_agg("sk", precision).alias("sk"))
     return merged.select("i", F.theta_sketch_estimate("sk").alias("est"))
+
+
+def estimated_entries(a: Matrix, b: Matrix, precision: int = INDEX_BITS) -> int:
+    """Entries of ``A·B``, from one small sketch per row of ``B``."""
+    return int(native_hll_estimate(a, b, precision).agg(F.sum("est")).first()[0] or 0)
