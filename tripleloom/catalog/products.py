@@ -9,6 +9,7 @@ from tripleloom.catalog import tables as sql
 from tripleloom.operators import masked
 from tripleloom.operators import multiply as mul
 from tripleloom.operators.spmv import spmv, spmv_transposed, vector_diff
+from tripleloom.operators.stored import store_factors, stored_product
 from tripleloom.operators.tiles import tiled_product
 from tripleloom.plans.dispatch import method_for
 from tripleloom.session import written
@@ -52,6 +53,11 @@ def _bucketed(t):
     return mul.bucketed_product(t.once("customer_square"), t.once("customer_square"), 5)
 
 
+def _stored(t):
+    m = t.once("customer_square")
+    return stored_product(t.spark, store_factors(m, m), 5)
+
+
 def _reuse(t):
     a, b = t.customer_order, t.once("order_part")
     return mul.numeric(mul.symbolic(a, b), a, b).entries
@@ -117,6 +123,15 @@ QUERIES = {
         f"""SELECT i, j, CAST(((j + 1) * 5 - 1) // (SELECT count(*) FROM customer) AS BIGINT) AS b, v
 FROM ({SQUARE})""",
     ),
+    "spgemm_range_merge": Query(
+        _stored,
+        f"""SELECT i, j, CAST(((j + 1) * 5 - 1) // (SELECT count(*) FROM customer) AS BIGINT) AS b, v
+FROM ({SQUARE})""",
+    ),
+    "dense_product_hot_index": Query(
+        lambda t: tiled_product(t.once("user_event"), t.once("user_event").T, edge=16, side=3).entries,
+        sql.product(sql.USER_EVENT, sql.transposed(sql.USER_EVENT)),
+    ),
     "spgemm_sorted_output": Query(lambda t: mul.square_product(t.once("customer_square")).sorted(), SQUARE),
     "spgemm_row_totals": Query(
         _row_totals,

@@ -1,7 +1,7 @@
 """Dense accumulation: square tiles multiplied inside tasks, for matrices with few zeros.
 
-Tiles bound what a task holds (``edge**2`` numbers) and cut the shuffled rows
-by up to the tile edge against single products.
+Tiles bound what a task holds (a block's factors and one row of its result) and cut the
+shuffled rows by up to the tile edge against single products.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import whole
 from tripleloom.matrix import Matrix
+from tripleloom.plans.sizing import broadcast_if_small
 
 
 def to_tiles(m: Matrix, edge: int) -> DataFrame:
@@ -36,63 +37,152 @@ def to_tiles(m: Matrix, edge: int) -> DataFrame:
     )
 
 
-def tiled_product(a: Matrix, b: Matrix, edge: int = 128, upper: bool = False, eps: float | None = None) -> Matrix:
+#: Tiles of either side that meet in one block; a block's dense factors have ``SIDE * edge`` rows and columns.
+SIDE = 8
+#: Rows of a tile that travel together.
+STRIP = 8
+#: Strips that a task adds up before it hands them on.
+HELD = 4_096
+PARTIAL = "bi long, bj long, strip int, cell array<int>, v array<double>"
+
+
+def block_grid(a: Matrix, b: Matrix, edge: int, side: int) -> DataFrame:
+    """``(bk, lparts, rparts)``: blocks of at most about ``side`` tiles, by the counted tiles of each inner tile index."""
+
+    def counted(m: Matrix, inner: str, outer: str, name: str) -> DataFrame:
+        tiles = m.entries.select(whole(F.col(inner), edge).alias("bk"), whole(F.col(outer), edge).alias("o")).distinct()
+        return tiles.groupBy("bk").agg(F.ceil(F.count(F.lit(1)) / F.lit(side)).cast("int").alias(name))
+
+    return counted(a, "j", "i", "lparts").join(counted(b, "i", "j", "rparts"), "bk")
+
+
+def tiled_product(
+    a: Matrix, b: Matrix, edge: int = 128, upper: bool = False, eps: float | None = None, side: int = SIDE
+) -> Matrix:
     """``A·B`` by dense tiles; an entry exists where a product contributes, as with every method.
 
+    The tiles of each inner tile index are counted and cut into a grid of blocks of about ``side``
+    by ``side`` tiles, so an index that all tiles share is many blocks, and every pair of tiles meets in one.
+    A block is one dense product.  Its results travel as arrays of filled cells, are added
+    up in the task that makes them, and once more where all parts of a tile meet.
+
     With ``eps`` entries with ``|v| <= eps`` are dropped, as dense results have no structure.
     """
     a.require_inner(b)
-    ta = to_tiles(a, edge).select(
-        F.col("bi"), F.col("bj").alias("bk"), F.col("li").alias("ar"), F.col("lj").alias("ac"), F.col("v").alias("av")
-    )
-    tb = to_tiles(b, edge).select(
-        F.col("bi").alias("bk"), F.col("bj"), F.col("li").alias("br"), F.col("lj").alias("bc"), F.col("v").alias("bv")
-    )
-    pairs = ta.join(tb, "bk")
-    if upper:
-        pairs = pairs.where(F.col("bj") >= F.col("bi"))
-    partial = pairs.select("bi", "bj", "ar", "ac", "av", "br", "bc", "bv").mapInArrow(
-        _multiply_tiles(edge), "i long, j long, v double"
-    )
+    grid = broadcast_if_small(block_grid(a, b, edge, side))
+    keys = ["bk", "ls", "rs"]
+
+    def dealt(tiles: DataFrame, outer: str, own: str, parts: str, other: str, every: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(outer), F.col(parts)).cast("int").alias(own)
+        copies = F.explode(F.sequence(F.lit(0), F.col(every) - 1)).alias(other)
+        return tiles.join(grid, "bk").select("bk", mine, copies, outer, "li", "lj", "v")
+
+    left = dealt(to_tiles(a, edge).withColumnRenamed("bj", "bk"), "bi", "ls", "lparts", "rs", "rparts")
+    right = dealt(to_tiles(b, edge).withColumnRenamed("bi", "bk"), "bj", "rs", "rparts", "ls", "lparts")
+    blocks = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_multiply_blocks(edge, upper), PARTIAL)
+    partial = blocks.mapInArrow(_added(edge, HELD), PARTIAL)
+    strips = partial.repartition("bi", "bj", "strip").sortWithinPartitions("bi", "bj", "strip")
+    entries = strips.mapInArrow(_added(edge, 1), PARTIAL).mapInArrow(_cells(edge), "i long, j long, v double")
     if upper:
-        partial = partial.where("j >= i")
-    entries = partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
+        entries = entries.where("j >= i")
     if eps is not None:
         entries = entries.where(F.abs("v") > eps)
     return Matrix(entries, a.rows, b.cols)
 
 
-def _multiply_tiles(edge: int):
-    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("v", pa.float64())])
+def _dense(tiles: pa.Table, outer: str, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tile numbers, and the tiles of a block one after another with their stored places."""
+    numbers = tiles.column(outer).to_numpy()
+    size = np.diff(tiles.column("v").combine_chunks().offsets.to_numpy())
+    tile = np.repeat(np.arange(len(numbers)), size)
+    cell = [tiles.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("li", "lj", "v")]
+    values = np.zeros((len(numbers), edge, edge))
+    values[tile, cell[0], cell[1]] = cell[2]
+    stored = np.zeros(values.shape, np.float32)
+    stored[tile, cell[0], cell[1]] = 1.0
+    return numbers, values, stored
+
+
+def _multiply_blocks(edge: int, upper: bool):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, columns, strips, cells, values = [], [], [], [], []
+        if left.num_rows and right.num_rows:
+            bi, lv, lm = _dense(left, "bi", edge)
+            bj, rv, rm = _dense(right, "bj", edge)
+            across = [x.transpose(1, 0, 2).reshape(edge, -1) for x in (rv, rm)]
+            for n, i in enumerate(bi.tolist()):
+                out, met = lv[n] @ across[0], (lm[n] @ across[1]) > 0
+                for m, j in enumerate(bj.tolist()):
+                    if upper and j < i:
+                        continue
+                    part, mask = out[:, m * edge : (m + 1) * edge], met[:, m * edge : (m + 1) * edge]
+                    for strip in range(0, edge, STRIP):
+                        cell = np.flatnonzero(mask[strip : strip + STRIP])
+                        if len(cell):
+                            rows.append(i)
+                            columns.append(j)
+                            strips.append(strip // STRIP)
+                            cells.append(cell)
+                            values.append(part[strip : strip + STRIP].ravel()[cell])
+        return pa.Table.from_batches([_strips(rows, columns, strips, cells, values)])
+
+    return run
+
+
+def _strips(rows: list, columns: list, strips: list, cells: list, values: list) -> pa.RecordBatch:
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32))
+    flat = [np.concatenate(x) if x else np.zeros(0) for x in (cells, values)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(rows, pa.int64()), pa.array(columns, pa.int64()), pa.array(strips, pa.int32()),
+            pa.ListArray.from_arrays(offsets, pa.array(flat[0].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(flat[1].astype(float))),
+        ],
+        ["bi", "bj", "strip", "cell", "v"],
+    )
+
+
+def _added(edge: int, most: int):
+    """Strips of one place added up, while ``most`` of them or fewer are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush() -> pa.RecordBatch:
+            places = list(held)
+            cells = [np.flatnonzero(mask) for _, mask in held.values()]
+            values = [total[c] for (total, _), c in zip(held.values(), cells)]
+            held.clear()
+            return _strips(*([p[n] for p in places] for n in range(3)), cells, values)
+
+        for batch in batches:
+            ready = []
+            cell, v = batch.column(3), batch.column(4)
+            offsets = cell.offsets.to_numpy() - cell.offsets[0].as_py()
+            flat, numbers = cell.flatten().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False)
+            for n, place in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                if place not in held:
+                    if len(held) >= most:
+                        ready.append(flush())
+                    held[place] = np.zeros(STRIP * edge), np.zeros(STRIP * edge, bool)
+                mine = flat[offsets[n] : offsets[n + 1]]
+                held[place][0][mine] += numbers[offsets[n] : offsets[n + 1]]
+                held[place][1][mine] = True
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+        if held:
+            yield flush()
+
+    return run
+
 
+def _cells(edge: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.zeros((edge, edge))
-        right = np.zeros((edge, edge))
-        # Where entries are stored: a product contributes where the counts meet, whatever the values add up to.
-        mask, other = np.zeros((edge, edge)), np.zeros((edge, edge))
         for batch in batches:
-            for n in range(batch.num_rows):
-                cell = {
-                    name: batch.column(name)[n].values.to_numpy(zero_copy_only=False)
-                    for name in ("ar", "ac", "av", "br", "bc", "bv")
-                }
-                left[:] = 0.0
-                right[:] = 0.0
-                left[cell["ar"], cell["ac"]] = cell["av"]
-                right[cell["br"], cell["bc"]] = cell["bv"]
-                out = left @ right
-                mask[:] = 0.0
-                mask[cell["ar"], cell["ac"]] = 1.0
-                other[:] = 0.0
-                other[cell["br"], cell["bc"]] = 1.0
-                r, c = np.nonzero(mask @ other)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(r + batch.column("bi")[n].as_py() * edge, pa.int64()),
-                        pa.array(c + batch.column("bj")[n].as_py() * edge, pa.int64()),
-                        pa.array(out[r, c]),
-                    ],
-                    schema=schema,
-                )
+            size = np.diff(batch.column(3).offsets.to_numpy())
+            cell = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            bi, bj, strip = (np.repeat(batch.column(c).to_numpy().astype(np.int64), size) for c in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bi * edge + strip * STRIP + cell // edge), pa.array(bj * edge + cell % edge), batch.column(4).flatten()], ["i", "j", "v"]
+            )
 
     return run

@@ -60,8 +60,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables that ``written`` has made in this process.
+#: Tables that ``written`` has made in this process, and the names of those that a catalogue knows.
 _tables: list[str] = []
+_names: list[str] = []
+
+
+def keep_until_cleared(path: str, name: str | None = None) -> None:
+    """Let ``clear_written`` delete a folder, and the table of that name, that were made elsewhere."""
+    _tables.append(path)
+    if name:
+        _names.append(name)
 
 
 def clear_written(spark: SparkSession) -> int:
@@ -69,6 +77,8 @@ def clear_written(spark: SparkSession) -> int:
     jvm = spark.sparkContext._jvm
     settings = spark.sparkContext._jsc.hadoopConfiguration()
     n = len(_tables)
+    while _names:
+        spark.sql(f"DROP TABLE IF EXISTS {_names.pop()}")
     while _tables:
         path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
         path.getFileSystem(settings).delete(path, True)
