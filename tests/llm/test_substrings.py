@@ -55,6 +55,8 @@ def corpus(seed, n=60, letters="abc", sizes=(0, 80)):
         (4, "abcd", 7, 7, {"filter_bits": 0}),
         (5, "abc", 5, 2, {"filter_bits": 0, "most": 2, "documents": 0}),
         (6, "a", 20, 8, {"most": 5}),
+        (6, "ab", 20, 8, {"most": 2, "heads_kept": 0}),
+        (8, "abcd", 7, 4, {"most": 1, "heads_kept": 10**6}),
         (7, "abcdefgh", 20, 8, {"hot_keys": 0, "most": 1, "passages": 0}),
     ],
 )
@@ -73,7 +75,7 @@ def test_many_groups_pass_through_one_task(docs, monkeypatch):
     assert {n: found[n]["text"] for n, _ in rows} == {n: kept for n, (_, kept) in plain_repeats(rows, 6).items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"filter_bits": 0, "documents": 0}, {"most": 1}])
+@pytest.mark.parametrize("options", [{}, {"filter_bits": 0, "documents": 0}, {"most": 1}, {"most": 1, "heads_kept": 0}])
 def test_repeated_and_null_keys(docs, options):
     copied = " ".join(f"w{k}" for k in range(30))
     rows = [(5, copied), (5, copied), (5, "x " + copied), (None, "y y " + copied), (None, None), (7, copied + " end"), (None, copied), (6, "")]

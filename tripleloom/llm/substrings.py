@@ -43,6 +43,8 @@ MOST = 2_000
 #: Words of the subtrees that a task makes at once.
 BATCH = 200_000
 FILTER_BITS, SLICES, HOT = 1 << 31, 64, 500_000
+#: First leaves under frequent anchors that are broadcast, some 50 MB.
+HEADS = 300_000
 #: Documents, and passages, that are broadcast.
 DOCUMENTS, PASSAGES = 500_000, 2_000_000
 
@@ -168,7 +170,7 @@ def _judged(batch: pa.RecordBatch, found, shared) -> tuple[np.ndarray, np.ndarra
     return repeated, hot
 
 
-def _leaves(key: str, shared, window: int, prefix: int):
+def _leaves(shared, window: int, prefix: int):
     """Rows of suffixes: anchor, document, first window and the bytes that the windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,37 +187,136 @@ def _leaves(key: str, shared, window: int, prefix: int):
                         pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)),
                         pa.array((first - words.first[row]).astype(np.int32)), pa.array([raw[a:b] for a, b in zip(begin, end)], pa.binary()),
                     ],
-                    ["h", key, "digest", "start", "covered"],
+                    ["h", "id", "digest", "start", "covered"],
                 )
 
     return run
 
 
-def _frequent(key: str, shared, window: int, prefix: int):
+def _windows(batch: pa.RecordBatch, shared, window: int, prefix: int) -> Iterator[tuple[int, int, bytes]]:
+    """``(row, first word, 128 bits)`` of every window of a frequent anchor."""
+    words = Words(batch.column(1), AS_WRITTEN)
+    found = anchors(words, window, prefix)
+    row, first, count, _ = (x[_judged(batch, found, shared)[1]] for x in found)
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    row, raw = np.repeat(row, count), words.raw.tobytes()
+    begin, end, base = words.starts.tolist(), words.ends.tolist(), words.first[row]
+    for r, s, place in zip(row.tolist(), at.tolist(), (at - base).tolist()):
+        yield r, place, xxhash.xxh3_128_digest(b" ".join(raw[begin[k] : end[k]] for k in range(s, s + window)))
+
+
+def _halves(prints: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
+
+
+def _earlier(key, start: int, other, place: int) -> bool:
+    if key is None or other is None:
+        return key is None and (other is not None or start < place)
+    return (key, start) < (other, place)
+
+
+def _heads(shared, window: int, prefix: int):
+    """The first place of each window of a frequent anchor in a batch, and how often it occurs there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                ids = batch.column(0).to_pylist()
+                first: dict[bytes, tuple] = {}
+                count: dict[bytes, int] = {}
+                for row, start, mark in _windows(batch, shared, window, prefix):
+                    if mark not in first or _earlier(ids[row], start, *first[mark][:2]):
+                        first[mark] = (ids[row], start, row)
+                    count[mark] = count.get(mark, 0) + 1
+                a, b = _halves(list(first))
+                rows = pa.array([h[2] for h in first.values()], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [a, b, batch.column(0).take(rows), pa.array([h[1] for h in first.values()], pa.int32()), pa.array(list(count.values()), pa.int64())],
+                    ["a", "b", "id", "start", "n"],
+                )
+
+    return run
+
+
+def _later(shared, heads, window: int, prefix: int):
+    """Passages of the windows that start earlier elsewhere, by a broadcast map of first places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = heads.value
+        for whole in batches:
+            for batch in slices(whole, 1):
+                ids = batch.column(0).to_pylist()
+                rows, begin, end = [], [], []
+                for row, start, mark in _windows(batch, shared, window, prefix):
+                    if mark in known and known[mark] != (ids[row], start):
+                        if rows and rows[-1] == row and end[-1] >= start:
+                            end[-1] = start + window
+                        else:
+                            rows.append(row)
+                            begin.append(start)
+                            end.append(start + window)
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(2).take(at), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["id", "digest", "from", "to"]
+                )
+
+    return run
+
+
+def _frequent(shared, window: int, prefix: int):
     """One row for each window of a frequent anchor, with 128 bits of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
-                words = Words(batch.column(1), AS_WRITTEN)
-                found = anchors(words, window, prefix)
-                row, first, count, _ = (x[_judged(batch, found, shared)[1]] for x in found)
-                at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                row, raw = np.repeat(row, count), words.raw.tobytes()
-                begin, end = words.starts.tolist(), words.ends.tolist()
-                prints = [xxhash.xxh3_128_digest(b" ".join(raw[begin[k] : end[k]] for k in range(s, s + window))) for s in at.tolist()]
-                halves = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+                every = list(_windows(batch, shared, window, prefix))
+                a, b = _halves([mark for _, _, mark in every])
+                at = pa.array([row for row, _, _ in every], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), batch.column(0).take(pa.array(row)),
-                        batch.column(2).take(pa.array(row)), pa.array((at - words.first[row]).astype(np.int32)),
-                    ],
-                    ["a", "b", key, "digest", "start"],
+                    [a, b, batch.column(0).take(at), batch.column(2).take(at), pa.array([start for _, start, _ in every], pa.int32())],
+                    ["a", "b", "id", "digest", "start"],
                 )
 
     return run
 
 
+def frequent_passages(rows: DataFrame, shared, window: int, prefix: int, heads_kept: int) -> DataFrame:
+    """``(id, digest, from, to)`` under frequent anchors: a node's first leaf is a minimum, combined before the shuffle.
+
+    The first leaves of up to ``heads_kept`` nodes are broadcast; beyond that the windows are joined to them.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    some = rows.mapInArrow(_heads(shared, window, prefix), f"a long, b long, id {kind}, start int, n long")
+    # A null key sorts first in a struct, too.
+    head = F.min(F.struct("id", "start")).alias("head")
+    heads = written(some.groupBy("a", "b").agg(head, F.sum("n").alias("n")).where("n > 1").select("a", "b", "head"))
+    if heads.count() <= heads_kept:
+        known = heads.select("a", "b", "head.id", "head.start").toArrow()
+        marks = np.column_stack([known.column(c).to_numpy() for c in range(2)])
+        places = zip(known.column(2).to_pylist(), known.column(3).to_pylist())
+        sent = rows.sparkSession.sparkContext.broadcast({m.tobytes(): p for m, p in zip(marks, places)})
+        return rows.mapInArrow(_later(shared, sent, window, prefix), f"id {kind}, digest long, `from` int, to int")
+    ends = rows.mapInArrow(_frequent(shared, window, prefix), f"a long, b long, id {kind}, digest long, start int")
+    later = ends.join(heads, ["a", "b"]).where(~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("start") == F.col("head.start"))))
+    return later.select("id", "digest", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages that touch or overlap become one."""
+    for batch in batches:
+        out = []
+        for passages in batch.column(2).to_pylist():
+            own: list[dict] = []
+            for p in passages:
+                if own and p["from"] <= own[-1]["to"]:
+                    own[-1]["to"] = max(own[-1]["to"], p["to"])
+                else:
+                    own.append(dict(p))
+            out.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(2).type)], batch.schema.names)
+
+
 def _symbols(covered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all words, equal for equal words only, and each row's first one."""
     words = Words(covered, AS_WRITTEN)
@@ -306,9 +407,9 @@ def _pieces(batch: pa.RecordBatch, rows: int = 4_000) -> Iterator[pa.RecordBatch
 
 def repeated_passages(
     docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX,
-    most: int = MOST, filter_bits: int = FILTER_BITS, hot_keys: int = HOT,
+    most: int = MOST, filter_bits: int = FILTER_BITS, hot_keys: int = HOT, heads_kept: int = HEADS,
 ) -> DataFrame:
-    """``(key, digest, passages)`` of the rows that repeat earlier words: a list of ``(from, to)`` in words, sorted.
+    """``(key, digest, passages)`` of the rows that repeat earlier words: the maximal ``(from, to)`` in words, sorted.
 
     ``digest`` is ``xxhash64`` of the text, which tells rows of one key apart.
     """
@@ -324,18 +425,14 @@ def repeated_passages(
         shared = docs.sparkSession.sparkContext.broadcast((anchor_filter(repeated, bits), np.sort(frequent)))
     else:
         rows = with_own_anchors(rows, repeated, most, window, prefix)
-    leaves = rows.mapInArrow(_leaves("id", shared, window, prefix), f"h long, id {kind}, digest long, start int, covered binary")
+    leaves = rows.mapInArrow(_leaves(shared, window, prefix), f"h long, id {kind}, digest long, start int, covered binary")
     passage = f"id {kind}, digest long, `from` int, to int"
     found = leaves.repartition("h").sortWithinPartitions("h", F.asc_nulls_first("id"), "start").mapInArrow(_subtrees(window), passage)
     if total["hot"]:
-        ends = written(rows.mapInArrow(_frequent("id", shared, window, prefix), f"a long, b long, id {kind}, digest long, start int"))
-        # A null key sorts first in a struct, too.
-        heads = ends.groupBy("a", "b").agg(F.min(F.struct("id", "start")).alias("head"), F.count("*").alias("n")).where("n > 1")
-        later = ends.join(heads, ["a", "b"]).where(~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("start") == F.col("head.start"))))
-        found = found.unionByName(later.select("id", "digest", F.col("start").alias("from"), (F.col("start") + window).alias("to")))
+        found = found.unionByName(frequent_passages(rows, shared, window, prefix, heads_kept))
     # A row's list holds at most its own windows.
     lists = found.groupBy("id", "digest").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("passages"))
-    return lists.withColumnRenamed("id", key)
+    return lists.mapInArrow(_merged, lists.schema).withColumnRenamed("id", key)
 
 
 def with_own_anchors(rows: DataFrame, repeated: DataFrame, most: int, window: int, prefix: int) -> DataFrame:
