@@ -14,6 +14,7 @@ from tripleloom.functions.scalar import looked_up
 from tripleloom.matrix import Matrix
 from tripleloom.session import shared_folder
 from tripleloom.sources import index_pages, results, run_logs
+from tripleloom.sources.binary_csr import read_binary_csr, write_csr_parts
 from tripleloom.sources.cache import parse_once
 from tripleloom.sources.matrix_market import Layout, formatted_lines, parse_entries, read_matrix_market, write_matrix_market
 
@@ -185,6 +186,72 @@ def _sketch_comparison(t):
     return run_logs.sketch_comparison(*found).withColumn("ratio", F.round("ratio", 9))
 
 
+def span_lines(t):
+    """Marks of five events per run: every third one is a done mark, and the purchases' begin is a ``writing``."""
+    closing = F.col("event_id") % 3 == 0
+    word = F.when(closing, F.lit("done")).when(F.col("event_type") == "purchase", F.lit("writing")).when(F.col("event_id") % 3 == 1, F.lit("begin")).otherwise(F.lit("start"))
+    event = F.when(F.col("event_type") == "purchase", F.when(closing, F.lit("T1 write")).otherwise(F.lit("T1"))).otherwise(F.concat(F.lit("step: "), "event_type"))
+    text = F.concat(F.lit("[dbg "), F.col("ms").cast("string"), F.lit(" ms] "), event, F.lit(" "), word, F.when(closing, F.concat(F.lit(" buf="), F.col("event_id").cast("string"))).otherwise(F.lit("")))
+    return _events(t).select("run", "at", text.alias("value"))
+
+
+def other_tool_lines(t):
+    kind, number = F.col("event_type"), F.col("event_id")
+    text = (
+        F.when(kind == "click", F.concat(F.lit("   total   "), F.col("value").cast("string"), F.lit("ms")))
+        .when(kind == "view", F.concat(F.lit("C.nnz="), number.cast("string")))
+        .when(kind == "purchase", F.concat(F.lit("Kernel time:  "), F.col("value").cast("string"), F.lit(" ms")))
+        .otherwise(F.lit("no total 5ms here"))
+    )
+    return _events(t).select("run", "at", text.alias("value"))
+
+
+def _spans(t):
+    return run_logs.spans(run_logs.span_marks(span_lines(t))).select("run", "event", "begin_ms", "done_ms", "ms", "state", "detail")
+
+
+def _dialect_file(t, heading: str, lines):
+    """A file with this banner over lines ``(i, j, value)`` of the square customer matrix."""
+    m, path = t.customer_square, _folder(t, "dialect")
+    rows = lines(formatted_lines(Matrix(m.entries.where("j <= i"), m.rows, m.cols)))
+    n = rows.count()
+    first = t.spark.createDataFrame([(-1, 0, heading), (-1, 1, f"{m.rows} {m.cols} {n}")], "i long, j long, value string")
+    rows.select("i", "j", "value").unionByName(first).orderBy("i", "j").select("value").write.text(path)
+    return path
+
+
+def _core(t):
+    return read_matrix_market(t.spark, _dialect_file(t, "%%MatrixMarket matrix coordinate real skew-symmetric", lambda x: x), "core").entries
+
+
+def _lenient(t):
+    bare = F.when(F.col("i") % 2 == 0, F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1)).otherwise(F.col("value"))
+    path = _dialect_file(t, "%%MatrixMarket matrix whatever", lambda x: x.withColumn("value", bare))
+    return read_matrix_market(t.spark, path, "lenient").entries
+
+
+def _strict(t):
+    return read_matrix_market(t.spark, _dialect_file(t, "%%MatrixMarket matrix coordinate complex Hermitian", lambda x: x.withColumn("value", F.concat("value", F.lit(" 0.5")))), "strict").entries
+
+
+def _binary_file(t):
+    path = _folder(t, "binary")
+    write_csr_parts(t.once("customer_square"), path, part_entries=2_000)
+    return read_binary_csr(t.spark, path).entries
+
+
+TRIANGLE = f"SELECT i, j, {{}} AS v FROM ({sql.CUSTOMER_SQUARE}) WHERE j <= i"
+MIRRORED = "WITH m AS ({}) SELECT * FROM m UNION ALL SELECT j AS i, i AS j, v FROM m WHERE j < i"
+SPANS = f"""WITH m AS (SELECT CAST(user_id AS VARCHAR) AS run, event_id, event_id % 3 <> 0 AS opens, {MILLIS} AS ms,
+  CASE event_type WHEN 'purchase' THEN 'T1 write' ELSE 'step: ' || event_type END AS event FROM events),
+n AS (SELECT *, lead(opens) OVER w AS next_opens, lag(opens) OVER w AS last_opens, lead(ms) OVER w AS next_ms, lead(event_id) OVER w AS next_id
+  FROM m WINDOW w AS (PARTITION BY run, event ORDER BY event_id)),
+s AS (SELECT *, CASE WHEN opens AND NOT coalesce(next_opens, TRUE) THEN 'closed' WHEN NOT opens THEN 'stray' ELSE 'open' END AS state
+  FROM n WHERE opens OR NOT coalesce(last_opens, FALSE))
+SELECT run, event, CASE WHEN opens THEN ms END AS begin_ms, CASE state WHEN 'closed' THEN next_ms WHEN 'stray' THEN ms END AS done_ms,
+  CASE state WHEN 'closed' THEN next_ms - ms END AS ms, state, CASE state WHEN 'closed' THEN 'buf=' || next_id WHEN 'stray' THEN 'buf=' || event_id END AS detail
+FROM s"""
+
 SKETCH_SIDE = """SELECT l_orderkey AS run, CAST(sum(l_linenumber) AS DOUBLE) AS ms,
   round(CAST(sum(l_quantity) AS BIGINT) / count(*)::DOUBLE, 6) AS factor FROM lineitem WHERE l_returnflag = '{}' GROUP BY 1"""
 
@@ -274,6 +341,17 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
         _symmetric_file,
         f"""WITH m AS ({sql.CUSTOMER_SQUARE}) SELECT i, j, v FROM m WHERE j <= i
 UNION ALL SELECT j AS i, i AS j, v FROM m WHERE j < i""",
+    ),
+    "matrix_market_core": Query(_core, MIRRORED.format(TRIANGLE.format("v"))),
+    "matrix_market_lenient": Query(_lenient, MIRRORED.format(TRIANGLE.format("CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE v END"))),
+    "matrix_market_strict": Query(_strict, MIRRORED.format(TRIANGLE.format("v"))),
+    "binary_csr_file": Query(_binary_file, sql.CUSTOMER_SQUARE),
+    "log_spans": Query(_spans, SPANS),
+    "other_tool_results": Query(
+        lambda t: run_logs.other_tools(other_tool_lines(t)),
+        """SELECT CAST(user_id AS VARCHAR) AS run, arg_min(value, event_id) FILTER (event_type = 'click') AS total_ms,
+  min(event_id) FILTER (event_type = 'view') AS c_nnz, arg_min(value, event_id) FILTER (event_type = 'purchase') AS kernel_ms
+FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1""",
     ),
     "matrix_cache": Query(_cached_file, sql.ORDER_PART),
     "log_files": Query(

@@ -43,6 +43,17 @@ def _sorted_check(t):
     )
 
 
+def _turned_check(t):
+    """The columns of every seventh row the wrong way round, and a column twice in every eleventh."""
+    rows = shape.row_form(t.order_part, SEGMENT)
+    cols = F.when(F.col("i") % 7 == 0, F.reverse("cols")).when(F.col("i") % 11 == 0, F.concat("cols", F.slice("cols", -1, 1))).otherwise(F.col("cols"))
+    rows = rows.withColumn("cols", cols)
+    bad = shape.unsorted_rows(rows).withColumn("bad", F.lit(1))
+    return rows.select("i", "seg").join(bad, ["i", "seg"], "left").agg(
+        F.count(F.lit(1)).alias("segments"), F.count("bad").alias("unsorted")
+    )
+
+
 def _packed(t):
     key = pack_key(F.col("i"), F.col("j"))
     return t.order_part.entries.select(key.alias("key")).select(
@@ -145,6 +156,11 @@ FROM lineitem GROUP BY 1, 2""",
         _sorted_check,
         f"""SELECT count(*) AS segments, CAST(0 AS BIGINT) AS unsorted
 FROM (SELECT DISTINCT i, j // {SEGMENT} AS seg FROM ({sql.ORDER_PART}))""",
+    ),
+    "sortedness_of_turned_rows": Query(
+        _turned_check,
+        f"""SELECT count(*) AS segments, count(*) FILTER (i % 7 = 0 AND n > 1 OR i % 7 <> 0 AND i % 11 = 0) AS unsorted
+FROM (SELECT i, j // {SEGMENT} AS seg, count(*) AS n FROM ({sql.ORDER_PART}) GROUP BY 1, 2)""",
     ),
     "matrix_diff": Query(
         lambda t: diff.difference(t.supplier_part, _kept(t)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,17 +93,52 @@ def bucketed_columns(m: Matrix, buckets: int) -> DataFrame:
     return m.entries.select("i", "j", "v", column_bucket(F.col("j"), buckets, m.cols).alias("b"))
 
 
-def densified(m: Matrix) -> DataFrame:
-    """Every position of the shape, absent ones as 0.0.
+#: Positions of one dense piece.
+PIECE = 65_536
+
+
+def dense_pieces(m: Matrix, piece: int = PIECE) -> DataFrame:
+    """``(i, first, vals)``: every row of the shape as arrays of up to ``piece`` values, absent ones as 0.0.
 
-    The grid comes from one range over ``rows * cols``, so it is partitioned
-    like any scan and needs no product of two tables.
+    Stored entries are gathered per block of rows and columns, beside one marker per block, and filled in
+    there; the positions themselves are never shuffled.  Repeated positions are added.
     """
-    spark = m.entries.sparkSession
-    grid = spark.range(m.rows * m.cols).select(
-        whole(F.col("id"), m.cols).alias("i"), F.pmod("id", F.lit(m.cols)).alias("j")
+    width = max(1, min(m.cols, piece))
+    height = max(1, piece // width)
+    across = max(1, -(-m.cols // width))
+    down = -(-m.rows // height) if m.cols else 0
+    keys = [whole(F.col("i"), height).alias("block"), whole(F.col("j"), width).alias("seg")]
+    markers = m.entries.sparkSession.range(down * across).select(
+        whole(F.col("id"), across).alias("block"), F.pmod("id", F.lit(across)).alias("seg"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("i", "long"), ("j", "long"), ("v", "double"))],
     )
-    return grid.join(m.entries, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+    stored = m.entries.select(*keys, "i", "j", "v").unionByName(markers)
+    fill = _filled(height, width, m.rows, m.cols)
+    return stored.groupBy("block", "seg").applyInArrow(fill, "i long, first long, vals array<double>")
+
+
+def _filled(height: int, width: int, rows: int, cols: int):
+    def run(table: pa.Table) -> pa.Table:
+        block, seg = table.column("block")[0].as_py(), table.column("seg")[0].as_py()
+        tall, wide = min(height, rows - block * height), min(width, cols - seg * width)
+        out = np.zeros((tall, wide))
+        held = table.filter(pc.is_valid(table.column("i")))
+        np.add.at(out, (held.column("i").to_numpy() - block * height, held.column("j").to_numpy() - seg * width), held.column("v").to_numpy())
+        offsets = pa.array(np.arange(0, out.size + 1, wide, dtype=np.int32))
+        return pa.table(
+            {
+                "i": pa.array(np.arange(tall) + block * height), "first": pa.array(np.full(tall, seg * width)),
+                "vals": pa.ListArray.from_arrays(offsets, pa.array(out.ravel())),
+            }
+        )
+
+    return run
+
+
+def densified(m: Matrix) -> DataFrame:
+    """Every position of the shape, absent ones as 0.0."""
+    cells = dense_pieces(m).select("i", "first", F.posexplode("vals").alias("at", "v"))
+    return cells.select("i", (F.col("first") + F.col("at")).alias("j"), "v")
 
 
 def pruned(m: Matrix, eps: float) -> Matrix:

@@ -15,6 +15,10 @@ INPUT = r"Input A:\s*(\d+)\s*x\s*(\d+),\s*nnz\s*=\s*([\d,]+)"
 RESULT = r"Result C:.*?nnz\s*=\s*([\d,]+)"
 CHOICE = r"\[adapt\].*→\s*(hash|merge3)"
 OVER_ALLOCATION = r"C_nnz=(\d+)\s*\(est=(\d+),\s*([\d.]+)x over-alloc\)"
+SPAN = r"^\[dbg\s+([\d.]+)\s+ms\]\s+(.*?)[\s:]*\b(begin|start|done|writing)\b(.*)$"
+TOTAL = r"^\s+total\s+([0-9.]+)ms"
+ENTRIES = r"C\.nnz=(\d+)"
+KERNEL = r"Kernel time:\s*([0-9.]+)\s*ms"
 FALLBACK_CHOICE = "merge3 (fallback)"
 
 
@@ -113,6 +117,65 @@ def method_results(lines: DataFrame) -> DataFrame:
     return placed.groupBy("run", "place").agg(of("time").alias("time_ms"), of("result").cast("long").alias("c_nnz"))
 
 
+def span_marks(lines: DataFrame) -> DataFrame:
+    """``(run, at, event, opens, ms, detail)`` from ``[dbg … ms] event begin`` and ``… done`` lines.
+
+    ``start`` opens like ``begin``; ``writing`` opens the event that ``write done`` closes.
+    """
+    part = lambda n: F.regexp_extract("value", SPAN, n)
+    event = F.when(part(3) == "writing", F.concat_ws(" ", F.nullif(part(2), F.lit("")), F.lit("write"))).otherwise(part(2))
+    return lines.where(F.col("value").rlike(SPAN)).select(
+        "run", "at", event.alias("event"), (part(3) != "done").alias("opens"), part(1).cast("double").alias("ms"), F.trim(part(4)).alias("detail")
+    )
+
+
+def spans(marked: DataFrame) -> DataFrame:
+    """``(run, event, at, begin_ms, done_ms, ms, state, detail)``: each opening mark with the next mark of its event.
+
+    ``closed`` where that is a done mark, else ``open``; a done mark that closes nothing is ``stray``.  Marks are
+    paired inside each block of a file; only a block's first and last mark of an event are looked at across blocks, so
+    no task sorts a whole log.
+    """
+    placed = marked.withColumn("block", F.col("at.block"))
+    inside = Window.partitionBy("run", "event", "block").orderBy("at")
+    near = placed.select(
+        "*", F.lead("opens").over(inside).alias("next_opens"), F.lead("ms").over(inside).alias("next_ms"),
+        F.lead("detail").over(inside).alias("next_detail"), F.lag("opens").over(inside).alias("last_opens"),
+    )
+    ends = placed.groupBy("run", "event", "block").agg(
+        F.min_by(F.struct("opens", "ms", "detail"), "at").alias("first"), F.max_by("opens", "at").alias("last")
+    )
+    across = Window.partitionBy("run", "event").orderBy("block")
+    edges = ends.select("run", "event", "block", F.lead("first").over(across).alias("after"), F.lag("last").over(across).alias("before"))
+    both = near.join(edges, ["run", "event", "block"])
+    ended = F.col("next_opens").isNull()
+    next_opens = F.when(ended, F.col("after.opens")).otherwise(F.col("next_opens"))
+    known = both.select(
+        "run", "event", "at", "opens", "ms", "detail", next_opens.alias("next_opens"),
+        F.when(ended, F.col("after.ms")).otherwise(F.col("next_ms")).alias("next_ms"),
+        F.when(ended, F.col("after.detail")).otherwise(F.col("next_detail")).alias("next_detail"),
+        F.coalesce("last_opens", "before").alias("last_opens"),
+    )
+    closed = F.col("opens") & ~F.coalesce("next_opens", F.lit(True))
+    stray = ~F.col("opens") & ~F.coalesce("last_opens", F.lit(False))
+    done = F.when(closed, F.col("next_ms")).when(stray, F.col("ms"))
+    begin = F.when(F.col("opens"), F.col("ms"))
+    return known.where(F.col("opens") | stray).select(
+        "run", "event", "at", begin.alias("begin_ms"), done.alias("done_ms"), (done - begin).alias("ms"),
+        F.when(closed, "closed").when(stray, "stray").otherwise("open").alias("state"),
+        F.when(closed, F.col("next_detail")).when(stray, F.col("detail")).alias("detail"),
+    )
+
+
+def other_tools(lines: DataFrame) -> DataFrame:
+    """``(run, total_ms, c_nnz, kernel_ms)``: the first total, result size and kernel time that other tools print."""
+    number = lambda rule: F.when(F.col("value").rlike(rule), F.regexp_extract("value", rule, 1).try_cast("double"))
+    found = lines.select("run", "at", number(TOTAL).alias("total_ms"), number(ENTRIES).alias("c_nnz"), number(KERNEL).alias("kernel_ms"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
+    summed = found.where("coalesce(total_ms, c_nnz, kernel_ms) IS NOT NULL").groupBy("run")
+    return summed.agg(first("total_ms").alias("total_ms"), first("c_nnz").cast("long").alias("c_nnz"), first("kernel_ms").alias("kernel_ms"))
+
+
 def over_allocations(lines: DataFrame) -> DataFrame:
     """``(run, at, c_nnz, est, factor)`` from the lines that compare an estimate with the result size."""
     part = lambda n: F.regexp_extract("value", OVER_ALLOCATION, n)
