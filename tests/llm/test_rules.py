@@ -1,5 +1,6 @@
 """Quality rules, sharding, licences, toxicity and the pipeline."""
 
+import math
 import random
 import re
 import zlib
@@ -101,17 +102,60 @@ def test_shards_hold_the_law(spark, per_block):
 
 def test_shards_few_and_none(spark):
     rows = spark.createDataFrame([(1, None), (2, "b"), (2, "b"), (None, None)], "id long, s string")
-    dims = {"s": sharding.as_number(F.col("s"), "string")}
+    dims = {"s": F.col("s")}
     found = sharding.hilbert_shards(rows, dims, "id", 40).collect()
     assert len({r["shard"] for r in found}) == 4 and {r["slot"] for r in found} == {0}
     assert sharding.hilbert_shards(rows.limit(0), dims, "id", 40).count() == 0
 
 
-def test_numbers_keep_the_order(spark):
-    names = [None, "", "a", "ab", "abc", "b", "src1", "src10", "src2", "é"]
-    rows = spark.createDataFrame([(n, s) for n, s in enumerate(names)], "n int, s string")
-    found = [r["x"] for r in rows.select("n", sharding.as_number(F.col("s"), "string").alias("x")).orderBy("n").collect()]
-    assert found == sorted(found)
+def test_whole_values_are_ranked(spark):
+    names = [None, "", *[f"common-crawl-src{n}" for n in range(20)], "src1", "src10", "src2", "é"]
+    rows = spark.createDataFrame([(s,) for s in names for _ in range(3)] + [("src1",)] * 900, "s string").repartition(5)
+    found = {r["s"]: r["code"] for r in sharding.value_codes(rows, "s", 10).collect()}
+    order = [found[s] for s in [None, *sorted(names[1:], key=lambda s: s.encode())]]
+    assert order == sorted(order) and len(set(order)) == len(names)
+    before, total = 0, rows.count()
+    for s in [None, *sorted(names[1:], key=lambda s: s.encode())]:
+        n = 903 if s == "src1" else 3
+        assert found[s] == (2 * before + n) * 1024 // (2 * total)
+        before += n
+
+
+def test_shards_equal_plain_python(spark):
+    draw = random.Random(4)
+    rows = [(k, draw.choice([None, "de", "en", "fr"]), draw.choice("abcdefg") * 9, draw.choice([None, 1, 5, 7, draw.randrange(1000)])) for k in range(700)]
+    df = spark.createDataFrame(rows, "id long, lang string, source string, size long").withColumn("Curve", F.lit("c")).withColumn("slot", F.lit("s")).repartition(6)
+    out = sharding.hilbert_shards(df, {c: F.col(c) for c in ("lang", "source", "size")}, "id", 13)
+    assert sorted(out.columns) == ["curve", "id", "lang", "shard", "size", "slot", "source"]
+    found = rows_of(out, "id")
+
+    def ranks(values, key):
+        order = sorted(set(values), key=key)
+        before, code = 0, {}
+        for v in order:
+            code[v] = (2 * before + values.count(v)) * 16 // (2 * len(values))
+            before += values.count(v)
+        return code
+
+    text = lambda v: (v is not None, (v or "").encode())
+    lang, source = ranks([r[1] for r in rows], text), ranks([r[2] for r in rows], text)
+    sizes = sorted(float("-inf") if r[3] is None else r[3] for r in rows)
+    cuts = [sizes[math.ceil(len(sizes) * n / 16) - 1] for n in range(1, 16)]
+    place = sharding.curve(3)
+    for k, la, so, si in rows:
+        size = sum((float("-inf") if si is None else si) > c for c in cuts)
+        assert found[k]["curve"] == place[lang[la] | source[so] << 4 | size << 8]
+    order = sorted(found.values(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in order] == sorted(r["curve"] for r in order)
+    assert [(r["shard"], r["slot"]) for r in order] == [(s, n) for s in range(13) for n in range(sum(k * 13 // 700 == s for k in range(700)))]
+
+
+def test_boxes_prune(spark):
+    found = queries.op10_sharding(spark, "/root/testdata/sf0.01").select("doc_id", "shard")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    per = found.join(docs, "doc_id").groupBy("shard").agg(F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources")).collect()
+    assert sum(r["langs"] == 4 for r in per) < len(per) / 2
+    assert sum(r["sources"] for r in per) < 0.7 * 20 * len(per)
 
 
 def test_shard_query(spark):

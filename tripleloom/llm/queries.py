@@ -81,11 +81,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
         (F.octet_length(content) + 16).cast("long").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
     )
-    dims = {
-        "lang": sharding.as_number(F.col("lang"), "string"),
-        "source": sharding.as_number(F.col("source"), "string"),
-        "size": sharding.as_number(F.col("size"), "long"),
-    }
+    dims = {name: F.col(name) for name in ("lang", "source", "size")}
     cut = sharding.hilbert_shards(facts, dims, "doc_id", 40)
     return cut.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
