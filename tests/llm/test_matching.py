@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,97 @@ def test_leaks_are_found(leaks, block):
     assert kept == set(range(rows.count())) - {d for d, _ in wanted}
 
 
+def placed_hits(masks, length, subs):
+    """Whether some mask, laid somewhere in the item, keeps none of the substituted places."""
+    return any(
+        all(at + k not in subs for k, kept in enumerate(mask) if kept == "1") for mask in masks for at in range(length - len(mask) + 1)
+    )
+
+
+@pytest.mark.parametrize("length", range(3, 31))
+def test_masks_leave_a_hit_for_all_placements(length):
+    for subs in combinations(range(length), decontaminate.allowed(length)):
+        assert placed_hits(decontaminate.masks_of(length), length, set(subs)), subs
+
+
+@pytest.mark.parametrize("length", range(12, 16))
+def test_masks_of_long_items_hit_stretches(length):
+    for subs in combinations(range(length), min(2, length - 10)):
+        assert placed_hits(decontaminate.masks_of(40), length, set(subs)), subs
+
+
+def test_short_items_with_all_substitutions(spark, docs):
+    """Items of 3 to 20 words, one document for each placement of up to one substitution more than allowed."""
+    draw = random.Random(12)
+    rows, sure, possible, items = [], set(), set(), []
+    for length in range(3, 21):
+        item = [f"w{length}x{k}" for k in range(length)]
+        items.append((length, " ".join(item)))
+        for n in range(decontaminate.allowed(length) + 2):
+            placements = list(combinations(range(length), n))
+            for subs in placements if len(placements) <= 200 else draw.sample(placements, 200):
+                own = ["other" if k in subs else w for k, w in enumerate(item)]
+                gain = best = 0
+                run = top = 0
+                for k in range(length):
+                    gain, run = (gain + 1, run + 1) if k not in subs else (gain - 3, run)
+                    if gain < 0:
+                        gain = run = 0
+                    if gain > best:
+                        best, top = gain, run
+                whole = n <= decontaminate.allowed(length)
+                clean = any(not any(at <= s < at + 12 for s in subs) for at in range(length - 11))
+                if whole or clean or n == 3 and top >= 12 and length - max(subs) + min(subs) > 13:
+                    sure.add((len(rows), length))
+                if whole or top >= 12:
+                    possible.add((len(rows), length))
+                rows.append((len(rows), " ".join(["start", "here"] * 3 + own + ["end"])))
+    bench = spark.createDataFrame([*items, (1, "alpha"), (2, "start here"), (None, "")], "item_id long, text string")
+    found = decontaminate.contaminations(docs(rows), bench).collect()
+    assert sure <= {(r["doc_id"], r["item_id"]) for r in found} <= possible
+
+
+def test_contaminations_equal_all_diagonals(spark, docs):
+    """Against every diagonal of every document and item, over few words, so that much agrees by chance."""
+    draw = random.Random(13)
+    items = [[draw.choice("abcdefghijkl") for _ in range(draw.randrange(3, 25))] for _ in range(12)]
+    rows = []
+    for n in range(120):
+        body = [draw.choice("abcdefghijkl") for _ in range(draw.randrange(40))]
+        own = list(draw.choice(items))
+        for _ in range(draw.randrange(4)):
+            own[draw.randrange(len(own))] = draw.choice("abcdefghijkl")
+        at = draw.randrange(len(body) + 1)
+        rows.append((n, body[:at] + own + body[at:]))
+    least, sure, possible = 12, set(), set()
+    for n, words_ in rows:
+        for m, item in enumerate(items):
+            for shift in range(-len(item) + 1, len(words_)):
+                same = [0 <= k + shift < len(words_) and words_[k + shift] == w for k, w in enumerate(item)]
+                if sum(same) >= len(item) - decontaminate.allowed(len(item)):
+                    sure.add((n, m))
+                gain = run = 0
+                for hit in same:
+                    gain, run = (gain + 1, run + 1) if hit else (gain - 3, run)
+                    if gain < 0:
+                        gain = run = 0
+                    if run >= least:
+                        possible.add((n, m))
+    bench = spark.createDataFrame([(m, " ".join(w)) for m, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminations(docs([(n, " ".join(w)) for n, w in rows]), bench).collect()}
+    assert sure <= found <= sure | possible
+
+
+def test_items_without_ids_of_their_own(spark, docs):
+    bench = spark.createDataFrame([(None, f"word{n} and some more words of item number {n} here to be found") for n in range(30)], "item_id long, text string")
+    rows = [(n, f"so word{n} and some more words of item number {n} here to be found x") for n in range(30)]
+    blocks = list(decontaminate.benchmark_blocks(bench, "item_id", "text", 12, 60))
+    assert len(blocks) > 3 and sum(len(b.ids) for b in blocks) == 30
+    assert decontaminate.decontaminated(docs(rows), bench, block_words=60).count() == 0
+    same = decontaminate.contaminations(docs(rows), bench.withColumnRenamed("item_id", "doc_id"), item="doc_id")
+    assert same.columns[:2] == ["doc_id", "benchmark_doc_id"]
+
+
 def test_contaminations_awkward(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta " * 4), (None, "alpha beta gamma delta " * 4), (2, None)], "item_id long, text string")
     found = decontaminate.contaminations(awkward, bench).collect()
@@ -174,6 +266,17 @@ def test_one_of_each_keeps_smallest(docs):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 3, 9]
 
 
+def test_one_of_each_with_repeated_and_null_keys(docs):
+    text = "one two three four five six seven eight nine ten"
+    for keys, left in (([1, 1, None, None, 2], [1]), ([None, None], [None]), ([None, 7], [7]), ([4, 4, 4], [4])):
+        kept = jaccard.one_of_each(docs([(k, text) for k in keys] + [(9, None), (9, None), (None, "")]))
+        assert sorted((r["doc_id"] or -1 for r in kept.where("text = '" + text + "'").collect())) == [k or -1 for k in left]
+        assert kept.where("coalesce(text, '') = ''").count() == 3
+    near = docs([(3, text), (3, text + " eleven"), (3, text + " eleven"), (8, "something else entirely")]).withColumn("id", F.monotonically_increasing_id())
+    kept = jaccard.one_of_each(near, n=2)
+    assert kept.columns == near.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 8]
+
+
 def test_jaccard_awkward(awkward, nothing):
     found = jaccard.similar_documents(awkward).collect()
     assert len(found) == 8

@@ -1,20 +1,27 @@
 """Benchmark decontamination with spaced seeds.
 
 Words are runs of ASCII letters and digits or other non-ASCII bytes, lower-cased.
-Fixed masks of 12 places keep 8 of them; a window's hash over the kept places
-ignores the words at the others, so it survives substitutions there.  The
-hashes of the test items are joined with those of the documents inside the tasks
-that hold the texts; around each hit the overlap is verified on its diagonal: the best
-run of words with +1 for an equal word and -3 for a substituted one.
+Fixed masks keep some places of a window and ignore the others; a window's hash over the kept places
+survives substitutions at the ignored ones.  The hashes of the test items are joined with those
+of the documents inside the tasks that hold the texts; around each hit the overlap is verified on its
+diagonal, where item and document stand word by word.
 
-An overlap counts with at least ``least`` equal words, or all words of a shorter
-item; items of fewer than 8 words are not searched.
+An overlap counts where
+
+* the whole item stands on the diagonal but for the substitutions that its length allows: none below 6
+  words, one below 12, else two; or
+* a stretch of it does, with at least ``least`` equal words and three of them around each substituted one (the
+  best run with +1 for an equal word and -3 for another).
+
+The masks are chosen by the item's length, so that every placement of the allowed substitutions leaves a hit; a
+stretch of ``least`` equal words with up to two substitutions is always hit, too.  Items of fewer than ``shortest`` words (3) name no passage and are not searched.
 
 The items are dealt into blocks of about ``block_words`` words; only one block's index
-is broadcast at a time, and every block meets all documents.  Nothing is shuffled.
+is broadcast at a time, and every block meets all documents.  Nothing is shuffled but the items.
 
-Defined results: a null or empty text overlaps with nothing; repeated rows are searched
-one by one; repeated items are reported under each id; empty tables give empty results.
+Defined results: a null or empty text overlaps with nothing; repeated rows are searched one by one; repeated items are
+reported under each id, once for each text; empty tables give empty results; where ``key`` and ``item``
+have one name, the item's column is called ``benchmark_<name>``.
 """
 
 from __future__ import annotations
@@ -28,11 +35,26 @@ from pyspark.sql import functions as F
 
 from tripleloom.llm.words import LETTERS, Words, mixed, slices, weights
 
-#: The places that each mask keeps.  Any two substitutions in a full window leave a seed nearby.
-MASKS = ("111101100110", "110110011101", "101011011101", "111001010111")
-SPAN = 12
-SHORTEST = 8
+#: First length of the items that use them, and the places that each mask keeps.  Found by search; each
+#: group leaves a hit for all placements of the substitutions that its lengths allow (a test goes through them).
+MASKS = (
+    (12, ("11101011", "101100111", "111111")),
+    (8, ("111111", "1111011", "1101111")),
+    (6, ("1111", "11011")),
+)
 FILTER_BITS = 22
+#: Words of diagonals that are compared at once.
+DIAGONALS = 1_000_000
+
+
+def allowed(words: int) -> int:
+    """Substitutions that a whole item may have."""
+    return min(2, words // 6)
+
+
+def masks_of(words: int) -> tuple[str, ...]:
+    """Masks for items of this length; below 6 words all places of the whole item."""
+    return next((masks for first, masks in MASKS if words >= first), ("1" * words,))
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -49,19 +71,20 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 class Index:
     """Seeds of a block of items, as sorted arrays."""
 
-    def __init__(self, ids: list, texts: list[str], least: int):
+    def __init__(self, ids: list, texts: list[str], least: int, shortest: int = 3):
         found = Words(pa.array(texts, pa.large_string()), LETTERS)
         self.ids, self.least = ids, least
         self.words, self.first = found.hashes, found.first
         size = np.diff(found.first)
-        self.masks = [*MASKS, *["1" * n for n in range(SHORTEST, SPAN) if (size == n).any()]]
+        lengths = [n for n in np.unique(size).tolist() if n >= shortest]
         owner = np.repeat(np.arange(len(ids)), size)
+        self.masks = sorted({mask for n in lengths for mask in masks_of(n)})
         self.tables = []
         for mask in self.masks:
+            mine = np.isin(size, [n for n in lengths if mask in masks_of(n)])
             hashes = seed_hashes(found.hashes, mask)
             at = np.flatnonzero(owner[: len(hashes)] == owner[len(mask) - 1 :])
-            if len(mask) < SPAN:
-                at = at[size[owner[at]] == len(mask)]
+            at = at[mine[owner[at]]]
             hashes = hashes[at]
             order = np.argsort(hashes, kind="stable")
             flags = np.zeros(1 << FILTER_BITS, bool)
@@ -89,6 +112,7 @@ class Index:
             items.append(owner[hit])
             shifts.append(at - first[row] - place[hit])
         seen = np.unique(np.stack([np.concatenate(x) for x in (rows, items, shifts)]), axis=1) if rows else np.zeros((3, 0), int)
+        seen = seen[:, self.possible(words, first, *seen)]
         best: dict[tuple, tuple] = {}
         for row, item, shift in seen.T.tolist():
             found = self.verified(words[first[row] : first[row + 1]], item, shift)
@@ -96,27 +120,50 @@ class Index:
                 best[row, item] = found
         return [(*key, *value) for key, value in sorted(best.items())]
 
+    def possible(self, words: np.ndarray, first: np.ndarray, row: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Whether a diagonal has enough equal words at all, counted for all of them at once."""
+        size = np.diff(self.first)[item]
+        low, high = np.maximum(0, -shift), np.minimum(size, first[row + 1] - first[row] - shift)
+        n = np.maximum(high - low, 0)
+        out = np.zeros(len(row), bool)
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DIAGONALS, "right")))
+            part = np.repeat(np.arange(at, to), n[at:to])
+            place = np.arange(len(part)) - np.repeat(np.cumsum(n[at:to]) - n[at:to], n[at:to]) + low[part]
+            same = words[first[row[part]] + shift[part] + place] == self.words[self.first[item[part]] + place]
+            equal = np.bincount(part[same] - at, minlength=to - at)
+            tolerated = np.minimum(2, size[at:to] // 6)
+            out[at:to] = equal >= np.minimum(self.least, size[at:to] - tolerated)
+            at = to
+        return out
+
     def verified(self, row: np.ndarray, item: int, shift: int) -> tuple[int, int, int, int] | None:
         words = self.words[self.first[item] : self.first[item + 1]]
         low, high = max(0, -shift), min(len(words), len(row) - shift)
         same = row[low + shift : high + shift] == words[low:high]
-        gain = np.r_[0, np.cumsum(np.where(same, 1, -3))]
-        floor = np.minimum.accumulate(gain)
-        end = int(np.argmax(gain - floor))
-        start = int(np.argmin(gain[: end + 1]))
-        equal = int(same[start:end].sum())
-        if equal < min(self.least, len(words)):
-            return None
-        return low + start + shift, low + start, end - start, equal
+        if same.sum() >= len(words) - allowed(len(words)):
+            start, end = int(np.argmax(same)), len(same) - int(np.argmax(same[::-1]))
+        else:
+            gain = np.r_[0, np.cumsum(np.where(same, 1, -3))]
+            floor = np.minimum.accumulate(gain)
+            end = int(np.argmax(gain - floor))
+            start = int(np.argmin(gain[: end + 1]))
+            if same[start:end].sum() < self.least:
+                return None
+        return low + start + shift, low + start, end - start, int(same[start:end].sum())
 
 
 def benchmark_blocks(items: DataFrame, key: str, text: str, least: int, block_words: int) -> Iterator[Index]:
     """Indexes of blocks of items; one block at a time is on the driver."""
+    rows = items.select(key, text).distinct()
     words = F.size(F.split(F.coalesce(text, F.lit("")), " "))
-    total = items.agg(F.sum(words)).first()[0] or 0
+    total = rows.agg(F.sum(words)).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     for n in range(blocks):
-        block = items.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == n).select(key, text).orderBy(key, text).toArrow()
+        # By id and text, so neither repeated nor null ids fill a block.
+        block = rows.where(F.pmod(F.xxhash64(key, text), F.lit(blocks)) == n).orderBy(key, text).toArrow()
         if block.num_rows:
             yield Index(block.column(0).to_pylist(), [t or "" for t in block.column(1).to_pylist()], least)
 
@@ -125,11 +172,12 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """One row per document and item that overlap, with the place, length and equal words of the best overlap."""
     rows = docs.select(key, text)
     kinds = rows.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    out = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, doc_word long, item_word long, length long, equal_words long"
+    name = f"benchmark_{item}" if item.lower() == key.lower() else item
+    out = f"`{key}` {kinds[0]}, `{name}` {kinds[1]}, doc_word long, item_word long, length long, equal_words long"
     found = rows.limit(0).mapInArrow(lambda batches: iter(()), out)
     for index in benchmark_blocks(items, item, item_text, least, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        found = found.unionByName(rows.mapInArrow(_reporter(shared, key, item, items.schema[item].dataType), out))
+        found = found.unionByName(rows.mapInArrow(_reporter(shared, key, name), out))
     return found
 
 
@@ -146,7 +194,7 @@ def _search(shared, batch: pa.RecordBatch, text: int, flags: list) -> list[tuple
     return shared.value.overlaps(found.hashes, found.first, flags)
 
 
-def _reporter(shared, key: str, item: str, kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _reporter(shared, key: str, item: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         flags = index.open()

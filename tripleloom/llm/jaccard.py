@@ -382,7 +382,22 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with the smallest key of each component; only the keys that go are joined."""
-    found = similar_documents(docs, key, text, n, num, den)
-    gone = written(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_tl_gone")).distinct())
-    return docs.join(gone, F.col(key) == F.col("_tl_gone"), "left_anti")
+    """``docs`` with one row of each component; only the keys that go are joined.
+
+    It is the row of the smallest key; a null key is larger than any other.  Rows that share this key are
+    told apart by the hash of the text, and rows of one key and text by the hash of all columns.  Rows with an empty set
+    stay, whatever their key.
+    """
+    h = F.xxhash64(text)
+    rows = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), h.alias("h")).alias("_tl_key"), F.col(text).alias("text"))
+    found = written(similar_documents(rows, "_tl_key", "text", n, num, den))
+    named = found.select(F.col("_tl_key.key").alias("_tl_k"), F.col("_tl_key.h").alias("_tl_h"), F.expr("component_id <> _tl_key").alias("gone"), "n_shingles")
+    same = F.col(key).eqNullSafe(F.col("_tl_k")) & (h == F.col("_tl_h"))
+    rest = docs.join(named.where("gone").select("_tl_k", "_tl_h").distinct(), same, "left_anti")
+    left = named.where("n_shingles > 0 AND NOT gone")
+    repeated = written(left.groupBy("_tl_k", "_tl_h").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    if repeated.isEmpty():
+        return rest
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    several = rest.join(repeated, same, "left_semi").groupBy(F.col(key), h).agg(F.min_by(row, F.xxhash64(row)).alias("_tl_row"))
+    return rest.join(repeated, same, "left_anti").unionByName(several.select("_tl_row.*"))
