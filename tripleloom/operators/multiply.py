@@ -17,7 +17,6 @@ from tripleloom.matrix import Matrix
 from tripleloom.operators import bitmaps
 from tripleloom.operators.masked import masked_product
 from tripleloom.operators.reshape import mirrored
-from tripleloom.operators.scans import largest_group
 from tripleloom.operators.sketches import estimated_entries
 from tripleloom.operators.tiles import tiled_product
 from tripleloom.plans.sizing import BROADCAST_ROWS, broadcast_if_small
@@ -242,13 +241,14 @@ def planned_parts(
     if min(work.left_nnz, work.right_nnz) > broadcast_rows:
         return [split_join(left, right, work, upper, task_products)]
     if work.right_nnz <= work.left_nnz:
-        return streamed_join(left, "i", right, work.longest_right_row, work, upper, task_products)
-    return streamed_join(right, "j", left, work.longest_left_column, work, upper, task_products)
+        return streamed_join(left, "i", work.longest_left_row, right, work.longest_right_row, work, upper, task_products)
+    return streamed_join(right, "j", work.longest_right_column, left, work.longest_left_column, work, upper, task_products)
 
 
 def streamed_join(
     streamed: DataFrame,
     line: str,
+    longest_line: int,
     small: DataFrame,
     longest_match: int,
     work: Workload,
@@ -265,7 +265,7 @@ def streamed_join(
     usual = int(streamed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(usual, work.partitions(task_products))
     small = F.broadcast(small)
-    if largest_group(streamed, (line,)) * longest_match <= task_products:
+    if longest_line * longest_match <= task_products:
         return [joined(streamed.repartition(partitions, line), small, ["k"], upper)]
     allowed = task_products // max(longest_match, 1)
     long_lines = streamed.groupBy(line).count().where(F.col("count") > allowed).select(line)

@@ -32,6 +32,8 @@ class Workload:
     right_nnz: int
     longest_left_column: int
     longest_right_row: int
+    longest_left_row: int = 0
+    longest_right_column: int = 0
 
     def partitions(self, task_products: int = TASK_PRODUCTS) -> int:
         return max(1, min(MOST_PARTITIONS, -(-self.products // task_products)))
@@ -48,22 +50,32 @@ def key_counts(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def measure(left: DataFrame, right: DataFrame, task_products: int = TASK_PRODUCTS) -> Workload:
-    """Run the profiling job; one row comes back."""
-    lc = left.groupBy("k").agg(F.count(F.lit(1)).alias("lc"))
-    rc = right.groupBy("k").agg(F.count(F.lit(1)).alias("rc"))
+    """Run the profiling job: one row comes back, and each side is scanned once for all of its counts.
+
+    An entry counts for its inner key (axis 0) and for its own line (axis 1 on the left, 2 on the right).
+    """
+
+    def counted(side: DataFrame, line: str, axis: int, name: str) -> DataFrame:
+        places = F.array(F.struct(F.lit(0).alias("axis"), F.col("k").alias("at")), F.struct(F.lit(axis).alias("axis"), F.col(line).alias("at")))
+        return side.select(F.inline(places)).groupBy("axis", "at").agg(F.count(F.lit(1)).alias(name))
+
     # Counts are multiplied as DECIMAL: two BIGINT counts may overflow.
     work = F.col("lc").cast("decimal(19,0)") * F.col("rc").cast("decimal(19,0)")
+    of = lambda axis, name: F.when(F.col("axis") == axis, F.col(name))
     facts = {
         "products": F.sum("work"),
         "largest_key": F.max("work"),
         "inner_keys": F.count("work"),
         "hot_keys": F.count_if(F.col("work") > task_products),
-        "left_nnz": F.sum("lc"),
-        "right_nnz": F.sum("rc"),
-        "longest_left_column": F.max("lc"),
-        "longest_right_row": F.max("rc"),
+        "left_nnz": F.sum(of(0, "lc")),
+        "right_nnz": F.sum(of(0, "rc")),
+        "longest_left_column": F.max(of(0, "lc")),
+        "longest_right_row": F.max(of(0, "rc")),
+        "longest_left_row": F.max(of(1, "lc")),
+        "longest_right_column": F.max(of(2, "rc")),
     }
-    by_key = lc.join(rc, "k", "full_outer").select("lc", "rc", work.alias("work"))
+    both = counted(left, "i", 1, "lc").join(counted(right, "j", 2, "rc"), ["axis", "at"], "full_outer")
+    by_key = both.select("axis", "lc", "rc", work.alias("work"))
     row = by_key.agg(*[column.alias(name) for name, column in facts.items()]).first()
     return Workload(**{name: int(row[name] or 0) for name in facts})
 

@@ -27,15 +27,18 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
     A run is named by its file's place below ``path``, so equal names in two folders stay apart.
     """
-    meta = F.col("_metadata")
     at = F.struct(
-        meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line")
+        F.col("_metadata")["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line")
     )
+    return spark.read.text(path).select(run_of(path).alias("run"), at.alias("at"), "value")
+
+
+def run_of(path: str) -> Column:
+    """A file's place below ``path``, without its ending."""
+    meta = F.col("_metadata")
     folder = re.sub(r"^[a-z]+:/*", "/", path).rstrip("/") + "/"
     below = F.when(F.contains(meta["file_path"], F.lit(folder)), F.substring_index(meta["file_path"], folder, -1))
-    return spark.read.text(path).select(
-        F.regexp_replace(F.coalesce(below, meta["file_name"]), r"\.[^./]*$", "").alias("run"), at.alias("at"), "value"
-    )
+    return F.regexp_replace(F.coalesce(below, meta["file_name"]), r"\.[^./]*$", "")
 
 
 def _number(group: Column) -> Column:
