@@ -77,8 +77,16 @@ def fit_dispatcher(timings: DataFrame, iterations: int = 200) -> Formula:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    names = ["lfp", "ln", "lmr", "lsk"]
-    data = timings.where("hash_ms IS NOT NULL AND merge3_ms IS NOT NULL").select(
+    points = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_weighted(timings))
+    model = LogisticRegression(weightCol="weight", regParam=0.0, maxIter=iterations).fit(points)
+    return Formula(*(-float(w) for w in model.coefficients), -float(model.intercept))
+
+
+FEATURES = ["lfp", "ln", "lmr", "lsk"]
+
+
+def _weighted(timings: DataFrame) -> DataFrame:
+    return timings.where("hash_ms IS NOT NULL AND merge3_ms IS NOT NULL").select(
         log10_floor1(F.col("flop")).alias("lfp"),
         F.log10(F.col("n").cast("double")).alias("ln"),
         log10_floor1(F.col("maxrow")).alias("lmr"),
@@ -86,6 +94,21 @@ def fit_dispatcher(timings: DataFrame, iterations: int = 200) -> Formula:
         (F.col("hash_ms") < F.col("merge3_ms")).cast("double").alias("label"),
         F.greatest(F.abs(F.col("hash_ms") - F.col("merge3_ms")), F.lit(1e-6)).alias("weight"),
     )
-    points = VectorAssembler(inputCols=names, outputCol="features").transform(data)
-    model = LogisticRegression(weightCol="weight", regParam=0.0, maxIter=iterations).fit(points)
-    return Formula(*(-float(w) for w in model.coefficients), -float(model.intercept))
+
+
+def fit_gradient(timings: DataFrame, fit: Formula) -> DataFrame:
+    """One row: cases, and the slope of the weighted log-likelihood along each unit-deviation feature and the constant, per weight.
+
+    It is zero at the best fit, as the likelihood is concave.
+    """
+    data = _weighted(timings)
+    spread = data.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES], *[F.avg(c).alias(f"m_{c}") for c in FEATURES]).first()
+    score = F.lit(fit.constant)
+    for weight, c in zip((fit.products, fit.rows, fit.longest, fit.skew), FEATURES):
+        score = score + F.lit(weight) * F.col(c)
+    # The sign is turned: below 0 means hash, whose label is 1.
+    missing = (F.col("label") - 1 / (1 + F.exp(score))) * F.col("weight")
+    unit = [((F.col(c) - F.lit(spread[f"m_{c}"])) / F.lit(spread[f"s_{c}"] or 1.0)).alias(c) for c in FEATURES]
+    parts = data.select("weight", missing.alias("r"), *unit)
+    slopes = [(F.sum(F.col("r") * F.col(c)) / F.sum("weight")).alias(c) for c in FEATURES]
+    return parts.agg(F.count(F.lit(1)).alias("cases"), *slopes, (F.sum("r") / F.sum("weight")).alias("constant"))

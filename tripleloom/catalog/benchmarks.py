@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tripleloom.analytics import benchmarking as be
 from tripleloom.analytics import regression as rg
 from tripleloom.catalog import Query
-from tripleloom.catalog.statistics import TIMINGS, timings
+from tripleloom.catalog.statistics import TIMINGS, score_sql, timings
 from tripleloom.functions.scalar import class_rank, density_class
 from tripleloom.operators import scans as sc
 from tripleloom.plans import dispatch
@@ -136,6 +136,19 @@ def _fit_quality(t):
     )
 
 
+def _fit_gradient(t):
+    """The fit by its slopes, which are zero at the best one, and by its accuracy beside always taking the more frequent winner."""
+    data = written(timings(t))
+    fit = rg.fit_dispatcher(data)
+    slopes = F.greatest(*[F.abs(c) for c in [*rg.FEATURES, "constant"]])
+    return rg.fit_gradient(data, fit).select("cases", (slopes < 1e-3).alias("stationary"))
+
+
+def _forced(t):
+    force = F.element_at(F.array(F.lit(None), F.lit(""), F.lit("Hash"), F.lit("merge")), (F.col("matrix") % 4 + 1).cast("int"))
+    return dispatch.executed(timings(t), force).select("matrix", "choice", "ran", "paid_ms")
+
+
 def _least_squares(t):
     """Price by quantity and tax, the tax brought to a scale of 1e-8."""
     lines = t.read("lineitem")
@@ -259,6 +272,16 @@ ON a.l_linestatus = b.l_linestatus AND a.l_returnflag = b.l_returnflag""",
     "medians_of_few_values": Query(
         _quantity_medians, "SELECT l_returnflag, median(l_quantity) AS median FROM lineitem GROUP BY 1"
     ),
+    "dispatcher_gradient": Query(
+        _fit_gradient, f"SELECT count(*) AS cases, true AS stationary FROM ({TIMINGS}) WHERE hash_ms IS NOT NULL AND merge3_ms IS NOT NULL"
+    ),
+    "dispatch_forced": Query(
+        _forced,
+        f"""SELECT matrix, choice, CASE WHEN choice = 'hash' AND hash_ms IS NULL THEN 'merge3 (fallback)' ELSE choice END AS ran,
+  CASE WHEN choice = 'hash' THEN coalesce(hash_ms, merge3_ms) ELSE merge3_ms END AS paid_ms
+FROM (SELECT *, CASE matrix % 4 WHEN 2 THEN 'hash' WHEN 3 THEN 'merge3'
+    ELSE CASE WHEN {score_sql(dispatch.CURRENT)} < 0 THEN 'hash' ELSE 'merge3' END END AS choice FROM ({TIMINGS}))""",
+    ),
     "dispatcher_fit": Query(
         _fit_quality,
         f"""SELECT count(*) AS cases, true AS no_worse_than_fixed, true AS no_better_than_best

@@ -66,13 +66,28 @@ def threshold_choice(threshold: float = PRODUCT_THRESHOLD) -> Column:
     return F.when(F.col("flop") > threshold, F.lit(HASH)).otherwise(F.lit(MERGE))
 
 
+def forced(force: Column, otherwise: Column) -> Column:
+    """A text beginning with h means hash, any other merge3; null or empty leaves the choice as it is."""
+    named = F.when(F.substring(force, 1, 1).isin("h", "H"), F.lit(HASH)).otherwise(F.lit(MERGE))
+    return F.when(F.coalesce(force, F.lit("")) == "", otherwise).otherwise(named)
+
+
 def choose(m: Matrix, force: str | None = None) -> str:
-    """``hash`` or ``merge3`` for a matrix; ``force`` beginning with h means hash, any other text merge3."""
+    """``hash`` or ``merge3`` for a matrix, or what ``force`` names."""
     if force:
         return HASH if force[0] in "hH" else MERGE
     return features(m).select(choice()).first()[0]
 
 
+def executed(timings: DataFrame, force: Column, formula: Formula = CURRENT) -> DataFrame:
+    """Adds ``choice``, ``ran`` and ``paid_ms``: a hash run that failed falls back to merge, and is named so."""
+    picked = timings.withColumn("choice", forced(force, choice(formula)))
+    failed = (F.col("choice") == HASH) & F.col("hash_ms").isNull()
+    ran = F.when(failed, F.lit(f"{MERGE} (fallback)")).otherwise(F.col("choice"))
+    paid = F.when((F.col("choice") == HASH) & ~failed, F.col("hash_ms")).otherwise(F.col("merge3_ms"))
+    return picked.withColumn("ran", ran).withColumn("paid_ms", paid)
+
+
 def method_for(m: Matrix, force: str | None = None) -> str:
     """The product method that matches the choice: hash aggregation behind the measured plan, or merge joins."""
     return "auto" if choose(m, force) == HASH else "merge"
