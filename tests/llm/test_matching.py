@@ -173,7 +173,19 @@ def brute_lines(rows, shortest=40, least=5):
     return out
 
 
-@pytest.mark.parametrize("bits, keys", [(1 << 27, 500_000), (1 << 14, 500_000), (1 << 20, 0)])
+def test_filters_follow_the_lines(docs, monkeypatch):
+    """Filters of many slices suspect what repeats and few others, whatever the number of lines."""
+    monkeypatch.setattr(line_dedup, "WIDTH", 1 << 12)
+    for n in (500, 8_000):
+        rows = docs([(k, "\n".join(f"a line of its own with number {k} and {m} in it" for m in range(20)) + "\n" + "the same line in each of the documents " * 2) for k in range(n // 20)])
+        filters = line_dedup.repeat_filter(rows, "text", 40)
+        assert len(filters) == (1 << (12 * n).bit_length()) // 4096 or len(filters) == (1 << (12 * (n + n // 20)).bit_length()) // 4096
+        _, suspects = line_dedup.repeated_lines(rows)
+        assert n // 20 <= suspects.count() <= n // 20 + 0.05 * n
+    assert line_dedup.repeat_filter(rows, "text", 40, most=1 << 10) is None
+
+
+@pytest.mark.parametrize("bits, keys", [(None, 500_000), (1 << 27, 500_000), (1 << 14, 500_000), (1 << 20, 0), (1 << 40, 0)])
 def test_lines_equal_brute_force(docs, bits, keys):
     draw = random.Random(8)
     shared = ["Line %d " % n + "é" * draw.randrange(20, 60) + " END" for n in range(12)]

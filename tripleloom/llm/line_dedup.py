@@ -1,17 +1,17 @@
 """Repeated lines found with two Bloom filters and confirmed exactly.
 
-1. Each task sends the distinct 64-bit hashes of its lines' keys (at most two per batch
-   and key) to the hash's slice.  A slice keeps two Bloom filters: seen once, and
-   seen again.
-2. The seen-again filters, ``bits`` in all, are broadcast.  Only keys that they
+1. The distinct 64-bit hashes of the lines' keys (at most two per batch and key) are written and
+   counted; the filters get twelve bits for each.  They are cut into slices of at most ``WIDTH`` bits by the
+   hash, and each hash goes to its slice, which keeps two Bloom filters: seen once, and seen again.
+2. The seen-again filters are broadcast, up to ``MOST_BITS`` in all.  Only keys that they
    suspect are shuffled, as 128-bit digests with the document's id; counts and the
    largest id are combined before the shuffle, so a line in a third of all
-   documents is one row per task.
+   documents is one row per task.  Beyond that bound nothing is broadcast: every key's digest is shuffled.
 3. Keys in at least ``least`` documents are dropped everywhere but in the document with
    the largest id.  Up to ``broadcast_keys`` of them are broadcast after a count;
    beyond that the suspects are joined with them and each document gets its own list.
 
-A fuller filter only suspects more keys; the result does not depend on ``bits``.
+The result does not depend on the number of bits: a fuller filter only suspects more keys.
 Digests are taken for the keys: two of 10^12 keys share one with probability 10^-15.
 
 Defined results: a null or empty text is one empty line; each row is one
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from tripleloom.llm.words import SPACE, mixed, slices
 from tripleloom.session import written
 
-BITS = 1 << 27
-SLICES = 128
+#: Bits of one slice, bits for each hash, and bits of all filters that are broadcast (256 MB).
+WIDTH = 1 << 20
+PER_HASH = 12
+MOST_BITS = 1 << 31
 LOW = (1 << 64) - 1
 
 
@@ -56,9 +58,7 @@ def _hashes(column: int, shortest: int):
             for batch in slices(whole, column):
                 found = [d & LOW for text in _binary(batch, column) for d in {d for _, d in line_keys(text, shortest)}]
                 values, n = np.unique(np.array(found, np.uint64), return_counts=True)
-                values = np.repeat(values, np.minimum(n, 2)).view(np.int64)
-                part = (values.view(np.uint64) >> np.uint64(40)) % np.uint64(SLICES)
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(values)], ["slice", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(values, np.minimum(n, 2)).view(np.int64))], ["h"])
 
     return run
 
@@ -69,39 +69,61 @@ def places(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ((hashes % size).astype(np.int64), (mixed(hashes) % size).astype(np.int64))
 
 
+def slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    return ((hashes >> np.uint64(24)) % np.uint64(slices)).astype(np.int64)
+
+
 def _filters(width: int):
+    """Rows sorted by slice; a slice's filters are handed on when its last row has come."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        again: dict[int, np.ndarray] = {}
+        seen, twice, at = np.zeros(width, bool), np.zeros(width, bool), None
         for batch in batches:
             part, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             for s in np.unique(part).tolist():
+                if s != at:
+                    if at is not None:
+                        yield _packed(at, twice)
+                    seen[:], twice[:], at = False, False, s
                 mine, n = np.unique(hashes[part == s], return_counts=True)
-                seen, twice = once.setdefault(s, np.zeros(width, bool)), again.setdefault(s, np.zeros(width, bool))
                 a, b = places(mine, width)
                 repeated = (n > 1) | (seen[a] & seen[b])
                 twice[a[repeated]] = twice[b[repeated]] = True
                 seen[a] = seen[b] = True
-        for s, bits in again.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(bits).tobytes()])], ["slice", "again"])
+        if at is not None:
+            yield _packed(at, twice)
 
     return run
 
 
-def repeat_filter(docs: DataFrame, text: str, shortest: int, bits: int = BITS) -> np.ndarray:
-    """Packed seen-again filters, one row of bytes per slice: ``bits`` in all, whatever the input."""
-    width = bits // SLICES
-    rows = docs.select(text).mapInArrow(_hashes(0, shortest), "slice int, h long")
-    found = rows.repartition(SLICES, "slice").mapInArrow(_filters(width), "slice int, again binary")
-    out = np.zeros((SLICES, width // 8), np.uint8)
+def _packed(at: int, bits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits).tobytes()])], ["slice", "again"])
+
+
+def repeat_filter(docs: DataFrame, text: str, shortest: int, bits: int | None = None, most: int = MOST_BITS) -> np.ndarray | None:
+    """Packed seen-again filters, one row of bytes per slice; None beyond ``most`` bits.
+
+    ``bits`` follows the counted hashes unless it is given.
+    """
+    rows = written(docs.select(text).mapInArrow(_hashes(0, shortest), "h long"))
+    bits = bits or 1 << max(12, (PER_HASH * rows.count() - 1).bit_length())
+    if bits > most:
+        return None
+    width = min(WIDTH, bits)
+    slices = bits // width
+    dealt = rows.select(F.pmod(F.shiftrightunsigned("h", 24), F.lit(slices)).cast("int").alias("slice"), "h")
+    found = dealt.repartition("slice").sortWithinPartitions("slice").mapInArrow(_filters(width), "slice int, again binary")
+    out = np.zeros((slices, width // 8), np.uint8)
     for row in found.toLocalIterator():
-        out[row["slice"]] |= np.frombuffer(row["again"], np.uint8)
+        out[row["slice"]] = np.frombuffer(row["again"], np.uint8)
     return out
 
 
-def _suspects(shared, key: str, shortest: int, bits: int):
+def _suspects(shared, key: str, shortest: int):
+    """Digests of the keys that the filters suspect; of all keys where there are none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, again = bits // SLICES, shared.value
+        again = shared.value if shared is not None else None
         for whole in batches:
             for batch in slices(whole, 1):
                 owner, low, high = [], [], []
@@ -111,10 +133,11 @@ def _suspects(shared, key: str, shortest: int, bits: int):
                         low.append(d & LOW)
                         high.append(d >> 64)
                 hashes = np.array(low, np.uint64)
-                part = ((hashes >> np.uint64(40)) % np.uint64(SLICES)).astype(np.int64)
                 hit = np.ones(len(hashes), bool)
-                for at in places(hashes, width):
-                    hit &= (again[part, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                if again is not None:
+                    part = slice_of(hashes, len(again))
+                    for at in places(hashes, again.shape[1] * 8):
+                        hit &= (again[part, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(np.array(owner, np.int64)[hit])),
@@ -127,21 +150,22 @@ def _suspects(shared, key: str, shortest: int, bits: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = 40, least: int = 5, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = 40, least: int = 5, bits: int | None = None, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
     """The drop list ``(low, high, keeper)``, written once, and the suspects ``(key, low, high)`` behind it."""
     rows = docs.select(key, text)
-    shared = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, text, shortest, bits))
+    filters = repeat_filter(docs, text, shortest, bits, most_bits)
+    shared = None if filters is None else docs.sparkSession.sparkContext.broadcast(filters)
     kind = rows.schema[key].dataType.simpleString()
-    suspects = rows.mapInArrow(_suspects(shared, key, shortest, bits), f"`{key}` {kind}, low long, high long")
+    suspects = rows.mapInArrow(_suspects(shared, key, shortest), f"`{key}` {kind}, low long, high long")
     counted = suspects.groupBy("low", "high").agg(F.count("*").alias("n"), F.max(key).alias("keeper"))
     return written(counted.where(F.col("n") >= least).select("low", "high", "keeper")), suspects
 
 
 def deduplicated(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = 40, least: int = 5, bits: int = BITS, broadcast_keys: int = 500_000
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = 40, least: int = 5, bits: int | None = None, broadcast_keys: int = 500_000, most_bits: int = MOST_BITS
 ) -> DataFrame:
     """``docs`` with the text's repeated lines taken out, and ``n_lines`` (before) and ``n_dropped``."""
-    drops, suspects = repeated_lines(docs, key, text, shortest, least, bits)
+    drops, suspects = repeated_lines(docs, key, text, shortest, least, bits, most_bits)
     plain = docs.drop("n_lines", "n_dropped")
     out = plain.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
     columns = plain.columns.index(key), plain.columns.index(text)
