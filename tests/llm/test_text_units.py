@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -33,6 +34,27 @@ def test_token_counts_equal_library(spark, docs):
     assert [found[n]["over_limit"] for n in range(len(texts))] == [w > 50 for w in wanted]
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "ABab01+/", "日本語の漢字", "etaoin"])
+def test_long_runs_equal_library(letters):
+    draw = random.Random(6)
+    library, m = Tokenizer.from_file(BYTE_BPE), tokens.merges(BYTE_BPE)
+    for size in (2, 3, 50, 1500, 6000):
+        text = "".join(draw.choice(letters) for _ in range(size))
+        parts = [p.encode() for p in tokens._pattern().findall(text)]
+        wanted = len(library.encode(text, add_special_tokens=False).ids)
+        assert sum(tokens.long_length(p, m) for p in parts) == wanted == tokens.count_tokens([text], BYTE_BPE)[0]
+
+
+def test_a_megabyte_without_a_space_takes_seconds():
+    draw = random.Random(7)
+    text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    start = time.perf_counter()
+    found = tokens.count_tokens([text], BYTE_BPE)[0]
+    taken = time.perf_counter() - start
+    assert found == len(Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids)
+    assert taken < 60
+
+
 def test_token_counts_awkward(awkward, nothing):
     rows = tokens.token_counts(awkward, BYTE_BPE).collect()
     assert len(rows) == 8

@@ -2,7 +2,9 @@
 
 Distinct pre-tokens of a batch are held as ragged numpy arrays.  In each round
 every sequence finds its lowest-rank pair, and all its places are merged at once;
-the symbols left at the end are counted.  No shuffle: each text is counted where
+the symbols left at the end are counted.  A pre-token of more than ``LONG`` bytes, a run
+without a space, keeps its places by rank instead, so that a round looks at those it merges and their
+neighbours alone.  No shuffle: each text is counted where
 it lies, and a task keeps a bounded cache of pre-token lengths.
 
 Defined results: a null or empty text has no tokens; the special tokens of the
@@ -12,6 +14,7 @@ repeated rows are counted one by one; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -28,6 +31,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KNOWN = 400_000
 #: Longer pre-tokens are not kept in the cache.
 LONGEST = 64
+#: Bytes from which a pre-token's places are kept by rank.
+LONG = 1_000
 
 
 class Merges:
@@ -67,8 +72,62 @@ def merges(path: str) -> Merges:
     return Merges(path)
 
 
+def long_length(piece: bytes, m: Merges) -> int:
+    """How many symbols are left of one long piece: the places of the lowest rank are merged, then their new pairs placed."""
+    n, none = len(piece), len(m.keys)
+    symbol = m.bytes[np.frombuffer(piece, np.uint8)]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    alive = np.ones(n, bool)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def place(at: np.ndarray) -> None:
+        at = at[after[at] < n]
+        rank = m.rank(symbol[at], symbol[after[at]])
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        edges = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1], True]) if len(rank) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            r = int(rank[a])
+            if r == none:
+                break
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(ranks, r)
+            waiting[r].append(at[a:b])
+
+    place(np.arange(n - 1))
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(waiting.pop(r)))
+        at = at[alive[at]]
+        at = at[after[at] < n]
+        at = at[m.rank(symbol[at], symbol[after[at]]) == r]
+        if not len(at):
+            continue
+        # Hits that overlap (a run of one symbol) merge from the left: every other one.
+        fresh = np.r_[True, after[at[:-1]] != at[1:]]
+        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
+        right = after[at]
+        symbol[at] = m.merged[r]
+        alive[right] = False
+        beyond = after[right]
+        after[at] = beyond
+        inside = beyond < n
+        before[beyond[inside]] = at[inside]
+        left = before[at]
+        place(np.unique(np.concatenate([left[left >= 0], at])))
+    return int(alive.sum())
+
+
 def merged_lengths(pieces: list[bytes], m: Merges) -> np.ndarray:
     """How many symbols are left of each piece."""
+    if any(len(p) > LONG for p in pieces):
+        short = [n for n, p in enumerate(pieces) if len(p) <= LONG]
+        out = np.array([long_length(p, m) if len(p) > LONG else 0 for p in pieces], np.int64)
+        out[short] = merged_lengths([pieces[n] for n in short], m)
+        return out
     size = np.array([len(p) for p in pieces], np.int64)
     row = np.repeat(np.arange(len(pieces)), size)
     symbol = m.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
