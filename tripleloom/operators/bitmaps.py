@@ -68,12 +68,16 @@ def merged_bitmaps(a: Matrix, b: Matrix, group: dict[str, Column] | None = None,
     if work["bitmaps"] <= BROADCAST_BITMAPS:
         # Narrow rows are sorted once; the bitmaps then come beside them in order, and are merged as they pass.
         one = not group and b.cols <= BLOCK
-        needed = entries.withColumn("block", F.lit(0).cast("long")) if one else entries.join(F.broadcast(directory), "k")
-        needed = needed.repartition("i").sortWithinPartitions("i", *group, "block")
+        order = ["i"] if one else ["i", *group, "block"]
+        needed = entries if one else entries.join(F.broadcast(directory), "k")
+        needed = needed.repartition("i").sortWithinPartitions(*order)
         # Always true; without it the optimizer takes the sort away and sorts the bitmaps themselves.
         needed = needed.where(F.spark_partition_id() >= 0)
-        bitmaps = F.broadcast(bitmaps)
-        return needed.join(bitmaps, keys).groupBy("i", *group, "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+        if one:
+            # A constant block among the keys would bring the sort of the bitmaps back.
+            merged = needed.join(F.broadcast(bitmaps.drop("block")), "k").groupBy("i").agg(F.bitmap_or_agg("bits").alias("bits"))
+            return merged.select("i", F.lit(0).cast("long").alias("block"), "bits")
+        return needed.join(F.broadcast(bitmaps), keys).groupBy(*order).agg(F.bitmap_or_agg("bits").alias("bits"))
     # Merged per task first, then once more by row and block.
     return entries.join(bitmaps, "k").groupBy("i", *group, "block").agg(F.bitmap_or_agg("bits").alias("bits"))
 
