@@ -217,6 +217,67 @@ def test_licences_awkward(awkward, nothing, licence_model):
     assert licences.train_licences(nothing).families == licence_model.families
 
 
+def brute_licences(text, model, confirm=0.7):
+    """Single lines by plain Python from the model's numbers."""
+    out = set()
+    for n, line in enumerate((text or "").split("\n")):
+        words = [w[:-1] if w.endswith(".") else w for w in re.sub(licences.BREAK, " ", line.lower() + " ").split(" ")]
+        words = [w for w in words if w]
+        runs = lambda w, k: [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)]
+        have = {g for g in runs(words, 2) + runs(words, 3) if g in model.grams}
+        if not have:
+            continue
+        score = [b + sum(model.weights[model.grams.index(g)][k] for g in have) for k, b in enumerate(model.intercepts)]
+        power = [math.exp(v - max(score)) for v in score]
+        best = max(power) / sum(power)
+        family = model.families[power.index(max(power))]
+        if family == licences.UNKNOWN or best <= model.threshold:
+            continue
+        shapes = [re.sub(licences.BREAK, " ", t.lower() + " ").replace(". ", " ").split() for f, t in licences.TEMPLATES if f == family]
+        shapes = [set(runs(w, 3)) if len(w) > 2 else set(w) for w in shapes]
+        own = set(runs(words, 3)) if len(words) > 2 else set(words)
+        share = max(len(s & own) / len(s) for s in shapes)
+        out.add((n, family, round(best, 6), round(share, 6), share >= confirm))
+    return out
+
+
+def test_licence_scan_equals_plain_python(docs, licence_model):
+    """Whole notices, cut ones and words of several notices mixed, in lines apart from each other."""
+    draw = random.Random(5)
+    texts = [t for _, t in licences.TEMPLATES]
+    pool = [w for t in texts for w in t.split()] + "some other words of a report".split()
+    lines = []
+    for _ in range(200):
+        words = draw.choice(texts).split()
+        words = words[draw.randrange(3) : len(words) - draw.randrange(4)]
+        lines.append(" ".join(words + [draw.choice(pool) for _ in range(draw.randrange(6))]))
+        lines.append(" ".join(draw.choice(pool) for _ in range(draw.randrange(1, 12))))
+    rows = [(i, "\n\n".join(lines[i * 10 : i * 10 + 10])) for i in range(40)]
+    found = defaultdict(set)
+    for r in licences.licence_scan(docs(rows), licence_model).collect():
+        found[r["doc_id"]].add((r["paragraph"], r["family"], round(r["probability"], 6), round(r["similarity"], 6), r["confirmed"]))
+    wanted = {i: brute_licences(t, licence_model) for i, t in rows}
+    assert {i: w for i, w in wanted.items() if w} == dict(found) and sum(map(len, found.values())) > 100
+
+
+def test_licence_threshold_follows_the_table(docs):
+    """It moves with paragraphs that resemble notices; copies of one line change nothing; no text of the fit takes part."""
+    plain = [(i, f"report {i} of the water of lake {i * 7}") for i in range(60)]
+    near = [(100 + i, f"the general public {i} met at redistribution and lake {i}") for i in range(200)]
+    fit = lambda rows: licences.train_licences(docs(rows), sample=40).threshold
+    low, high = fit(plain), fit(plain + near)
+    assert low == 0.0 and 0.0 < high < 0.9
+    assert fit(plain + near + [(1000 + i, near[0][1]) for i in range(500)]) == high
+
+
+def test_licences_repeated_and_long(docs, licence_model):
+    """A notice is reported for each row and each line that has it, also at the end of a very long line."""
+    notice = "Released under the MIT License."
+    rows = [(1, notice), (1, notice), (2, notice + "\n\n" + notice), (3, "lake water report " * 60_000 + notice)]
+    found = licences.licence_scan(docs(rows), licence_model).where("confirmed").collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in found) == [(1, 0, "mit"), (1, 0, "mit"), (2, 0, "mit"), (2, 2, "mit"), (3, 0, "mit")]
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 
 

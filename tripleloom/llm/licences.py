@@ -5,15 +5,15 @@ around a line end: a notice may be wrapped over lines up to the next blank one.
 sparse features are the word bigrams and trigrams that occur in the templates; a
 multinomial logistic regression with an L1 penalty gives the family, with
 ``unknown`` as one class.  The unknown class is calibrated: a prediction counts
-when its probability exceeds that of every family on held-out corpus paragraphs
-without licence wording.  A template comparison then confirms the family: the share of a
+when its probability exceeds a threshold counted over all paragraphs of the table without
+licence wording whose texts the fit has not seen.  A template comparison then confirms the family: the share of a
 template's word trigrams that the paragraph holds.
 
 A paragraph without any word of a feature has only the intercepts, which say unknown,
 so it needs no scoring.  The scan is a projection of the documents; nothing is shuffled.
 
-Training rows: the templates with their parts, and paragraphs of at most
-``sample`` documents (those with the smallest hashes) as unknown.
+Training rows: the templates with their parts, and distinct paragraphs of at most
+``sample`` distinct texts (those with the smallest hashes) as unknown.
 
 Defined results: a null or empty text has no paragraphs; repeated rows are scanned
 one by one; an empty table gives an empty table; other columns are not read.
@@ -21,7 +21,8 @@ one by one; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.llm.quality import bound
+from tripleloom.session import written
 
 UNKNOWN = "unknown"
 #: Punctuation and white space that end a word, all but points, plus signs and line feeds.
@@ -110,25 +112,36 @@ def template_table(spark, templates=TEMPLATES) -> DataFrame:
     return rows.withColumn("words", words_of(F.col("text"))).drop("text")
 
 
-def train_licences(docs: DataFrame, text: str = "text", templates=TEMPLATES, sample: int = 400) -> LicenceModel:
-    """Fit and calibrate; at most ``sample`` documents give the unknown paragraphs."""
+def train_licences(
+    docs: DataFrame, text: str = "text", templates=TEMPLATES, sample: int = 400, paragraphs: int = 20_000, beyond: float = 0.001
+) -> LicenceModel:
+    """Fit on bounded rows, calibrate on the whole table.
+
+    ``sample`` distinct texts and ``paragraphs`` distinct paragraphs of them, those with the smallest
+    hashes, bound the unknown rows of the fit.  The threshold is of all other texts: the probability that at most
+    the share ``beyond`` of the distinct feature sets of paragraphs without licence wording exceed.
+    """
     known = template_table(docs.sparkSession, templates)
     grams = [r[0] for r in known.select(F.explode(features_of(F.col("words")))).distinct().sort("col").collect()]
     families = sorted({f for f, _ in templates}) + [UNKNOWN]
     # Each template whole, and with words before or after it as a longer line has them.
     parts = known.select("family", F.col("words"), F.explode(F.lit([1.0, 1.0, 1.0])).alias("weight"))
-    corpus = docs.select(F.col(text).alias("t")).orderBy(F.xxhash64("t")).limit(sample)
-    lines = corpus.select(F.explode(F.split("t", "\n")).alias("line")).select(words_of(F.col("line")).alias("words"))
-    trigrams = known.select(F.explode(grams_of(F.col("words"), 3)).alias("g")).distinct()
-    listed = sorted(r[0] for r in trigrams.collect())
-    other = lines.where((F.size("words") > 0) & ~F.exists(grams_of(F.col("words"), 3), lambda g: g.isin(listed)))
-    other = other.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(4)))
+    listed = sorted(r[0] for r in known.select(F.explode(grams_of(F.col("words"), 3)).alias("g")).distinct().collect())
+    worded = lambda words: F.exists(grams_of(words, 3), lambda g: g.isin(listed))
+    texts = docs.select(F.col(text).alias("t")).where("t is not null").withColumn("h", F.xxhash64("t"))
+    # The texts follow once the hashes, eight bytes each, say which they are; copies count once.
+    smallest = [r[0] for r in texts.select("h").distinct().orderBy("h").limit(sample).collect()]
+    last = smallest[-1] if smallest else 0
+    lines = texts.where(F.col("h") <= last).select(F.explode(F.split("t", "\n")).alias("line")).select(words_of(F.col("line")).alias("words"))
+    other = written(
+        lines.where((F.size("words") > 0) & ~worded(F.col("words"))).distinct().orderBy(F.xxhash64("words"), "words").limit(paragraphs)
+    )
     vector = lambda df: df.withColumn("x", array_to_vector(presence(F.col("words"), grams)))
     label = F.array_position(F.lit(families), F.col("family")).cast("double") - 1
     # Words of running text that templates hold too, so that single shared bigrams do not suffice.
     pieces = known.select(F.lit(UNKNOWN).alias("family"), F.explode(grams_of(F.col("words"), 2)).alias("g"))
     pieces = pieces.distinct().select("family", F.split("g", " ").alias("words"), F.lit(0.3).alias("weight"))
-    unknown = other.where("part > 0").select(F.lit(UNKNOWN).alias("family"), "words", F.lit(0.05).alias("weight"))
+    unknown = other.select(F.lit(UNKNOWN).alias("family"), "words", F.lit(0.05).alias("weight"))
     rows = vector(parts.unionByName(pieces).unionByName(unknown)).withColumn("label", label).coalesce(1)
     fit = LogisticRegression(
         featuresCol="x", labelCol="label", weightCol="weight", family="multinomial", regParam=0.001, elasticNetParam=0.5,
@@ -137,9 +150,31 @@ def train_licences(docs: DataFrame, text: str = "text", templates=TEMPLATES, sam
     weights = tuple(tuple(float(w) for w in column) for column in fit.coefficientMatrix.toArray().T)
     intercepts = tuple(float(b) for b in fit.interceptVector.toArray())
     model = LicenceModel(tuple(families), tuple(grams), weights, intercepts, 0.0)
-    held = other.where("part = 0").select(F.array_max(F.slice(probabilities(hits(F.col("words"), grams), model), 1, len(families) - 1)).alias("p"))
-    highest = held.agg(F.max("p")).first()[0] or 0.0
-    return LicenceModel(model.families, model.grams, weights, intercepts, max(0.5, min(0.9, highest)))
+    held = texts.where(F.col("h") > last).select(F.explode(F.split(plain(F.col("t")), "\n")).alias("line"))
+    return replace(model, threshold=calibrated(held.select(split_words(F.col("line")).alias("words")), model, worded, beyond))
+
+
+def calibrated(paragraphs: DataFrame, model: LicenceModel, worded: Callable[[Column], Column], beyond: float) -> float:
+    """The family probability that at most ``beyond`` of the distinct feature sets of paragraphs without licence wording exceed.
+
+    The sets are made distinct before they are scored, so that copies of one line do not decide;
+    the counts of probabilities, rounded down to 1/1000, are at most 1,001 rows.  0.0 without any such paragraph.
+    """
+    near = paragraphs.where(F.arrays_overlap("words", F.lit(telling_words(model))) & ~worded(F.col("words")))
+    sets = near.select(F.explode(F.filter(F.array(F.array_sort(hits(F.col("words"), model.grams))), lambda h: F.size(h) > 0)).alias("hits"))
+    highest = F.array_max(F.slice(probabilities(F.col("hits"), model), 1, len(model.families) - 1))
+    counts = sets.distinct().groupBy(F.floor(1000 * highest).cast("int").alias("level")).agg(F.count("*").alias("n")).sort(F.desc("level")).collect()
+    room, level = beyond * sum(r["n"] for r in counts), 0
+    for r in counts:
+        room -= r["n"]
+        if room < 0:
+            level = r["level"] + 1
+            break
+    return min(level, 1000) / 1000
+
+
+def telling_words(model: LicenceModel) -> list[str]:
+    return sorted({w for g in model.grams for w in g.split(" ")} - set(COMMON))
 
 
 def presence(words: Column, grams: list[str]) -> Column:
@@ -172,7 +207,7 @@ def licence_scan(docs: DataFrame, model: LicenceModel, key: str = "doc_id", text
     Notices over several lines are reported, confirmed ones only, at the line where they begin,
     and again at a following line where ``confirm`` of them lies from there on.
     """
-    telling = sorted({w for g in model.grams for w in g.split(" ")} - set(COMMON))
+    telling = telling_words(model)
     lines = docs.select(F.col(key), F.posexplode(F.split(plain(F.coalesce(text, F.lit(""))), "\n", -1)).alias("paragraph", "line"))
     words = lines.select(key, "paragraph", split_words(F.col("line")).alias("words")).where(F.arrays_overlap("words", F.lit(telling)))
     # Each step is unpacked from an array, so that the optimizer does not write it out again in the later filters.
@@ -198,7 +233,7 @@ def wrapped_notices(docs: DataFrame, model: LicenceModel, key: str, text: str, t
     trigrams there, fewer in each single line, and some that need the first line; it gives way to one with
     a larger share that holds the same trigrams, and to one of its family that lies within it or holds it.  The classifier sees the features of the template that are present.
     """
-    telling = sorted({w for g in model.grams for w in g.split(" ")} - set(COMMON))
+    telling = telling_words(model)
     known = template_table(docs.sparkSession, templates)
     shapes = known.select("family", compared(F.col("words")).alias("shape"), features_of(F.col("words")).alias("features"), F.size("words").alias("n"))
     shapes = shapes.collect()
