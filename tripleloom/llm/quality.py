@@ -180,10 +180,9 @@ def judged(features: DataFrame, fences: DataFrame, by: tuple[str, ...] = ("lang"
 def quality_rules(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), keep_text: bool = True) -> DataFrame:
     """``docs`` with the counts, ``base_failed`` and ``kept``.
 
-    The counts are written once, without the texts, for the sketch.  The verdict reads
-    them too, unless the texts are kept: then it counts again where they lie.
+    The counts are made once and written, beside the texts where these are kept; the sketch
+    reads the columns of counts alone.
     """
     counted = quality_features(docs, text)
-    features = written(counted.drop(text))
-    fences = quality_fences(quality_sketch(features, by), by)
-    return judged(counted if keep_text else features, fences, by)
+    features = written(counted if keep_text else counted.drop(text))
+    return judged(features, quality_fences(quality_sketch(features, by), by), by)
