@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import whole
 from tripleloom.matrix import Matrix
+from tripleloom.operators.grouped import grouped_positions_met
 from tripleloom.operators.reshape import csr_positions
 from tripleloom.operators.scans import largest_group
 from tripleloom.plans.sizing import BROADCAST_ROWS, broadcast_if_small, has_at_most
+from tripleloom.session import written
 
 #: Entries an array is meant to hold, and the narrowest segment.
 MOST, NARROWEST = 1_024, 512
@@ -98,11 +100,21 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def masked_product(structure: DataFrame, a: Matrix, b: Matrix) -> Matrix:
-    """``A·B`` at the positions of the structure; 0.0 where no product contributes."""
-    met = met_lines(structure, a.entries, b.entries, "v", inner_segment(a, b), has_at_most(b.entries, BROADCAST_ROWS))
+    """``A·B`` at the positions of the structure; 0.0 where no product contributes.
+
+    Where the columns are too many to broadcast, rows and columns meet in groups of rows, so that no array travels with a position.
+    """
+    small = has_at_most(b.entries, BROADCAST_ROWS)
+    if not small:
+        structure = written(structure.select("i", "j"))
+        made, structure = grouped_positions_met(structure, a.entries, b.entries, "v", a.rows)
+        if structure.isEmpty():
+            return Matrix(made, a.rows, b.cols)
+    met = met_lines(structure, a.entries, b.entries, "v", inner_segment(a, b), small)
     parts = met.mapInArrow(_multiplied, "i long, j long, v double")
     every = parts.unionByName(structure.select("i", "j", F.lit(0.0).alias("v")))
-    return Matrix(every.groupBy("i", "j").agg(F.sum("v").alias("v")), a.rows, b.cols)
+    sums = every.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return Matrix(sums if small else sums.unionByName(made), a.rows, b.cols)
 
 
 def entry_values(m: Matrix) -> DataFrame:
@@ -116,8 +128,17 @@ def product_plan(structure: DataFrame, a: Matrix, b: Matrix) -> DataFrame:
     Every position has one row without numbers, so it stays where nothing meets.
     """
     left, right = (csr_positions(m).select("i", "j", "at") for m in (a, b))
-    met = met_lines(structure, left, right, "at", inner_segment(a, b), has_at_most(b.entries, BROADCAST_ROWS))
-    pairs = met.mapInArrow(_paired, "i long, j long, le long, re long")
+    small = has_at_most(b.entries, BROADCAST_ROWS)
+    rest = structure
+    if not small:
+        structure, left, right = (written(df) for df in (structure.select("i", "j"), left, right))
+        made, rest = grouped_positions_met(structure, left, right, "at", a.rows)
+    if small or not rest.isEmpty():
+        met = met_lines(rest, left, right, "at", inner_segment(a, b), small)
+        pairs = met.mapInArrow(_paired, "i long, j long, le long, re long")
+        pairs = pairs if small else pairs.unionByName(made)
+    else:
+        pairs = made
     none = F.lit(None).cast("long")
     return pairs.unionByName(structure.select("i", "j", none.alias("le"), none.alias("re")))
 

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import column_bucket
 from tripleloom.matrix import Matrix
-from tripleloom.operators import bitmaps
+from tripleloom.operators import bitmaps, grouped
 from tripleloom.operators.masked import masked_product
 from tripleloom.operators.reshape import mirrored
 from tripleloom.operators.sketches import estimated_entries
 from tripleloom.operators.tiles import tiled_product
 from tripleloom.plans.sizing import BROADCAST_ROWS, broadcast_if_small
+from tripleloom.session import written
 from tripleloom.plans.workload import (
     MOST_PARTITIONS,
     TASK_PRODUCTS,
@@ -55,9 +56,9 @@ def spgemm(
     """``A·B``; with ``upper`` only entries with ``j >= i`` are made.
 
     ``auto`` measures the work per inner key, broadcasts a side of checked
-    size, or else joins on the inner key with hot keys cut into blocks and
-    sends the products to as many partitions as the estimated result needs,
-    ``result_rows`` each.
+    size, makes much work in groups of rows, or else joins on the inner key with
+    hot keys cut into blocks and sends the products to as many partitions as the
+    estimated result needs, ``result_rows`` each.
     """
     a.require_inner(b)
     method = method.lower()
@@ -72,14 +73,17 @@ def spgemm(
     left, right = left_side(a), right_side(b)
     work = measure(left, right, task_products)
     if method == "auto":
-        if min(work.left_nnz, work.right_nnz) > broadcast_rows:
+        if min(work.left_nnz, work.right_nnz) > broadcast_rows and work.products > grouped.GROUPED:
+            entries, rest = grouped.grouped_sums(left, right, a.rows, upper)
+            if rest is not None:
+                long = measure(rest, right, task_products)
+                entries = entries.unionByName(sum_products(split_join(rest, right, long, upper, task_products)))
+        elif min(work.left_nnz, work.right_nnz) > broadcast_rows:
             entries = sized_sum(split_join(left, right, work, upper, task_products), a, b, work, task_products, result_rows)
         else:
             entries = over(planned_parts(left, right, work, upper, task_products, broadcast_rows), sum_products)
     elif method == "broadcast":
-        if work.right_nnz > broadcast_rows:
-            raise ValueError(f"{work.right_nnz} entries are too many to broadcast, the bound is {broadcast_rows}")
-        entries = sum_products(joined(left, F.broadcast(right), ["k"], upper))
+        entries = sum_products(broadcast_join(left, right, work, upper, broadcast_rows))
     elif method == "bucketed":
         entries = bucketed_sum(split_join(left, right, work, upper, task_products), buckets, b.cols).drop("b")
     else:
@@ -124,19 +128,37 @@ def symbolic(a: Matrix, b: Matrix, upper: bool = False, least: int = bitmaps.DEN
     ``least`` is the number of products per merged bitmap from which bitmaps are taken.
     """
     work = bitmaps.bitmap_work(a, b, {})
+    if in_groups(work):
+        positions, rest = grouped.grouped_positions(left_side(a), right_side(b), a.rows, upper)
+        return positions if rest is None else positions.unionByName(pair_positions(rest, b, upper))
     if bitmaps.by_bitmaps(work, least):
         positions = bitmaps.bitmap_positions(a, b, work)
         return positions.where("j >= i") if upper else positions
-    return over(planned(a, b, upper), lambda pairs: pairs.select("i", "j").distinct())
+    return pair_positions(left_side(a), b, upper)
+
+
+def in_groups(work: dict[str, int]) -> bool:
+    """Whether the structure is made in row groups: much work, and more bitmaps than are broadcast."""
+    return work["products"] > grouped.GROUPED and work["bitmaps"] > bitmaps.BROADCAST_BITMAPS
+
+
+def pair_positions(left: DataFrame, b: Matrix, upper: bool = False) -> DataFrame:
+    return over(planned(left, right_side(b), upper), lambda pairs: pairs.select("i", "j").distinct())
 
 
 def output_row_lengths(a: Matrix, b: Matrix) -> DataFrame:
     """Exact entries per product row."""
     work = bitmaps.bitmap_work(a, b, {})
+    if in_groups(work):
+        lengths, rest = grouped.grouped_lengths(left_side(a), right_side(b), a.rows, "c_nnz")
+        return lengths if rest is None else lengths.unionByName(pair_lengths(rest, b))
     if bitmaps.by_bitmaps(work):
         return bitmaps.bitmap_lengths(a, b, work=work)
-    positions = over(planned(a, b), lambda pairs: pairs.select("i", "j").distinct())
-    return positions.groupBy("i").agg(F.count(F.lit(1)).alias("c_nnz"))
+    return pair_lengths(left_side(a), b)
+
+
+def pair_lengths(left: DataFrame, b: Matrix) -> DataFrame:
+    return pair_positions(left, b).groupBy("i").agg(F.count(F.lit(1)).alias("c_nnz"))
 
 
 def numeric(structure: DataFrame, a: Matrix, b: Matrix) -> Matrix:
@@ -168,6 +190,24 @@ def joined(one: DataFrame, other: DataFrame, keys: list[str], upper: bool) -> Da
     return pairs.select("i", "j", product_value().alias("p"))
 
 
+def broadcast_join(left: DataFrame, right: DataFrame, work: Workload, upper: bool, broadcast_rows: int) -> DataFrame:
+    """The products with ``B`` broadcast; above the bound in slices, one after another, whose products are written.
+
+    Only one slice is then held by the driver and the tasks at a time.
+    """
+    if work.right_nnz <= broadcast_rows:
+        return joined(left, F.broadcast(right), ["k"], upper)
+    slices = -(-work.right_nnz * 5 // (broadcast_rows * 4))
+    # A row of B beyond the bound is cut as well; its slices then meet the whole of A.
+    cut = work.longest_right_row > broadcast_rows
+    at = F.pmod(F.xxhash64("k", "j") if cut else F.xxhash64("k"), F.lit(slices))
+    parts = []
+    for n in range(slices):
+        mine = left if cut else left.where(at == n)
+        parts.append(written(joined(mine, F.broadcast(right.where(at == n)), ["k"], upper)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def product_value() -> Column:
     return F.col("lv") * F.col("rv")
 
@@ -223,9 +263,8 @@ def split_join(
     return joined(right, left, keys, upper) if order == "columnwise" else joined(left, right, keys, upper)
 
 
-def planned(a: Matrix, b: Matrix, upper: bool = False) -> list[DataFrame]:
-    """The products of ``A·B`` by the measured plan, see ``planned_parts``."""
-    left, right = left_side(a), right_side(b)
+def planned(left: DataFrame, right: DataFrame, upper: bool = False) -> list[DataFrame]:
+    """The products by the measured plan, see ``planned_parts``."""
     return planned_parts(left, right, measure(left, right), upper, TASK_PRODUCTS, BROADCAST_ROWS)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tripleloom.functions.hashing import bit_length32, power_of_two
 from tripleloom.functions.scalar import column_bucket, size_bin, table_size
 from tripleloom.matrix import Matrix
-from tripleloom.operators import bitmaps
-from tripleloom.operators.multiply import symbolic
+from tripleloom.operators import bitmaps, grouped
+from tripleloom.operators.multiply import in_groups, left_side, pair_positions, right_side, symbolic
 from tripleloom.operators.reshape import row_lengths
 from tripleloom.operators.scans import histogram, prefix_sum, prefix_sums, ranked
 from tripleloom.plans.sizing import BROADCAST_ROWS
@@ -94,13 +94,16 @@ def bucket_lengths(a: Matrix, b: Matrix, buckets: int) -> DataFrame:
     """Exact entries per row and column bucket: from bitmaps of the buckets, or from the products where those are few."""
     group = bitmaps.bucket_group(buckets, b.cols)
     work = bitmaps.bitmap_work(a, b, group)
+
+    def counted(positions: DataFrame) -> DataFrame:
+        return positions.groupBy("i", column_bucket(F.col("j"), buckets, b.cols).alias("b")).agg(F.count(F.lit(1)).alias("nnz"))
+
+    if in_groups(work):
+        lengths, rest = grouped.grouped_lengths(left_side(a), right_side(b), a.rows, "nnz", buckets, b.cols)
+        return lengths if rest is None else lengths.unionByName(counted(pair_positions(rest, b)))
     if bitmaps.by_bitmaps(work):
         return bitmaps.bitmap_lengths(a, b, group, work, "nnz")
-    return (
-        symbolic(a, b)
-        .groupBy("i", column_bucket(F.col("j"), buckets, b.cols).alias("b"))
-        .agg(F.count(F.lit(1)).alias("nnz"))
-    )
+    return counted(symbolic(a, b))
 
 
 def length_statistics(m: Matrix) -> DataFrame:

@@ -8,15 +8,19 @@ whatever the length of a row of ``B``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.hashing import leading_zeros32, with_murmur3
 from tripleloom.functions.scalar import table_size
 from tripleloom.matrix import Matrix
+from tripleloom.operators.grouped import grouped_merge
 from tripleloom.operators.scans import largest_group
 from tripleloom.plans.sizing import BROADCAST_ROWS, has_at_most
-from tripleloom.plans.workload import TASK_PRODUCTS
+from tripleloom.plans.workload import MOST_PARTITIONS, TASK_PRODUCTS
+from tripleloom.session import written
 
 # Sketch shape and estimator constants.
 PARTITIONS = 128
@@ -43,13 +47,14 @@ def minhash_registers(b: Matrix) -> DataFrame:
     return _hashed(b).groupBy("i", "p").agg(F.min("h").alias("minh"))
 
 
-def _merged(a: Matrix, b: Matrix, registers: DataFrame, merge: Column) -> DataFrame:
+def _merged(a: Matrix, b: Matrix, registers: DataFrame, merge: Column, code: Column, value: Column) -> DataFrame:
     """Registers merged along the rows of ``A``.
 
     There are no more registers than entries of ``B``.  Where those were
     counted to be few, the registers go to every task, and ``A`` is hashed on
     its rows if the longest one fits a task, so the merge needs no shuffle.
-    Else registers are merged per task, shuffled and merged once more.
+    Else the registers of a row of ``B`` travel as one array to each group of rows of ``A`` that
+    needs them; ``code`` is a register with its partition in the low bits, and ``value`` reads it back.
     """
     per_row = registers.withColumnRenamed("i", "k")
     entries = a.entries.select("i", F.col("j").alias("k"))
@@ -57,16 +62,26 @@ def _merged(a: Matrix, b: Matrix, registers: DataFrame, merge: Column) -> DataFr
         per_row = F.broadcast(per_row)
         if largest_group(entries, ("i",)) * PARTITIONS <= TASK_PRODUCTS:
             entries = entries.repartition("i")
-    return entries.join(per_row, "k").groupBy("i", "p").agg(merge)
+        return entries.join(per_row, "k").groupBy("i", "p").agg(merge)
+    per_row = written(per_row)
+    known, name = per_row.where("p is not null"), registers.columns[-1]
+    largest = name == "reg"
+    codes, rest = grouped_merge(entries, known.select("k", code.alias("code")), a.rows, PARTITIONS, largest)
+    parts = [codes.select("i", F.col("code").bitwiseAND(F.lit(PARTITIONS - 1)).alias("p"), value.alias(name))]
+    if rest is not None:
+        parts.append(rest.join(known, "k").groupBy("i", "p").agg(merge))
+    if not (unknown := per_row.where("p is null")).isEmpty():
+        parts.append(entries.join(unknown, "k").groupBy("i", "p").agg(merge))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merged_hll(a: Matrix, b: Matrix) -> DataFrame:
     """Registers of the rows of ``A·B``."""
-    return _merged(a, b, hll_registers(b), F.max("reg").alias("reg"))
+    return _merged(a, b, hll_registers(b), F.max("reg").alias("reg"), F.col("reg") * PARTITIONS + F.col("p"), F.expr(f"code div {PARTITIONS}"))
 
 
 def merged_minhash(a: Matrix, b: Matrix) -> DataFrame:
-    return _merged(a, b, minhash_registers(b), F.min("minh").alias("minh"))
+    return _merged(a, b, minhash_registers(b), F.min("minh").alias("minh"), F.col("minh"), F.col("code"))
 
 
 def _linear_count(empty: Column) -> Column:
@@ -128,14 +143,19 @@ def row_estimate(a: Matrix, b: Matrix, method: str = "minhash") -> DataFrame:
 
 #: Bytes of Spark's own sketches that are broadcast.
 SKETCH_BYTES = 64_000_000
+#: Sketches that one task merges, where they are shuffled.
+SKETCHES = 1 << 18
 
 
 def _beside(a: Matrix, b: Matrix, sketches: DataFrame, precision: int) -> DataFrame:
     """Entries of ``A`` beside the sketch of the row of ``B`` they refer to; few sketches are broadcast, by their counted rows."""
     rows = b.entries.agg(F.count_distinct("i")).first()[0]
     if rows << precision <= SKETCH_BYTES:
-        sketches = F.broadcast(sketches)
-    return a.entries.select("i", F.col("j").alias("k")).join(sketches, "k")
+        return a.entries.select("i", F.col("j").alias("k")).join(F.broadcast(sketches), "k")
+    # Merged once, where all sketches of a row are: a sketch merged per task is larger than those of the entries it was made from.
+    beside = a.entries.select("i", F.col("j").alias("k")).join(sketches, "k")
+    usual = int(beside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return beside.repartition(min(MOST_PARTITIONS, max(usual, a.nnz() // SKETCHES)), "i")
 
 
 def native_hll_estimate(a: Matrix, b: Matrix, precision: int = 12) -> DataFrame:

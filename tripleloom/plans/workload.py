@@ -134,10 +134,10 @@ def co_partitioned(
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides hashed on ``keys`` into a number of partitions that fits the products.
 
-    The number is fixed only where it exceeds the session's setting; adaptive
+    The number is fixed where the products are more than one task is meant to make; adaptive
     execution would otherwise merge partitions that look small but multiply.
     """
-    usual = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if partitions <= usual:
+    if partitions <= 1:
         return left, right
+    partitions = max(partitions, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return left.repartition(partitions, *keys), right.repartition(partitions, *keys)
