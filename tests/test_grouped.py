@@ -67,7 +67,7 @@ def test_registers_merge_in_groups(odd, monkeypatch, longest):
 def test_known_positions_meet_in_groups(odd, spark, monkeypatch, longest):
     a, b = odd
     a, b = (Matrix(m.entries.where("v is not null"), m.rows, m.cols) for m in (a, b))
-    structure = mul.symbolic(a, b).where("(i + j) % 3 = 0 or i is null or j is null").unionByName(spark.range(3).selectExpr("id i", "id j"))
+    structure = mul.pair_positions(mul.left_side(a), b).where("(i + j) % 3 = 0 or i is null or j is null").unionByName(spark.range(3).selectExpr("id i", "id j"))
     wanted = [rows(masked.masked_product(structure, a, b).entries), rows(masked.product_plan(structure, a, b))]
     monkeypatch.setattr(masked, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(grouped, "LONGEST", longest)
