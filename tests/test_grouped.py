@@ -99,3 +99,30 @@ def test_partitions_that_multiply_are_not_merged(spark, odd):
     left, right = workload.co_partitioned(mul.left_side(a), mul.right_side(b), ["k"], 3)
     usual = spark.conf.get("spark.sql.shuffle.partitions")
     assert all(f", {usual})" in p and "REPARTITION_BY_NUM" in p for p in (df._jdf.queryExecution().executedPlan().toString() for df in (left, right)))
+
+
+def test_many_products_are_shuffled_once(odd, monkeypatch):
+    a, b = odd
+    wanted = rows(spgemm(a, b, method="outer").entries)
+    monkeypatch.setattr(grouped, "GROUPED", 0)
+    c = spgemm(a, b, method="outer").entries
+    assert rows(c) == wanted
+    assert "REPARTITION_BY_NUM" in c._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crowded_products_add_up_in_groups(odd, monkeypatch):
+    a, b = odd
+    wanted = rows(spgemm(a, b).entries)
+    monkeypatch.setattr(grouped, "GROUPED", 0)
+    monkeypatch.setattr(grouped, "LEAST", 3)
+    monkeypatch.setattr(mul, "CROWDED", 0)
+    c = spgemm(a, b).entries
+    assert rows(c) == wanted and "FlatMapCoGroupsInArrow" in c._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_inner_tile_needs_no_second_shuffle(matrix):
+    m = np.arange(1.0, 61).reshape(20, 3)
+    c = mul.tiled_product(matrix(m), matrix(m.T), edge=4, side=2)
+    assert {(r["i"], r["j"]): r["v"] for r in c.entries.collect()} == {(i, j): v for (i, j), v in np.ndenumerate(m @ m.T)}
+    assert "strip" not in c.entries._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[0]
+    assert "Sort [bi" not in c.entries._jdf.queryExecution().executedPlan().toString()
