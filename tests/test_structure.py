@@ -1,8 +1,12 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import cells, dense
+from tripleloom import Matrix
 from tripleloom.functions import hashing, scalar
 from tripleloom.operators import reshape, rowstats, scans, sketches
 from tripleloom.plans import dispatch
@@ -237,3 +241,23 @@ def test_accumulator_choice(matrix):
     b[1, 0] = b[2, 0] = 1
     got = {r["i"]: (r["kind"], r["size_class"]) for r in rowstats.accumulator_choice(matrix(a), matrix(b), 1024).collect()}
     assert got == {0: ("direct", 2), 1: ("dense", 2), 2: ("hash", 5)}
+
+
+@pytest.mark.parametrize("side_by_side", [32, 2])
+def test_bucket_products_of_any_columns(spark, monkeypatch, side_by_side):
+    monkeypatch.setattr(rowstats, "SIDE_BY_SIDE", side_by_side)
+    left = [(0, 0), (0, 1), (0, 1), (1, 2), (None, 1), (2, None), (3, 7)]
+    right = [(0, 0), (0, 9), (1, 3), (1, 3), (1, None), (1, 10), (1, -1), (2, -8), (2, 25), (None, 4), (0, -3)]
+    a = Matrix(spark.createDataFrame([(i, j, 1.0) for i, j in left], "i long, j long, v double"), 4, 3)
+    b = Matrix(spark.createDataFrame([(i, j, 1.0) for i, j in right], "i long, j long, v double"), 3, 10)
+    bucket = lambda j: None if j is None else int(((j + 1) * 4 - 1) / 10)
+    want = Counter((i, bucket(j)) for i, k in left for o, j in right if k is not None and k == o)
+    got = rowstats.bucket_products(a, b, 4).collect()
+    assert {(r["i"], r["b"]): r["products"] for r in got} == want and len(got) == len(want)
+
+
+def test_bucket_products_keep_one_group_per_row(matrix, monkeypatch):
+    monkeypatch.setattr(rowstats, "BROADCAST_ROWS", 0)
+    m = matrix(np.arange(400).reshape(20, 20) % 3)
+    plan = rowstats.bucket_products(m, m, 5)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[[ik]#\d+L?, b#", plan)

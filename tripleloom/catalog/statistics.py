@@ -145,7 +145,7 @@ SELECT b.j AS j, CAST(sum(n) AS BIGINT) AS products FROM ({sql.PART_SQUARE}) b J
   CASE WHEN last_col = first_col THEN 0 ELSE CAST(floor(log2(last_col - first_col)) AS BIGINT) + 1 END AS width_class FROM f""",
     ),
     "bucket_flop": Query(
-        lambda t: st.bucket_products(t.part_square, t.part_square, 5),
+        lambda t: st.bucket_products(t.once("part_square"), t.once("part_square"), 5),
         f"""WITH b AS (SELECT i AS k, CAST(((j + 1) * 5 - 1) // (SELECT count(*) FROM part) AS BIGINT) AS b, count(*) AS n
   FROM ({sql.PART_SQUARE}) GROUP BY 1, 2)
 SELECT a.i AS i, b.b AS b, CAST(sum(n) AS BIGINT) AS products FROM ({sql.PART_SQUARE}) a JOIN b ON a.j = b.k GROUP BY 1, 2""",

@@ -80,13 +80,37 @@ def output_column_range(a: Matrix, b: Matrix) -> DataFrame:
     return ranges.select("i", "first_col", "last_col", width.alias("width_class"))
 
 
+#: Buckets whose counts lie side by side in one row.
+SIDE_BY_SIDE = 32
+
+
 def bucket_products(a: Matrix, b: Matrix, buckets: int) -> DataFrame:
-    """Upper bound per row and column bucket: intermediate products."""
-    per_row = (
-        b.entries.select(F.col("i").alias("k"), column_bucket(F.col("j"), buckets, b.cols).alias("b"))
-        .groupBy("k", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Upper bound per row and column bucket: intermediate products.
+
+    The counts of a row of ``B`` lie side by side, so that tasks keep one group per row of ``A`` and not one per bucket of it;
+    columns outside the shape, null ones among them, and more buckets than ``SIDE_BY_SIDE`` take a row per bucket.
+    """
+    columns = b.entries.select(F.col("i").alias("k"), "j")
+    if buckets > SIDE_BY_SIDE:
+        return _bucket_rows(a, columns, b, buckets)
+    inside = F.coalesce(F.col("j").between(0, b.cols - 1), F.lit(False))
+    names = [f"n{at}" for at in range(buckets)]
+    placed = columns.where(inside).select("k", column_bucket(F.col("j"), buckets, b.cols).alias("b"))
+    per_row = placed.groupBy("k").agg(*[F.count_if(F.col("b") == at).alias(name) for at, name in enumerate(names)])
+    sums = _referenced(a, per_row, b.rows * buckets).groupBy("i").agg(*[F.sum(name).alias(name) for name in names])
+    cells = sums.select("i", F.posexplode(F.array(*names)).alias("b", "products")).where("products > 0")
+    found = cells.select("i", F.col("b").cast("long").alias("b"), "products")
+    outside = columns.where(~inside)
+    if outside.isEmpty():
+        return found
+    both = found.unionByName(_bucket_rows(a, outside, b, buckets))
+    # Near the edge a column outside the shape may share a bucket with those inside.
+    return both.groupBy("i", "b").agg(F.sum("products").alias("products"))
+
+
+def _bucket_rows(a: Matrix, columns: DataFrame, b: Matrix, buckets: int) -> DataFrame:
+    bucket = column_bucket(F.col("j"), buckets, b.cols).alias("b")
+    per_row = columns.groupBy("k", bucket).agg(F.count(F.lit(1)).alias("n"))
     return _referenced(a, per_row, b.rows * buckets).groupBy("i", "b").agg(F.sum("n").alias("products"))
 
 
