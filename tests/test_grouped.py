@@ -125,3 +125,17 @@ def test_one_inner_tile_needs_no_second_shuffle(matrix):
     c = mul.tiled_product(matrix(m), matrix(m.T), edge=4, side=2)
     assert {(r["i"], r["j"]): r["v"] for r in c.entries.collect()} == {(i, j): v for (i, j), v in np.ndenumerate(m @ m.T)}
     assert "Sort [bi" not in c.entries._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("far, step, types", [(0, 1.0, ("int", "float")), (1 << 33, 0.1, ("bigint", "double"))])
+def test_arrays_travel_as_narrow_as_they_fit(spark, odd, monkeypatch, far, step, types):
+    a, b = odd
+    b = Matrix(b.entries.selectExpr("i", f"j + {far} * (j % 2) as j", f"v * {step}D as v"), b.rows, b.cols + far)
+    wanted = [rows(spgemm(a, b, upper=upper, broadcast_rows=0).entries.selectExpr("i", "j", "round(v, 6) v")) for upper in (False, True)]
+    arrays = grouped.row_arrays(mul.right_side(b), ["j", "rv"])
+    assert tuple(t for _, t in arrays.dtypes) == ("bigint", f"array<{types[0]}>", f"array<{types[1]}>")
+    monkeypatch.setattr(grouped, "GROUPED", 0)
+    monkeypatch.setattr(grouped, "LEAST", 3)
+    c = [spgemm(a, b, upper=upper, broadcast_rows=0).entries for upper in (False, True)]
+    assert "FlatMapCoGroupsInArrow" in c[0]._jdf.queryExecution().executedPlan().toString()
+    assert [rows(m.selectExpr("i", "j", "round(v, 6) v")) for m in c] == wanted

@@ -61,8 +61,23 @@ def rest_of(left: DataFrame, rest: DataFrame) -> DataFrame:
     return left.join(other, F.col("i").eqNullSafe(F.col("o")), "left_semi")
 
 
+def narrowed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with those of the columns as INT or FLOAT that were counted to lose nothing by it: half of what travels."""
+    kinds = {name: kind for name, kind in df.dtypes if name in columns and kind in ("bigint", "double")}
+    narrow = {name: "int" if kind == "bigint" else "float" for name, kind in kinds.items()}
+    back = {
+        name: F.col(name).between(-(1 << 31), (1 << 31) - 1) if kind == "bigint" else F.col(name) == F.col(name).cast("float").cast("double")
+        for name, kind in kinds.items()
+    }
+    if not kinds:
+        return df
+    lost = df.agg(*[F.count_if(~same).alias(name) for name, same in back.items()]).first()
+    return df.select(*[F.col(c).cast(narrow[c]).alias(c) if c in kinds and not lost[c] else F.col(c) for c in df.columns])
+
+
 def row_arrays(right: DataFrame, columns: list[str]) -> DataFrame:
-    """``(k, *columns)``: the entries of each ``k`` as arrays of at most about ``PIECE`` elements."""
+    """``(k, *columns)``: the entries of each ``k`` as arrays of at most about ``PIECE`` elements, as narrow as they fit."""
+    right = narrowed(right, columns)
     counts = right.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE)
     long = counts.select("k", F.ceil(F.col("n") / F.lit(PIECE)).alias("pieces"))
     cut = right.join(broadcast_if_small(long), "k", "left")
@@ -112,18 +127,25 @@ class Supply:
     def columns(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         """The distinct sorted columns, and the place of each flat element among them."""
         flat = self.flat[name]
-        j = (flat.fill_null(MISSING) if flat.null_count else flat).to_numpy(zero_copy_only=False)
+        j = (flat.cast(pa.int64()).fill_null(MISSING) if flat.null_count else flat).to_numpy(zero_copy_only=False)
         if not len(j):
-            return j, j
+            return j.astype(np.int64), j
         low, span = int(j.min()), int(j.max()) - int(j.min()) + 1
         if low == MISSING or span > max(8 * len(j), 1 << 20):
-            return np.unique(j, return_inverse=True)
+            distinct, place = np.unique(j, return_inverse=True)
+            return distinct.astype(np.int64), place
         seen = np.zeros(span, bool)
         seen[j - low] = True
         return np.flatnonzero(seen) + low, (np.cumsum(seen) - 1)[j - low]
 
     def values(self, name: str) -> tuple[np.ndarray, np.ndarray | None]:
-        return numbers(self.flat[name])
+        v, there = numbers(self.flat[name])
+        return v.astype(np.float64, copy=False), there
+
+    def payload(self, name: str) -> np.ndarray:
+        """The flat elements as BIGINT or DOUBLE, however narrow they came."""
+        p = self.flat[name].to_numpy(zero_copy_only=False)
+        return p.astype(np.int64 if p.dtype.kind == "i" else np.float64, copy=False)
 
 
 def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray | None]:
@@ -396,7 +418,7 @@ class Met:
         order = np.argsort(key, kind="stable")
         self.key = key[order]
         payload = rows.column("p").combine_chunks().to_numpy(zero_copy_only=False)
-        self.left, self.right = payload[np.flatnonzero(same)[order]], self.supply.flat["p"].to_numpy(zero_copy_only=False)
+        self.left, self.right = payload[np.flatnonzero(same)[order]], self.supply.payload("p")
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Position number, left and right payload of every pair; equal positions of entries pair up in full."""
