@@ -139,3 +139,17 @@ def test_arrays_travel_as_narrow_as_they_fit(spark, odd, monkeypatch, far, step,
     c = [spgemm(a, b, upper=upper, broadcast_rows=0).entries for upper in (False, True)]
     assert "FlatMapCoGroupsInArrow" in c[0]._jdf.queryExecution().executedPlan().toString()
     assert [rows(m.selectExpr("i", "j", "round(v, 6) v")) for m in c] == wanted
+
+
+@pytest.mark.parametrize("bound", [masked.BROADCAST_ROWS, 0])
+def test_plan_rows_without_numbers_look_nothing_up(spark, odd, monkeypatch, bound):
+    a, b = (Matrix(m.entries.where("i is not null and j is not null and v is not null"), m.rows, m.cols) for m in odd)
+    structure = mul.pair_positions(mul.left_side(a), b).unionByName(spark.range(3).selectExpr("id i", "id j"))
+    wanted = rows(masked.masked_product(structure, a, b).entries)
+    monkeypatch.setattr(masked, "BROADCAST_ROWS", bound)
+    numbers = masked.numbered(a), masked.numbered(b)
+    plan = masked.written(masked.product_plan(structure, a, b, numbers))
+    # With equal entries the numbers may differ; the sums may not.
+    c = masked.planned_product(plan, masked.entry_values(a, numbers[0]), masked.entry_values(b, numbers[1]), a.rows, b.cols).entries
+    assert rows(c) == wanted
+    assert "PushedFilters: [IsNotNull(le), IsNotNull(re)]" in c._jdf.queryExecution().executedPlan().toString()
