@@ -153,3 +153,32 @@ def test_plan_rows_without_numbers_look_nothing_up(spark, odd, monkeypatch, boun
     c = masked.planned_product(plan, masked.entry_values(a, numbers[0]), masked.entry_values(b, numbers[1]), a.rows, b.cols).entries
     assert rows(c) == wanted
     assert "PushedFilters: [IsNotNull(le), IsNotNull(re)]" in c._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ranges, longest", [(grouped.RANGES, grouped.LONGEST), (0, grouped.LONGEST), (grouped.RANGES, 100)])
+def test_rows_find_their_group_by_its_first_row(odd, monkeypatch, ranges, longest):
+    a, b = odd
+    monkeypatch.setattr(grouped, "RANGES", ranges)
+    monkeypatch.setattr(grouped, "LONGEST", longest)
+    left, right = mul.left_side(a), mul.right_side(b)
+    found = grouped.row_groups(left, right, a.rows, 50)
+    rest = {r["i"] for r in found.rest.collect()} if found.rest is not None else set()
+    groups = {r["i"]: r["g"] for r in found.groups.collect()}
+    assert found.count > 3 and not rest & set(groups) and (longest > 100 or len(rest) > 1)
+    placed = found.placed(left)
+    got = {(r["i"], r["g"]) for r in placed.collect()}
+    if ranges:
+        assert rest or "Join" not in placed._jdf.queryExecution().optimizedPlan().toString()
+        order = {g: n for n, g in enumerate(sorted(set(groups.values())))}
+        assert {pair for pair in got if pair[0] in groups} == {(i, order[g]) for i, g in groups.items()}
+        assert not {i for i, _ in got} & (rest | {None})
+    else:
+        assert found.firsts is None and got == set(groups.items())
+
+
+def test_pairs_are_dealt_to_the_arrays_once(odd, monkeypatch):
+    a, b = odd
+    monkeypatch.setattr(grouped, "GROUPED", 0)
+    c = mul.spgemm(a, b, broadcast_rows=0).entries
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3 and "piece" not in plan

@@ -1,6 +1,7 @@
 """Row groups: what neighbouring rows of ``A`` need of ``B`` comes to one task, once, and their result is made there whole.
 
-Rows are cut into groups of about equal products by their counted prefix sums.  A row of ``B`` travels to a group once, as
+Rows are cut into groups of about equal products by their counted prefix sums, so a group is a range of rows, and an entry
+finds it among their first rows without a join.  A row of ``B`` travels to a group once, as
 arrays, however many entries of the group refer to it; no product is shuffled, and no position has parts in two groups.
 Rows beyond ``LONGEST`` products, and entries without a row number, are left to the caller's joins.
 """
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.operators.scans import prefix_sum
@@ -24,6 +25,8 @@ from tripleloom.session import written
 GROUPED = 1 << 26
 #: Products of a group whose values are kept, and of one whose structure alone is wanted; groups wanted at least.
 VALUES, STRUCTURE, LEAST = 1 << 24, 1 << 26, 64
+#: Groups whose first rows are looked up in place; more are joined.
+RANGES = 1 << 16
 #: Products of a row that stays in a group, and products that a task expands at once.
 LONGEST, AT_ONCE = 1 << 22, 1 << 22
 #: Entries of one array.
@@ -36,11 +39,31 @@ MISSING = np.iinfo(np.int64).min
 
 @dataclass(frozen=True)
 class RowGroups:
-    """``groups(i, g)``; ``rest`` holds the rows without a group, null among them, or is None."""
+    """``groups(i, g)``, or the sorted first rows of the groups; ``rest`` holds the rows without a group, null among them, or is None."""
 
     groups: DataFrame
     count: int
     rest: DataFrame | None
+    firsts: list[int] | None
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """``df(i, …)`` with the group ``g`` of each row that has one; rows that meet nothing may be given one."""
+        if self.firsts is None:
+            return df.join(broadcast_if_small(self.groups), "i")
+        df = df.where(F.col("i").isNotNull())
+        if self.rest is not None:
+            df = without(df, self.rest)
+        # Rows that a DOUBLE cannot tell apart share a group, as each row has one place.
+        cuts = sorted(set(map(float, self.firsts[1:])))
+        if not cuts:
+            return df.withColumn("g", F.lit(0).cast("long"))
+        # Tasks import this module, and need no pyspark.ml.
+        from pyspark.ml.feature import Bucketizer
+
+        splits = [-float("inf"), *cuts, float("inf")]
+        numbered = df.withColumn("at", F.col("i").cast("double"))
+        placed = Bucketizer(splits=splits, inputCol="at", outputCol="g").transform(numbered)
+        return placed.drop("at").withColumn("g", F.col("g").cast("long"))
 
 
 def row_groups(left: DataFrame, right: DataFrame, rows: int, most: int) -> RowGroups:
@@ -52,7 +75,16 @@ def row_groups(left: DataFrame, right: DataFrame, rows: int, most: int) -> RowGr
     budget = min(most, max(1 << 16, (total or 0) // LEAST))
     placed = prefix_sum(costs.where(short), "i", F.col("n"), max(rows, 1), name="before")
     groups = written(placed.select("i", F.expr(f"before div {budget}").alias("g")))
-    return RowGroups(groups, (total or 0) // budget + 1, costs.where(~short).select("i") if rest else None)
+    count = (total or 0) // budget + 1
+    firsts = None
+    if count <= RANGES:
+        firsts = sorted(r["i"] for r in groups.groupBy("g").agg(F.min("i").alias("i")).collect())
+    return RowGroups(groups, count, costs.where(~short).select("i") if rest else None, firsts)
+
+
+def without(df: DataFrame, rest: DataFrame) -> DataFrame:
+    """``df`` without its rows in ``rest(i)``."""
+    return df.join(broadcast_if_small(rest), "i", "left_anti")
 
 
 def rest_of(left: DataFrame, rest: DataFrame) -> DataFrame:
@@ -78,12 +110,17 @@ def narrowed(df: DataFrame, columns: list[str]) -> DataFrame:
 def row_arrays(right: DataFrame, columns: list[str]) -> DataFrame:
     """``(k, *columns)``: the entries of each ``k`` as arrays of at most about ``PIECE`` elements, as narrow as they fit."""
     right = narrowed(right, columns)
-    counts = right.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE)
-    long = counts.select("k", F.ceil(F.col("n") / F.lit(PIECE)).alias("pieces"))
-    cut = right.join(broadcast_if_small(long), "k", "left")
-    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64(columns[0]), F.col("pieces"))).otherwise(F.lit(0))
     cells = F.collect_list(F.struct(*columns)).alias("cells")
-    return cut.groupBy("k", piece.alias("piece")).agg(cells).select("k", *[F.col(f"cells.{c}").alias(c) for c in columns])
+    counts = right.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE)
+    if counts.isEmpty():
+        # Dealt by k alone, the arrays lie where the groups ask for them.
+        arrays = right.groupBy("k").agg(cells)
+    else:
+        long = counts.select("k", F.ceil(F.col("n") / F.lit(PIECE)).alias("pieces"))
+        cut = right.join(broadcast_if_small(long), "k", "left")
+        piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64(columns[0]), F.col("pieces"))).otherwise(F.lit(0))
+        arrays = cut.groupBy("k", piece.alias("piece")).agg(cells)
+    return arrays.select("k", *[F.col(f"cells.{c}").alias(c) for c in columns])
 
 
 def brought(
@@ -94,12 +131,11 @@ def brought(
 
     ``beside`` are further rows ``(i, …)`` of the groups with the columns of ``left``; they ask for nothing.
     """
-    groups = broadcast_if_small(found.groups)
-    mine = left.where(F.col("k").isNotNull()).join(groups, "i")
-    # Fresh names: both sides of the cogroup come from the same entries.
-    wanted = mine.select(F.col("g").alias("to"), F.col("k").alias("line")).distinct()
+    mine = found.placed(left.where(F.col("k").isNotNull()))
+    # Fresh names: both sides of the cogroup come from the same entries.  Dealt by k once, for the distinct pairs and the join.
+    wanted = mine.select(F.col("g").alias("to"), F.col("k").alias("line")).repartition("line").distinct()
     supplied = wanted.join(arrays.withColumnRenamed("k", "line"), "line")
-    every = mine if beside is None else mine.unionByName(beside.join(groups, "i"))
+    every = mine if beside is None else mine.unionByName(found.placed(beside))
     one, other = every.repartition(found.count, "g"), supplied.repartition(found.count, "to")
     return one.groupBy("g").cogroup(other.groupBy("to")).applyInArrow(kernel, schema)
 
@@ -464,5 +500,11 @@ def grouped_positions_met(structure: DataFrame, a: DataFrame, b: DataFrame, payl
     entries = a.select("i", F.col("j").alias("k"), F.col(payload).alias("p"), F.lit(True).alias("own")).where("k is not null")
     kernel, schema = (_met_sums, "i long, j long, v double") if payload == "v" else (_met_pairs, "i long, j long, le long, re long")
     made = brought(positions, row_arrays(columns, ["c", "p"]), found, kernel, schema, entries)
-    groups = broadcast_if_small(found.groups.select("i").distinct())
-    return made, structure.where("j is null").unionByName(structure.where("j is not null").join(groups, "i", "left_anti"))
+    known = structure.where("j is not null")
+    if found.firsts is None:
+        groups = broadcast_if_small(found.groups.select("i").distinct())
+        return made, structure.where("j is null").unionByName(known.join(groups, "i", "left_anti"))
+    rest = structure.where("j is null").unionByName(known.where("i is null"))
+    if found.rest is not None:
+        rest = rest.unionByName(known.join(broadcast_if_small(found.rest), "i", "left_semi"))
+    return made, rest
