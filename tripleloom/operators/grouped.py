@@ -46,6 +46,11 @@ class RowGroups:
     rest: DataFrame | None
     firsts: list[int] | None
 
+    @property
+    def parts(self) -> int:
+        """Partitions by ``k`` for the pairs of ``k`` and group: fixed, as adaptive execution would merge them into few large ones."""
+        return max(self.count, int(self.groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def placed(self, df: DataFrame) -> DataFrame:
         """``df(i, …)`` with the group ``g`` of each row that has one; rows that meet nothing may be given one."""
         if self.firsts is None:
@@ -69,7 +74,9 @@ class RowGroups:
 def row_groups(left: DataFrame, right: DataFrame, rows: int, most: int) -> RowGroups:
     """Groups for the rows of ``left(i, k)`` by the entries of ``right(k, …)`` that they meet, ``most`` in a group."""
     lengths = right.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    costs = written(left.select("i", "k").join(lengths, "k").groupBy("i").agg(F.sum("n").alias("n")))
+    # Dealt into a fixed number of parts: they look small to adaptive execution, but a task holds their rows in a hash table.
+    dealt = left.select("i", "k").repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+    costs = written(dealt.join(lengths, "k").groupBy("i").agg(F.sum("n").alias("n")))
     short = F.col("i").isNotNull() & (F.col("n") <= LONGEST)
     total, rest = costs.agg(F.sum(F.when(short, F.col("n"))), F.count_if(~short)).first()
     budget = min(most, max(1 << 16, (total or 0) // LEAST))
@@ -107,14 +114,14 @@ def narrowed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).cast(narrow[c]).alias(c) if c in kinds and not lost[c] else F.col(c) for c in df.columns])
 
 
-def row_arrays(right: DataFrame, columns: list[str]) -> DataFrame:
+def row_arrays(right: DataFrame, columns: list[str], parts: int = 0) -> DataFrame:
     """``(k, *columns)``: the entries of each ``k`` as arrays of at most about ``PIECE`` elements, as narrow as they fit."""
     right = narrowed(right, columns)
     cells = F.collect_list(F.struct(*columns)).alias("cells")
     counts = right.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE)
     if counts.isEmpty():
         # Dealt by k alone, the arrays lie where the groups ask for them.
-        arrays = right.groupBy("k").agg(cells)
+        arrays = (right.repartition(parts, "k") if parts else right).groupBy("k").agg(cells)
     else:
         long = counts.select("k", F.ceil(F.col("n") / F.lit(PIECE)).alias("pieces"))
         cut = right.join(broadcast_if_small(long), "k", "left")
@@ -133,7 +140,7 @@ def brought(
     """
     mine = found.placed(left.where(F.col("k").isNotNull()))
     # Fresh names: both sides of the cogroup come from the same entries.  Dealt by k once, for the distinct pairs and the join.
-    wanted = mine.select(F.col("g").alias("to"), F.col("k").alias("line")).repartition("line").distinct()
+    wanted = mine.select(F.col("g").alias("to"), F.col("k").alias("line")).repartition(found.parts, "line").distinct()
     supplied = wanted.join(arrays.withColumnRenamed("k", "line"), "line")
     every = mine if beside is None else mine.unionByName(found.placed(beside))
     one, other = every.repartition(found.count, "g"), supplied.repartition(found.count, "to")
@@ -378,14 +385,14 @@ def grouped_sums(left: DataFrame, right: DataFrame, rows: int, upper: bool, smal
     With a ``small`` side groups may be larger, as what they are brought is bounded by it.
     """
     found = row_groups(left, right, rows, STRUCTURE if small else VALUES)
-    sums = brought(left, row_arrays(right, ["j", "rv"]), found, _sums(upper), "i long, j long, v double")
+    sums = brought(left, row_arrays(right, ["j", "rv"], found.parts), found, _sums(upper), "i long, j long, v double")
     return sums, found.rest and rest_of(left, found.rest)
 
 
 def grouped_positions(left: DataFrame, right: DataFrame, rows: int, upper: bool) -> tuple[DataFrame, DataFrame | None]:
     """As ``grouped_sums``, without values."""
     found = row_groups(left, right, rows, VALUES)
-    positions = brought(left.select("i", "k"), row_arrays(right, ["j"]), found, _positions(upper), "i long, j long")
+    positions = brought(left.select("i", "k"), row_arrays(right, ["j"], found.parts), found, _positions(upper), "i long, j long")
     return positions, found.rest and rest_of(left, found.rest)
 
 
@@ -393,7 +400,7 @@ def grouped_lengths(left: DataFrame, right: DataFrame, rows: int, name: str, buc
     """``(i, name)``, or ``(i, b, name)`` by column bucket: exact entries of the rows; and the entries of rows without a group."""
     found = row_groups(left, right, rows, STRUCTURE)
     schema = f"i long, {'b long, ' if buckets else ''}{name} long"
-    lengths = brought(left.select("i", "k"), row_arrays(right, ["j"]), found, _lengths(buckets, cols, name), schema)
+    lengths = brought(left.select("i", "k"), row_arrays(right, ["j"], found.parts), found, _lengths(buckets, cols, name), schema)
     return lengths, found.rest and rest_of(left, found.rest)
 
 
@@ -430,7 +437,7 @@ def grouped_merge(left: DataFrame, right: DataFrame, rows: int, parts: int, larg
     kernel = _merges(parts, largest)
     # As INT the bits of a code stay as they are.
     signed = right.select("k", F.expr("cast(case when code >= 2147483648 then code - 4294967296 else code end as int)").alias("code"))
-    return brought(left, row_arrays(signed, ["code"]), found, kernel, "i long, code long"), found.rest and rest_of(left, found.rest)
+    return brought(left, row_arrays(signed, ["code"], found.parts), found, kernel, "i long, code long"), found.rest and rest_of(left, found.rest)
 
 
 # --- values at known positions ------------------------------------------------------
@@ -499,7 +506,7 @@ def grouped_positions_met(structure: DataFrame, a: DataFrame, b: DataFrame, payl
     positions = wanted.select("i", "k", F.lit(None).cast(kind).alias("p"), F.lit(False).alias("own"))
     entries = a.select("i", F.col("j").alias("k"), F.col(payload).alias("p"), F.lit(True).alias("own")).where("k is not null")
     kernel, schema = (_met_sums, "i long, j long, v double") if payload == "v" else (_met_pairs, "i long, j long, le long, re long")
-    made = brought(positions, row_arrays(columns, ["c", "p"]), found, kernel, schema, entries)
+    made = brought(positions, row_arrays(columns, ["c", "p"], found.parts), found, kernel, schema, entries)
     known = structure.where("j is not null")
     if found.firsts is None:
         groups = broadcast_if_small(found.groups.select("i").distinct())
