@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.operators.scans import prefix_sum
@@ -35,6 +35,8 @@ PIECE = 1 << 16
 HELD, GATHERED = 1 << 28, 1 << 25
 #: Stands for a column that is null.
 MISSING = np.iinfo(np.int64).min
+#: Makes the result of its entries and the arrays they name, in batches.
+Kernel = Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]
 
 
 @dataclass(frozen=True)
@@ -59,16 +61,19 @@ class RowGroups:
         if self.rest is not None:
             df = without(df, self.rest)
         # Rows that a DOUBLE cannot tell apart share a group, as each row has one place.
-        cuts = sorted(set(map(float, self.firsts[1:])))
-        if not cuts:
-            return df.withColumn("g", F.lit(0).cast("long"))
-        # Tasks import this module, and need no pyspark.ml.
-        from pyspark.ml.feature import Bucketizer
+        return in_ranges(df, F.col("i").cast("double"), sorted(set(map(float, self.firsts[1:]))), "g")
 
-        splits = [-float("inf"), *cuts, float("inf")]
-        numbered = df.withColumn("at", F.col("i").cast("double"))
-        placed = Bucketizer(splits=splits, inputCol="at", outputCol="g").transform(numbered)
-        return placed.drop("at").withColumn("g", F.col("g").cast("long"))
+
+def in_ranges(df: DataFrame, line: Column, cuts: list[float], name: str) -> DataFrame:
+    """``df`` with the number of the range that ``line``, a DOUBLE, falls into."""
+    if not cuts:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    # Tasks import this module, and need no pyspark.ml.
+    from pyspark.ml.feature import Bucketizer
+
+    splits = [-float("inf"), *cuts, float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="at", outputCol=name).transform(df.withColumn("at", line))
+    return placed.drop("at").withColumn(name, F.col(name).cast("long"))
 
 
 def row_groups(left: DataFrame, right: DataFrame, rows: int, most: int) -> RowGroups:
@@ -131,7 +136,7 @@ def row_arrays(right: DataFrame, columns: list[str], parts: int = 0) -> DataFram
 
 
 def brought(
-    left: DataFrame, arrays: DataFrame, found: RowGroups, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
+    left: DataFrame, arrays: DataFrame, found: RowGroups, kernel: Kernel, schema: str,
     beside: DataFrame | None = None,
 ) -> DataFrame:
     """``kernel`` over every group: its entries ``left(i, k, …)`` and, once each, the arrays of the ``k`` they name.
@@ -144,19 +149,28 @@ def brought(
     supplied = wanted.join(arrays.withColumnRenamed("k", "line"), "line")
     every = mine if beside is None else mine.unionByName(found.placed(beside))
     one, other = every.repartition(found.count, "g"), supplied.repartition(found.count, "to")
-    return one.groupBy("g").cogroup(other.groupBy("to")).applyInArrow(kernel, schema)
+    # An empty group still has the columns.
+    columns = [(name, KINDS[kind]) for name, kind in (column.split() for column in schema.split(", "))]
+
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(kernel(left, right), pa.schema(columns))
+
+    return one.groupBy("g").cogroup(other.groupBy("to")).applyInArrow(whole, schema)
 
 
 # --- inside a task --------------------------------------------------------------
 
+KINDS = {"long": pa.int64(), "double": pa.float64()}
+
 
 class Supply:
     """The arrays of a group, by sorted ``k`` (``line``): ``start`` and ``length`` of each in the flat columns."""
 
     def __init__(self, right: pa.Table):
         k = right.column("line").to_numpy()
-        right = right.take(pa.array(np.argsort(k, kind="stable")))
-        k = right.column("line").to_numpy()
+        if (k[1:] < k[:-1]).any():
+            right = right.take(pa.array(np.argsort(k, kind="stable")))
+            k = right.column("line").to_numpy()
         self.flat, sizes = {}, np.zeros(0, np.int64)
         for name in right.column_names:
             if pa.types.is_list(right.schema.field(name).type):
@@ -207,20 +221,30 @@ class Entries:
         met = np.flatnonzero(supply.k[np.minimum(at, max(len(supply.k) - 1, 0))] == k) if len(supply.k) else np.zeros(0, np.int64)
         self.taken = met[np.argsort(i[met], kind="stable")]
         self.at = at[self.taken]
-        self.rows, self.row = np.unique(i[self.taken], return_inverse=True)
+        i = i[self.taken]
+        first = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+        self.rows, self.row = i[first], np.cumsum(first) - 1
         self.n = supply.length[self.at]
         self.start = supply.start[self.at]
 
     def parts(self, most: int = 0) -> Iterator[tuple[int, int]]:
-        """Slices of whole rows that make about ``most`` products."""
+        """Slices of whole rows that make about ``most`` products; a row of more is one by itself."""
         if not len(self.row):
             return
+        most = most or AT_ONCE
         first = np.flatnonzero(np.r_[True, np.diff(self.row) > 0])
         cost = np.add.reduceat(self.n, first)
-        cuts = np.flatnonzero(np.r_[True, np.diff((np.cumsum(cost) - cost) // (most or AT_ONCE)) > 0])
+        alone = cost > most
+        cuts = np.flatnonzero(np.r_[True, (np.diff((np.cumsum(cost) - cost) // most) > 0) | alone[1:] | alone[:-1]])
         ends = np.r_[first[cuts[1:]], len(self.row)]
         yield from zip(first[cuts].tolist(), ends.tolist())
 
+    def pieces(self, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """A slice in pieces of about ``AT_ONCE`` products; only one of a single row has more than one."""
+        n = self.n[low:high]
+        cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // (2 * AT_ONCE)) > 0) + 1
+        yield from zip([low, *(cuts + low).tolist()], [*(cuts + low).tolist(), high])
+
     def expanded(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each product of a slice: its entry, and its element of the supply."""
         n = self.n[low:high]
@@ -233,8 +257,9 @@ def distinct_keys(key: np.ndarray, extent: int) -> np.ndarray:
         seen = np.zeros(extent, bool)
         seen[key] = True
         return np.flatnonzero(seen)
-    ordered = np.sort(key)
-    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
+    # Half as wide where that is enough, which sorts twice as fast.
+    ordered = np.sort(key.astype(np.uint32) if extent < 1 << 32 else key)
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]].astype(np.int64) if len(ordered) else key
 
 
 def summed(key: np.ndarray, extent: int, weights: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -248,19 +273,18 @@ def summed(key: np.ndarray, extent: int, weights: list[np.ndarray]) -> tuple[np.
     return ordered[first], [np.add.reduceat(w[order], first) + 0.0 if len(first) else w for w in weights]
 
 
-def batches(schema: list[tuple[str, pa.DataType]], parts: Iterator[list]) -> pa.Table:
-    """One table from parts of columns, in record batches of bounded size."""
+def batches(schema: list[tuple[str, pa.DataType]], parts: Iterator[list]) -> Iterator[pa.RecordBatch]:
+    """Parts of columns as record batches of bounded size."""
     names = pa.schema(schema)
-    found = []
     for columns in parts:
         batch = pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, (_, t) in zip(columns, schema)], schema=names)
-        found += [batch.slice(at, 1 << 16) for at in range(0, batch.num_rows, 1 << 16)]
-    return pa.Table.from_batches(found, names)
+        yield from (batch.slice(at, 1 << 16) for at in range(0, batch.num_rows, 1 << 16))
 
 
-def column_numbers(columns: np.ndarray, place: np.ndarray) -> pa.Array:
-    missing = len(columns) > 0 and columns[0] == MISSING
-    return pa.array(columns[place], pa.int64(), mask=(place == 0) if missing else None)
+def line_numbers(lines: np.ndarray, place: np.ndarray) -> pa.Array:
+    """Of the sorted lines those at the places, with null for what stands for it."""
+    missing = len(lines) > 0 and lines[0] == MISSING
+    return pa.array(lines[place], pa.int64(), mask=(place == 0) if missing else None)
 
 
 # --- products -------------------------------------------------------------------
@@ -268,50 +292,61 @@ def column_numbers(columns: np.ndarray, place: np.ndarray) -> pa.Array:
 POSITION = [("i", pa.int64()), ("j", pa.int64())]
 
 
-def _sums(upper: bool):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+def sums(upper: bool) -> Kernel:
+    def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         supply = Supply(right)
         entries = Entries(left, supply)
         columns, of_column = supply.columns("j")
         lv, l_there = numbers(left.column("lv").combine_chunks().take(pa.array(entries.taken)))
         rv, r_there = supply.values("rv")
 
+        def added(low: int, high: int, base: int, extent: int) -> tuple[np.ndarray, list[np.ndarray]]:
+            of, at = entries.expanded(low, high)
+            if upper:
+                kept = columns[of_column[at]] >= entries.rows[entries.row[of]]
+                of, at = of[kept], at[kept]
+            key = (entries.row[of] - base) * len(columns) + of_column[at]
+            weights = [lv[of] * rv[at]]
+            if l_there is not None or r_there is not None:
+                there = np.ones(len(of), bool) if l_there is None else l_there[of]
+                there = there if r_there is None else there & r_there[at]
+                weights = [np.where(there, weights[0], 0.0), there.astype(float)]
+            return summed(key, extent, weights)
+
         def parts() -> Iterator[list]:
             for low, high in entries.parts():
-                of, at = entries.expanded(low, high)
-                if upper:
-                    kept = columns[of_column[at]] >= entries.rows[entries.row[of]]
-                    of, at = of[kept], at[kept]
                 base = entries.row[low]
                 extent = int(entries.row[high - 1] - base + 1) * len(columns)
-                key = (entries.row[of] - base) * len(columns) + of_column[at]
-                weights = [lv[of] * rv[at]]
-                if l_there is not None or r_there is not None:
-                    there = np.ones(len(of), bool) if l_there is None else l_there[of]
-                    there = there if r_there is None else there & r_there[at]
-                    weights = [np.where(there, weights[0], 0.0), there.astype(float)]
-                place, sums = summed(key, extent, weights)
-                v = pa.array(sums[0], pa.float64(), mask=sums[1] == 0 if len(sums) > 1 else None)
-                yield [entries.rows[place // len(columns) + base], column_numbers(columns, place % len(columns)), v]
+                place, totals = joined_sums([added(*piece, base, extent) for piece in entries.pieces(low, high)], extent)
+                v = pa.array(totals[0], pa.float64(), mask=totals[1] == 0 if len(totals) > 1 else None)
+                yield [line_numbers(entries.rows, place // len(columns) + base), line_numbers(columns, place % len(columns)), v]
 
         return batches([*POSITION, ("v", pa.float64())], parts())
 
     return run
 
 
-def _positions(upper: bool):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+def joined_sums(pieces: list[tuple[np.ndarray, list[np.ndarray]]], extent: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sums of pieces of one row as one."""
+    if len(pieces) == 1:
+        return pieces[0]
+    place = np.concatenate([place for place, _ in pieces])
+    return summed(place, extent, [np.concatenate(w) for w in zip(*(weights for _, weights in pieces))])
+
+
+def positions(upper: bool) -> Kernel:
+    def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         supply = Supply(right)
         entries = Entries(left, supply)
         columns, of_column = supply.columns("j")
 
         def parts() -> Iterator[list]:
             for low, high, place in _places(entries, columns, of_column):
-                row, column = entries.rows[place // len(columns) + entries.row[low]], place % len(columns)
+                row, column = place // len(columns) + entries.row[low], place % len(columns)
                 if upper:
-                    kept = columns[column] >= row
+                    kept = columns[column] >= entries.rows[row]
                     row, column = row[kept], column[kept]
-                yield [row, column_numbers(columns, column)]
+                yield [line_numbers(entries.rows, row), line_numbers(columns, column)]
 
         return batches(POSITION, parts())
 
@@ -320,10 +355,13 @@ def _positions(upper: bool):
 
 def _places(entries: Entries, columns: np.ndarray, of_column: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     for low, high in entries.parts():
-        of, at = entries.expanded(low, high)
         base = entries.row[low]
         extent = int(entries.row[high - 1] - base + 1) * len(columns)
-        yield low, high, distinct_keys((entries.row[of] - base) * len(columns) + of_column[at], extent)
+        found = []
+        for piece in entries.pieces(low, high):
+            of, at = entries.expanded(*piece)
+            found.append(distinct_keys((entries.row[of] - base) * len(columns) + of_column[at], extent))
+        yield low, high, found[0] if len(found) == 1 else distinct_keys(np.concatenate(found), extent)
 
 
 def _bucket(columns: np.ndarray, buckets: int, cols: int) -> np.ndarray:
@@ -332,10 +370,10 @@ def _bucket(columns: np.ndarray, buckets: int, cols: int) -> np.ndarray:
     return np.where(columns == MISSING, MISSING, np.sign(x) * (np.abs(x) // cols))
 
 
-def _lengths(buckets: int, cols: int, name: str):
+def lengths(buckets: int, cols: int, name: str) -> Kernel:
     schema = [("i", pa.int64()), *([("b", pa.int64())] if buckets else []), (name, pa.int64())]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         supply = Supply(right)
         entries = Entries(left, supply)
         columns, of_column = supply.columns("j")
@@ -365,14 +403,15 @@ def _lengths(buckets: int, cols: int, name: str):
                 yield 0, np.add.reduceat(np.bitwise_count(merged), words[:-1], axis=1, dtype=np.int64)
                 return
             for low, high, place in _places(entries, columns, of_column):
-                key = place // len(columns) * len(kinds) + kind[place % len(columns)]
                 rows = int(entries.row[high - 1] - entries.row[low] + 1)
-                yield int(entries.row[low]), np.bincount(key, minlength=rows * len(kinds)).reshape(rows, len(kinds))
+                bounds = (np.arange(rows)[:, None] * len(columns) + first).ravel()
+                counts = np.diff(np.searchsorted(place, np.r_[bounds, rows * len(columns)]))
+                yield int(entries.row[low]), counts.reshape(rows, len(kinds))
 
         def parts() -> Iterator[list]:
             for base, counts in counted():
                 row, of_kind = np.nonzero(counts)
-                yield [entries.rows[base + row], *([column_numbers(kinds, of_kind)] if buckets else []), counts[row, of_kind]]
+                yield [line_numbers(entries.rows, base + row), *([line_numbers(kinds, of_kind)] if buckets else []), counts[row, of_kind]]
 
         return batches(schema, parts())
 
@@ -385,32 +424,32 @@ def grouped_sums(left: DataFrame, right: DataFrame, rows: int, upper: bool, smal
     With a ``small`` side groups may be larger, as what they are brought is bounded by it.
     """
     found = row_groups(left, right, rows, STRUCTURE if small else VALUES)
-    sums = brought(left, row_arrays(right, ["j", "rv"], found.parts), found, _sums(upper), "i long, j long, v double")
-    return sums, found.rest and rest_of(left, found.rest)
+    made = brought(left, row_arrays(right, ["j", "rv"], found.parts), found, sums(upper), "i long, j long, v double")
+    return made, found.rest and rest_of(left, found.rest)
 
 
 def grouped_positions(left: DataFrame, right: DataFrame, rows: int, upper: bool) -> tuple[DataFrame, DataFrame | None]:
     """As ``grouped_sums``, without values."""
     found = row_groups(left, right, rows, VALUES)
-    positions = brought(left.select("i", "k"), row_arrays(right, ["j"], found.parts), found, _positions(upper), "i long, j long")
-    return positions, found.rest and rest_of(left, found.rest)
+    made = brought(left.select("i", "k"), row_arrays(right, ["j"], found.parts), found, positions(upper), "i long, j long")
+    return made, found.rest and rest_of(left, found.rest)
 
 
 def grouped_lengths(left: DataFrame, right: DataFrame, rows: int, name: str, buckets: int = 0, cols: int = 0) -> tuple[DataFrame, DataFrame | None]:
     """``(i, name)``, or ``(i, b, name)`` by column bucket: exact entries of the rows; and the entries of rows without a group."""
     found = row_groups(left, right, rows, STRUCTURE)
     schema = f"i long, {'b long, ' if buckets else ''}{name} long"
-    lengths = brought(left.select("i", "k"), row_arrays(right, ["j"], found.parts), found, _lengths(buckets, cols, name), schema)
-    return lengths, found.rest and rest_of(left, found.rest)
+    made = brought(left.select("i", "k"), row_arrays(right, ["j"], found.parts), found, lengths(buckets, cols, name), schema)
+    return made, found.rest and rest_of(left, found.rest)
 
 
 # --- merges ---------------------------------------------------------------------
 
 
-def _merges(parts: int, largest: bool):
+def _merges(parts: int, largest: bool) -> Kernel:
     schema = [("i", pa.int64()), ("code", pa.int64())]
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
         supply = Supply(right)
         entries = Entries(left, supply)
         code = supply.flat["code"].to_numpy(zero_copy_only=False).astype(np.uint32).astype(np.int64)
@@ -475,7 +514,7 @@ class Met:
             yield self.entries.taken[of[pair]], self.left[mine], self.right[at[pair]]
 
 
-def _met_sums(left: pa.Table, right: pa.Table) -> pa.Table:
+def met_sums(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
     met = Met(left, right)
     v = np.zeros(met.positions.num_rows)
     for number, one, other in met:
@@ -487,7 +526,7 @@ def _met_sums(left: pa.Table, right: pa.Table) -> pa.Table:
     return batches([*POSITION, ("v", pa.float64())], iter([[i[order][first], j[order][first], v]]))
 
 
-def _met_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+def met_pairs(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
     met = Met(left, right)
     i, j = (met.positions.column(c).to_numpy() for c in ("i", "k"))
     parts = ([i[number], j[number], one, other] for number, one, other in met)
@@ -505,7 +544,7 @@ def grouped_positions_met(structure: DataFrame, a: DataFrame, b: DataFrame, payl
     found = row_groups(wanted, columns, rows, VALUES)
     positions = wanted.select("i", "k", F.lit(None).cast(kind).alias("p"), F.lit(False).alias("own"))
     entries = a.select("i", F.col("j").alias("k"), F.col(payload).alias("p"), F.lit(True).alias("own")).where("k is not null")
-    kernel, schema = (_met_sums, "i long, j long, v double") if payload == "v" else (_met_pairs, "i long, j long, le long, re long")
+    kernel, schema = (met_sums, "i long, j long, v double") if payload == "v" else (met_pairs, "i long, j long, le long, re long")
     made = brought(positions, row_arrays(columns, ["c", "p"], found.parts), found, kernel, schema, entries)
     known = structure.where("j is not null")
     if found.firsts is None:

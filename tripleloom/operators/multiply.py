@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.scalar import column_bucket
 from tripleloom.matrix import Matrix
-from tripleloom.operators import bitmaps, grouped
+from tripleloom.operators import bitmaps, blocks, grouped
 from tripleloom.operators.masked import masked_product
 from tripleloom.operators.reshape import mirrored
 from tripleloom.operators.sketches import estimated_entries
@@ -76,7 +76,10 @@ def spgemm(
     work = measure(left, right, task_products)
     if method == "auto":
         large = min(work.left_nnz, work.right_nnz) > broadcast_rows
-        if work.products > grouped.GROUPED and (large or work.products > CROWDED * (work.left_nnz + work.right_nnz)):
+        crowded = work.products > CROWDED * (work.left_nnz + work.right_nnz)
+        if work.products > blocks.BLOCKED and (large or crowded):
+            entries = added_in_blocks(left, right, work, upper, task_products)
+        elif work.products > grouped.GROUPED and (large or crowded):
             entries, rest = grouped.grouped_sums(left, right, a.rows, upper, not large)
             if rest is not None:
                 long = measure(rest, right, task_products)
@@ -89,12 +92,26 @@ def spgemm(
         entries = sum_products(broadcast_join(left, right, work, upper, broadcast_rows))
     elif method == "bucketed":
         entries = bucketed_sum(split_join(left, right, work, upper, task_products), buckets, b.cols).drop("b")
+    elif method != "merge" and work.hot_keys and work.products > blocks.BLOCKED:
+        # One grid of blocks for all hot keys, so that the products of a position meet where they are made.
+        entries = added_in_blocks(left, right, work, upper, task_products, min(blocks.MADE, task_products))
     else:
         pairs = split_join(left, right, work, upper, task_products, method)
         entries = sized_sum(pairs, a, b, work, task_products, result_rows)
     return Matrix(entries, a.rows, b.cols)
 
 
+def added_in_blocks(
+    left: DataFrame, right: DataFrame, work: Workload, upper: bool, task_products: int, most: int = blocks.MADE
+) -> DataFrame:
+    """The sums ``(i, j, v)``, those of heavy lines by joins; no position has parts in both."""
+    entries, rest = blocks.block_sums(left, right, work.products, upper, most)
+    for mine, other in rest:
+        long = measure(mine, other, task_products)
+        entries = entries.unionByName(sum_products(split_join(mine, other, long, upper, task_products)))
+    return entries
+
+
 def outer_gram(a: Matrix, upper: bool = True, **options) -> Matrix:
     """``A·Aᵀ`` (rows by rows), by default its upper triangle."""
     return spgemm(a, a.T, upper=upper, **options)
@@ -132,6 +149,9 @@ def symbolic(a: Matrix, b: Matrix, upper: bool = False, least: int = bitmaps.DEN
     ``least`` is the number of products per merged bitmap from which bitmaps are taken.
     """
     work = bitmaps.bitmap_work(a, b, {})
+    if in_blocks(work):
+        positions, rest = blocks.block_positions(left_side(a), right_side(b), work["products"], upper)
+        return reduce(DataFrame.unionByName, [positions, *(joined_positions(*sides, upper) for sides in rest)])
     if in_groups(work):
         positions, rest = grouped.grouped_positions(left_side(a), right_side(b), a.rows, upper)
         return positions if rest is None else positions.unionByName(pair_positions(rest, b, upper))
@@ -146,13 +166,26 @@ def in_groups(work: dict[str, int]) -> bool:
     return work["products"] > grouped.GROUPED and work["bitmaps"] > bitmaps.BROADCAST_BITMAPS
 
 
+def in_blocks(work: dict[str, int]) -> bool:
+    """Whether it is made in blocks: more work than few row groups do."""
+    return work["products"] > blocks.BLOCKED and work["bitmaps"] > bitmaps.BROADCAST_BITMAPS
+
+
 def pair_positions(left: DataFrame, b: Matrix, upper: bool = False) -> DataFrame:
-    return over(planned(left, right_side(b), upper), lambda pairs: pairs.select("i", "j").distinct())
+    return joined_positions(left, right_side(b), upper)
+
+
+def joined_positions(left: DataFrame, right: DataFrame, upper: bool = False) -> DataFrame:
+    return over(planned(left, right, upper), lambda pairs: pairs.select("i", "j").distinct())
 
 
 def output_row_lengths(a: Matrix, b: Matrix) -> DataFrame:
     """Exact entries per product row."""
     work = bitmaps.bitmap_work(a, b, {})
+    if in_blocks(work):
+        lengths, rest = blocks.block_lengths(left_side(a), right_side(b), work["products"], "c_nnz")
+        parts = [lengths, *(joined_positions(*sides).groupBy("i").agg(F.count(F.lit(1)).alias("c_nnz")) for sides in rest)]
+        return reduce(DataFrame.unionByName, parts).groupBy("i").agg(F.sum("c_nnz").alias("c_nnz"))
     if in_groups(work):
         lengths, rest = grouped.grouped_lengths(left_side(a), right_side(b), a.rows, "c_nnz")
         return lengths if rest is None else lengths.unionByName(pair_lengths(rest, b))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.hashing import bit_length32, power_of_two
 from tripleloom.functions.scalar import column_bucket, size_bin, table_size
 from tripleloom.matrix import Matrix
-from tripleloom.operators import bitmaps, grouped
-from tripleloom.operators.multiply import in_groups, left_side, pair_positions, right_side, symbolic
+from tripleloom.operators import bitmaps, blocks, grouped
+from tripleloom.operators.multiply import in_blocks, in_groups, joined_positions, left_side, pair_positions, right_side, symbolic
 from tripleloom.operators.reshape import row_lengths
 from tripleloom.operators.scans import histogram, prefix_sum, prefix_sums, ranked
 from tripleloom.plans.sizing import BROADCAST_ROWS
@@ -122,6 +124,10 @@ def bucket_lengths(a: Matrix, b: Matrix, buckets: int) -> DataFrame:
     def counted(positions: DataFrame) -> DataFrame:
         return positions.groupBy("i", column_bucket(F.col("j"), buckets, b.cols).alias("b")).agg(F.count(F.lit(1)).alias("nnz"))
 
+    if in_blocks(work):
+        lengths, rest = blocks.block_lengths(left_side(a), right_side(b), work["products"], "nnz", buckets, b.cols)
+        parts = [lengths, *(counted(joined_positions(*sides)) for sides in rest)]
+        return reduce(DataFrame.unionByName, parts).groupBy("i", "b").agg(F.sum("nnz").alias("nnz"))
     if in_groups(work):
         lengths, rest = grouped.grouped_lengths(left_side(a), right_side(b), a.rows, "nnz", buckets, b.cols)
         return lengths if rest is None else lengths.unionByName(counted(pair_positions(rest, b)))
