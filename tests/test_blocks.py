@@ -5,7 +5,7 @@ import pytest
 
 from tests.test_grouped import odd, rows  # noqa: F401
 from tripleloom import Matrix, spgemm
-from tripleloom.operators import bitmaps, blocks, grouped
+from tripleloom.operators import bitmaps, blocks, grouped, masked
 from tripleloom.operators import multiply as mul
 from tripleloom.operators import rowstats
 
@@ -71,3 +71,19 @@ def test_a_pair_of_packs_is_one_task(odd, monkeypatch):  # noqa: F811
     assert len(per_task) == found[0].count * found[1].count and {r["count"] for r in per_task} == {1}
     n = {r["r"]: r["n"] for r in found[0].placed(left.where("k is not null"), "i").groupBy("r").agg({"*": "count"}).toDF("r", "n").collect()}
     assert max(n.values()) < 3 * 500 / 10
+
+
+def test_known_positions_meet_in_blocks(odd, spark, monkeypatch):  # noqa: F811
+    a, b = odd
+    a, b = (Matrix(m.entries.where("v is not null"), m.rows, m.cols) for m in (a, b))
+    b = Matrix(b.entries.where("j > 1 or j is null"), b.rows, b.cols)
+    # Positions of empty rows and columns, and before the first column, stay.
+    structure = mul.pair_positions(mul.left_side(a), b).where("(i + j) % 3 = 0 or i is null or j is null").unionByName(spark.range(3).selectExpr("id i", "id j"))
+    structure = structure.unionByName(spark.sql("select 1000L i, 5L j union all select 5L, 2000L")).distinct()
+    wanted = [rows(masked.masked_product(structure, a, b).entries), rows(masked.product_plan(structure, a, b))]
+    monkeypatch.setattr(masked, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(blocks, "BLOCKED", 0)
+    monkeypatch.setattr(blocks, "LEAST", 6)
+    made = [masked.masked_product(structure, a, b).entries, masked.product_plan(structure, a, b)]
+    assert all("CartesianProduct" in df._jdf.queryExecution().executedPlan().toString() for df in made)
+    assert [rows(df) for df in made] == wanted
