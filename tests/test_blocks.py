@@ -5,7 +5,7 @@ import pytest
 
 from tests.test_grouped import odd, rows  # noqa: F401
 from tripleloom import Matrix, spgemm
-from tripleloom.operators import bitmaps, blocks, grouped, masked
+from tripleloom.operators import bitmaps, blocks, grouped, masked, tiles
 from tripleloom.operators import multiply as mul
 from tripleloom.operators import rowstats
 
@@ -87,3 +87,18 @@ def test_known_positions_meet_in_blocks(odd, spark, monkeypatch):  # noqa: F811
     made = [masked.masked_product(structure, a, b).entries, masked.product_plan(structure, a, b)]
     assert all("CartesianProduct" in df._jdf.queryExecution().executedPlan().toString() for df in made)
     assert [rows(df) for df in made] == wanted
+
+
+@pytest.mark.parametrize("shape", [(20, 3), (20, 33)])
+def test_tiles_travel_with_their_ranges(matrix, monkeypatch, shape):
+    m = np.arange(1.0, shape[0] * shape[1] + 1).reshape(shape) % 7
+    wanted = m @ m.T
+    for bound, kind in ((tiles.COPIED, "FlatMapCoGroups"), (0, "CartesianProduct")):
+        monkeypatch.setattr(tiles, "COPIED", bound)
+        monkeypatch.setattr(blocks, "LEAST", 4)
+        c = tiles.tiled_product(matrix(m), matrix(m.T), edge=4, side=2).entries
+        plan = c._jdf.queryExecution().executedPlan().toString()
+        assert kind in plan and (bound or "FlatMapCoGroups" not in plan)
+        assert {(r["i"], r["j"]): r["v"] for r in c.collect()} == {(i, j): v for (i, j), v in np.ndenumerate(wanted)}
+        upper = tiles.tiled_product(matrix(m), matrix(m.T), edge=4, side=2, upper=True).entries
+        assert {(r["i"], r["j"]): r["v"] for r in upper.collect()} == {(i, j): v for (i, j), v in np.ndenumerate(wanted) if j >= i}
